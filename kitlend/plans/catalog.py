@@ -36,4 +36,4 @@ def load_all() -> None:
         importlib.import_module(f"kitlend.plans.{mod}")
 
 
-_MODULES = ["q_balances"]
+_MODULES = ["q_balances", "q_history"]
