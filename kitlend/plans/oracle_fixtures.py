@@ -176,6 +176,17 @@ _CTES = {
          CASE c_custkey % 5 WHEN 0 THEN 'student' WHEN 1 THEN 'external' WHEN 2 THEN 'Staff'
               WHEN 3 THEN 'admin' ELSE 'owner' END AS role
   FROM customer WHERE c_custkey % 11 = 0""",
+    "mark_read_requests": """
+  SELECT id, user_id FROM notifications WHERE type IN ('borrow_created', 'return_partial')
+  UNION ALL
+  SELECT id, user_id + 1 FROM notifications WHERE type = 'fitness_visit'""",
+    "manual_notice_requests": """
+  SELECT x.line_id || '-n' || CAST(v.n AS VARCHAR) AS req_id, x.line_id AS tx_id
+  FROM (SELECT *, CASE WHEN l_suppkey % 9 = 1 THEN 2 ELSE 1 END AS nr
+        FROM _lines WHERE l_suppkey % 3 = 1) x
+  JOIN (VALUES (1), (2)) v(n) ON v.n <= x.nr""",
+    "escalation_requests": """
+  SELECT line_id AS tx_id FROM _lines WHERE l_suppkey % 4 = 1""",
 }
 
 

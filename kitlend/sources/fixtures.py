@@ -344,6 +344,32 @@ def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.element_at(names, (key % 5 + 1).cast("int")).alias("role"))
 
 
+def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Viewers marking their borrow and return notices read, plus requests naming
+    someone else's visit notices (user id + 1), which must change nothing."""
+    n = notifications(spark, sf_dir)
+    own = n.where(F.col("type").isin("borrow_created", "return_partial")).select("id", "user_id")
+    other = (n.where(F.col("type") == "fitness_visit")
+             .select("id", (F.col("user_id") + 1).alias("user_id")))
+    return own.unionByName(other)
+
+
+def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staff pressing "notify member" on lines with suppkey % 3 = 1 (R lines are
+    unknown loans); suppkey % 9 = 1 presses twice."""
+    lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 3 == 1)
+    n = F.when(F.col("l_suppkey") % 9 == 1, 2).otherwise(1)
+    rows = lines.select("line_id", F.explode(F.sequence(F.lit(1), n)).alias("n"))
+    return rows.select(F.concat(F.col("line_id"), F.lit("-n"), F.col("n").cast("string")).alias("req_id"),
+                       F.col("line_id").alias("tx_id"))
+
+
+def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staff marking letters as sent, on lines with suppkey % 4 = 1."""
+    lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 4 == 1)
+    return lines.select(F.col("line_id").alias("tx_id"))
+
+
 @dataclass(frozen=True)
 class Lending:
     roles: DataFrame
