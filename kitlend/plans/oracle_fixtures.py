@@ -187,6 +187,8 @@ _CTES = {
   JOIN (VALUES (1), (2)) v(n) ON v.n <= x.nr""",
     "escalation_requests": """
   SELECT line_id AS tx_id FROM _lines WHERE l_suppkey % 4 = 1""",
+    "manual_hold_releases": """
+  SELECT c_custkey AS user_id, 'manual' AS note, 1 AS priority FROM customer WHERE c_acctbal < -500""",
 }
 
 

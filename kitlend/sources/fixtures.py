@@ -370,6 +370,13 @@ def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("line_id").alias("tx_id"))
 
 
+def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staff clearing holds by hand for customers with a balance below -500."""
+    c = _read(spark, sf_dir, "customer").where(F.col("c_acctbal") < -500)
+    return c.select(F.col("c_custkey").alias("user_id"), F.lit("manual").alias("note"),
+                    F.lit(1).alias("priority"))
+
+
 @dataclass(frozen=True)
 class Lending:
     roles: DataFrame
