@@ -189,6 +189,12 @@ _CTES = {
   SELECT line_id AS tx_id FROM _lines WHERE l_suppkey % 4 = 1""",
     "manual_hold_releases": """
   SELECT c_custkey AS user_id, 'manual' AS note, 1 AS priority FROM customer WHERE c_acctbal < -500""",
+    "delete_user_requests": """
+  SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 13 = 0
+  UNION ALL SELECT c_custkey + 1000000000 FROM customer WHERE c_custkey % 26 = 0""",
+    "item_delete_requests": """
+  SELECT p_partkey AS id FROM part WHERE p_partkey % 6 = 0
+  UNION ALL SELECT p_partkey + 1000000000 FROM part WHERE p_partkey % 12 = 0""",
 }
 
 

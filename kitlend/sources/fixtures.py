@@ -377,6 +377,23 @@ def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(1).alias("priority"))
 
 
+def delete_user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes asked for customers with key % 13 = 0, and for unknown ids."""
+    c = _read(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    known = c.where(key % 13 == 0).select(key.alias("user_id"))
+    unknown = c.where(key % 26 == 0).select((key + 1_000_000_000).alias("user_id"))
+    return known.unionByName(unknown)
+
+
+def item_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes asked for parts with key % 6 = 0, and for unknown ids."""
+    p = _read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    return (p.where(key % 6 == 0).select(key.alias("id"))
+            .unionByName(p.where(key % 12 == 0).select((key + 1_000_000_000).alias("id"))))
+
+
 @dataclass(frozen=True)
 class Lending:
     roles: DataFrame
