@@ -36,15 +36,27 @@ def _keep_uuid_or_strip(c: Column) -> Column:
     return F.when(is_uuid(c), c).otherwise(strip_blanks_dashes(c))
 
 
+# Characters a browser URL parser percent-encodes but java.net.URI rejects.
+URL_ESCAPES = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60", "{": "%7B",
+               "}": "%7D", "|": "%7C", "^": "%5E", "\\": "%5C"}
+
+
+def _url_safe(c: Column) -> Column:
+    for ch, enc in URL_ESCAPES.items():
+        c = F.replace(c, F.lit(ch), F.lit(enc))
+    return c
+
+
 def normalize_code(raw: Column) -> Column:
     """Normalised member code, '' when nothing usable is left."""
     s0 = js_trim(F.coalesce(raw, F.lit("")))
     # decodeURIComponent keeps '+', and a malformed escape leaves the text unchanged
     s = F.coalesce(F.try_url_decode(F.replace(s0, F.lit("+"), F.lit("%2B"))), s0)
     is_link = s.rlike(LINK_RE)
-    member_raw = F.try_parse_url(s, F.lit("QUERY"), F.lit("member"))
+    url = _url_safe(s)
+    member_raw = F.try_parse_url(url, F.lit("QUERY"), F.lit("member"))
     member = js_trim(F.coalesce(F.try_url_decode(member_raw), member_raw, F.lit("")))
-    path = F.try_parse_url(s, F.lit("PATH"))
+    path = F.try_parse_url(url, F.lit("PATH"))
     last = js_trim(F.coalesce(
         F.try_element_at(F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != ""),
                          F.lit(-1)),

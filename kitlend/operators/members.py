@@ -18,7 +18,10 @@ from kitlend.functions.codes import normalize_code
 # Fixed match order: the four direct keys, then the hash fallback.
 MATCH_RANKS = (("id", 1), ("qr_code_value", 2), ("student_id", 3), ("citizen_id", 4),
                ("student_id_hash", 5))
-_NAMES = F.create_map(*[F.lit(x) for r in MATCH_RANKS for x in (r[1], r[0])])
+
+
+def _rank_names():
+    return F.create_map(*[F.lit(x) for r in MATCH_RANKS for x in (r[1], r[0])])
 
 
 def member_keys(users: DataFrame) -> DataFrame:
@@ -50,4 +53,4 @@ def resolve_members(scans: DataFrame, users: DataFrame) -> DataFrame:
     j = (s.join(best, s["scan_id"] == best["_sid"], "left")
          .join(u, F.col("user_id") == u["_uid"], "left"))
     return j.select("scan_id", "raw", "code", "user_id",
-                    _NAMES[F.col("_rank")].alias("matched_by"), "full_name", "member_type")
+                    _rank_names()[F.col("_rank")].alias("matched_by"), "full_name", "member_type")
