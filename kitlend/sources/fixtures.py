@@ -9,7 +9,8 @@ rows into the schema a job expects; none of them does the job's work.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,27 @@ from pyspark.sql import functions as F
 # Fixed as-of date of the fixtures: four days after the last order date.
 AS_OF = dt.date(2001, 8, 5)
 
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def _memo(fn):
+    """Build each mapped frame once per session and directory: the frames are
+    immutable lazy plans, and re-analysing the mapping for every query costs
+    seconds of driver time."""
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, *args):
+        key = (spark.sparkContext.applicationId, id(spark._jsparkSession), fn.__name__, *args)
+        df = _MEMO.get(key)
+        if df is None:
+            df = _MEMO[key] = fn(spark, *args)
+        return df
+    return wrapper
+
+
+def clear_memo() -> None:
+    _MEMO.clear()
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,6 +67,7 @@ def _role_id(member_type: Column) -> Column:
             .when(member_type == "staff", 3).otherwise(4))
 
 
+@_memo
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     key, seg = F.col("c_custkey"), F.col("c_mktsegment")
@@ -67,11 +90,13 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def roles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(1, "student"), (2, "external"), (3, "staff"), (4, "admin")], "id int, name string")
 
 
+@_memo
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     promo = F.col("p_type") == "PROMO"
@@ -84,6 +109,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem joined to its order, with the five-part line id."""
     li = _read(spark, sf_dir, "lineitem").select(
@@ -98,6 +124,7 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], qty.cast("string"))))
 
 
+@_memo
 def _loan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _order_lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
     is_open = F.col("l_linestatus") == "O"
@@ -108,6 +135,7 @@ def _loan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ll = _loan_lines(spark, sf_dir)
     is_open = F.col("_open")
@@ -128,6 +156,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def transaction_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed loans: one row of qty. Open loans with suppkey % 3 = 0 and qty >= 2:
     half, and when suppkey % 5 = 1 also the rest (open with nothing left)."""
@@ -151,6 +180,7 @@ def transaction_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def user_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
@@ -161,6 +191,7 @@ def user_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def fitness_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     u = users(spark, sf_dir).select(F.col("id").alias("uid"), "member_type")
@@ -188,6 +219,7 @@ def _ref_meta(ref: Column) -> Column:
     return F.concat(F.lit('{"ref":"'), ref, F.lit('"}'))
 
 
+@_memo
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     mapping = F.create_map(*[F.lit(x) for kv in EVENT_NOTIFICATION_TYPES.items() for x in kv])
@@ -221,6 +253,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- bulk inputs
 
+@_memo
 def loan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _order_lines(spark, sf_dir).where(F.col("l_returnflag") == "R")
     return lines.select(
@@ -233,6 +266,7 @@ def loan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def return_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with even suppkey give an event at the ship date with quantity
     (partkey % 5) * 4, zero meaning "all that is left"; suppkey % 6 = 0 adds a
@@ -252,6 +286,7 @@ def return_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def scan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key % 5: 0 the member's code; 1 the code with dashes (NBSP-padded when the
     key is even); 2 a link with ?member=; 3 SHA-256 of the id; 4 no match."""
@@ -270,6 +305,7 @@ def scan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select(key.alias("scan_id"), raw.alias("raw"))
 
 
+@_memo
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attempt per customer. Pairs of keys share an e-mail (2j, 2j+1), keys
     3k+1 and 3k+2 share a student id, 6k and 6k+3 share a citizen id; some
@@ -297,6 +333,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def visit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     eid = F.col("event_id")
@@ -311,6 +348,7 @@ def visit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def promise_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 10 == 3)
     ln = F.col("l_linenumber")
@@ -320,6 +358,7 @@ def promise_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("line_id").alias("tx_id"), date_text.alias("date"))
 
 
+@_memo
 def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     key = F.col("p_partkey")
@@ -336,6 +375,7 @@ def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").where(F.col("c_custkey") % 11 == 0)
     key = F.col("c_custkey")
@@ -344,6 +384,7 @@ def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.element_at(names, (key % 5 + 1).cast("int")).alias("role"))
 
 
+@_memo
 def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Viewers marking their borrow and return notices read, plus requests naming
     someone else's visit notices (user id + 1), which must change nothing."""
@@ -354,6 +395,7 @@ def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(other)
 
 
+@_memo
 def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff pressing "notify member" on lines with suppkey % 3 = 1 (R lines are
     unknown loans); suppkey % 9 = 1 presses twice."""
@@ -364,12 +406,14 @@ def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("line_id").alias("tx_id"))
 
 
+@_memo
 def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff marking letters as sent, on lines with suppkey % 4 = 1."""
     lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 4 == 1)
     return lines.select(F.col("line_id").alias("tx_id"))
 
 
+@_memo
 def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff clearing holds by hand for customers with a balance below -500."""
     c = _read(spark, sf_dir, "customer").where(F.col("c_acctbal") < -500)
@@ -377,6 +421,7 @@ def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(1).alias("priority"))
 
 
+@_memo
 def delete_user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes asked for customers with key % 13 = 0, and for unknown ids."""
     c = _read(spark, sf_dir, "customer")
@@ -386,6 +431,7 @@ def delete_user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(unknown)
 
 
+@_memo
 def item_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes asked for parts with key % 6 = 0, and for unknown ids."""
     p = _read(spark, sf_dir, "part")
@@ -394,23 +440,42 @@ def item_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(p.where(key % 12 == 0).select((key + 1_000_000_000).alias("id"))))
 
 
-@dataclass(frozen=True)
 class Lending:
-    roles: DataFrame
-    users: DataFrame
-    inventory: DataFrame
-    transactions: DataFrame
-    transaction_returns: DataFrame
-    fitness_visits: DataFrame
-    notifications: DataFrame
-    user_holds: DataFrame
+    """The eight lending tables. Each entry is a DataFrame or a zero-argument
+    callable that builds it on first use, so a job analyses only the tables
+    it reads."""
+
+    NAMES = ("roles", "users", "inventory", "transactions", "transaction_returns",
+             "fitness_visits", "notifications", "user_holds")
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        missing = set(self.NAMES) - set(tables)
+        if missing:
+            raise ValueError(f"missing tables: {sorted(missing)}")
+        self._tables = dict(tables)
+
+    def _get(self, name: str) -> DataFrame:
+        v = self._tables[name]
+        if not isinstance(v, DataFrame):
+            v = self._tables[name] = v()
+        return v
+
+    roles = property(lambda self: self._get("roles"))
+    users = property(lambda self: self._get("users"))
+    inventory = property(lambda self: self._get("inventory"))
+    transactions = property(lambda self: self._get("transactions"))
+    transaction_returns = property(lambda self: self._get("transaction_returns"))
+    fitness_visits = property(lambda self: self._get("fitness_visits"))
+    notifications = property(lambda self: self._get("notifications"))
+    user_holds = property(lambda self: self._get("user_holds"))
 
 
 def lending(spark: SparkSession, sf_dir: str) -> Lending:
+    """Lending tables mapped from the driver's tables in ``sf_dir`` (lazy)."""
     return Lending(
-        roles=roles(spark), users=users(spark, sf_dir), inventory=inventory(spark, sf_dir),
-        transactions=transactions(spark, sf_dir),
-        transaction_returns=transaction_returns(spark, sf_dir),
-        fitness_visits=fitness_visits(spark, sf_dir), notifications=notifications(spark, sf_dir),
-        user_holds=user_holds(spark, sf_dir),
+        roles=lambda: roles(spark), users=lambda: users(spark, sf_dir),
+        inventory=lambda: inventory(spark, sf_dir), transactions=lambda: transactions(spark, sf_dir),
+        transaction_returns=lambda: transaction_returns(spark, sf_dir),
+        fitness_visits=lambda: fitness_visits(spark, sf_dir),
+        notifications=lambda: notifications(spark, sf_dir), user_holds=lambda: user_holds(spark, sf_dir),
     )
