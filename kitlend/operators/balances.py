@@ -38,7 +38,7 @@ def with_returned(loans: DataFrame, returns: DataFrame) -> DataFrame:
 
 def open_loans(l: Lending) -> DataFrame:
     """Loans not closed (``return_date IS NULL``)."""
-    return l.transactions.where(F.col("return_date").isNull())
+    return l.open_transactions
 
 
 def _outstanding_core(l: Lending) -> DataFrame:

@@ -453,6 +453,8 @@ class Lending:
         if missing:
             raise ValueError(f"missing tables: {sorted(missing)}")
         self._tables = dict(tables)
+        self._tables.setdefault("open_transactions", lambda: self.transactions.where(
+            F.col("return_date").isNull()))
 
     def _get(self, name: str) -> DataFrame:
         v = self._tables[name]
@@ -468,6 +470,9 @@ class Lending:
     fitness_visits = property(lambda self: self._get("fitness_visits"))
     notifications = property(lambda self: self._get("notifications"))
     user_holds = property(lambda self: self._get("user_holds"))
+    # Open loans (``return_date IS NULL``); a stored layout partitioned by
+    # open/closed supplies a pruned read here.
+    open_transactions = property(lambda self: self._get("open_transactions"))
 
 
 def lending(spark: SparkSession, sf_dir: str) -> Lending:
