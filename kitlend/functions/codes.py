@@ -9,7 +9,7 @@ standing alone; else the stripped text. Empty codes match nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns. Blank characters are those of the ECMAScript \s class.
@@ -47,27 +47,37 @@ def _url_safe(c: Column) -> Column:
     return c
 
 
-def normalize_code(raw: Column) -> Column:
-    """Normalised member code, '' when nothing usable is left."""
-    s0 = js_trim(F.coalesce(raw, F.lit("")))
-    # decodeURIComponent keeps '+', and a malformed escape leaves the text unchanged
-    s = F.coalesce(F.try_url_decode(F.replace(s0, F.lit("+"), F.lit("%2B"))), s0)
-    is_link = s.rlike(LINK_RE)
-    url = _url_safe(s)
-    member_raw = F.try_parse_url(url, F.lit("QUERY"), F.lit("member"))
-    member = js_trim(F.coalesce(F.try_url_decode(member_raw), member_raw, F.lit("")))
-    path = F.try_parse_url(url, F.lit("PATH"))
-    last = js_trim(F.coalesce(
-        F.try_element_at(F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != ""),
-                         F.lit(-1)),
-        F.lit("")))
-    stripped = strip_blanks_dashes(s)
-    m13 = F.regexp_extract(stripped, DIGITS13, 1)
-    m12 = F.regexp_extract(stripped, DIGITS12, 1)
+def with_code(df: DataFrame, raw: str, out: str = "code") -> DataFrame:
+    """Add the normalised member code of column ``raw`` as ``out`` ('' when
+    nothing usable is left). Staged as successive projections so each
+    intermediate (trimmed, decoded, parsed) is computed once per row; Catalyst
+    does not collapse projections that would repeat an expensive expression."""
+    s0 = js_trim(F.coalesce(F.col(raw), F.lit("")))
+    staged = (
+        df.withColumn("_c_s0", s0)
+        # decodeURIComponent keeps '+', and a malformed escape leaves the text unchanged
+        .withColumn("_c_s", F.coalesce(F.try_url_decode(F.replace(F.col("_c_s0"), F.lit("+"), F.lit("%2B"))),
+                                       F.col("_c_s0")))
+        .withColumn("_c_link", F.col("_c_s").rlike(LINK_RE))
+        .withColumn("_c_url", F.when(F.col("_c_link"), _url_safe(F.col("_c_s"))))
+        .withColumn("_c_mraw", F.try_parse_url(F.col("_c_url"), F.lit("QUERY"), F.lit("member")))
+        .withColumn("_c_path", F.try_parse_url(F.col("_c_url"), F.lit("PATH")))
+        .withColumn("_c_member", js_trim(F.coalesce(F.try_url_decode(F.col("_c_mraw")), F.col("_c_mraw"),
+                                                    F.lit(""))))
+        .withColumn("_c_last", js_trim(F.coalesce(
+            F.try_element_at(F.filter(F.split(F.coalesce(F.col("_c_path"), F.lit("")), "/"),
+                                      lambda x: x != ""), F.lit(-1)),
+            F.lit(""))))
+        .withColumn("_c_strip", strip_blanks_dashes(F.col("_c_s")))
+        .withColumn("_c_m13", F.regexp_extract(F.col("_c_strip"), DIGITS13, 1))
+        .withColumn("_c_m12", F.regexp_extract(F.col("_c_strip"), DIGITS12, 1))
+    )
+    link, member, last, s = F.col("_c_link"), F.col("_c_member"), F.col("_c_last"), F.col("_c_s")
     plain = (F.when(is_uuid(s), s)
-             .when(m13 != "", m13)
-             .when(m12 != "", m12)
-             .otherwise(stripped))
-    return (F.when(is_link & (member != ""), _keep_uuid_or_strip(member))
-            .when(is_link & path.isNotNull() & (last != ""), _keep_uuid_or_strip(last))
+             .when(F.col("_c_m13") != "", F.col("_c_m13"))
+             .when(F.col("_c_m12") != "", F.col("_c_m12"))
+             .otherwise(F.col("_c_strip")))
+    code = (F.when(link & (member != ""), _keep_uuid_or_strip(member))
+            .when(link & F.col("_c_path").isNotNull() & (last != ""), _keep_uuid_or_strip(last))
             .otherwise(plain))
+    return staged.withColumn(out, code).drop(*[c for c in staged.columns if c.startswith("_c_")])

@@ -30,6 +30,7 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,10 +61,14 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     spark = events.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = events.withColumn("_start", F.col(start_col).cast("long"))
+    # The range bounds are sampled by a job of their own; keep the input so
+    # that job and the checkpoint write do not both recompute it.
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     tagged = (base.repartitionByRange(n_parts, F.col(key), *[F.col(c) for c in order])
               .sortWithinPartitions(key, *order)
               .withColumn("_seg", F.spark_partition_id()))
     tagged = tagged.checkpoint(eager=True)
+    base.unpersist()
 
     key_type = tagged.schema[key].dataType
     lo = spec.lo

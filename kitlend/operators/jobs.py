@@ -44,7 +44,8 @@ def admit_loans(l: Lending, requests: DataFrame) -> DataFrame:
     pre = (F.when(invalid, "invalid")
            .when(F.col("_hold") & F.col("_open"), "hold")
            .when(F.col("_iid").isNull(), "item"))
-    r = r.withColumn("_pre", pre)
+    # Decided once and stored: both the fold and the refused rows read it.
+    r = r.withColumn("_pre", pre).checkpoint(eager=True)
     cols = ["req_id", "ts", "user_id", "inventory_id", "qty", "borrow_date"]
     folded = ordered_fold(r.where(F.col("_pre").isNull()).select(*cols, "user_known", "_avail"),
                           "inventory_id", ["ts", "req_id"], "_avail", ADMISSION)
@@ -81,7 +82,7 @@ def settle_returns(l: Lending, events: DataFrame) -> DataFrame:
     start = (F.when(F.col("return_date").isNotNull(), F.lit(CLOSED))
              .otherwise(F.greatest(F.col("remaining"), F.lit(0))))
     lk = loans.select(F.col("id").alias("_tid"), F.col("user_id"), start.alias("_start_state"))
-    e = events.join(lk, events["tx_id"] == lk["_tid"], "left")
+    e = events.join(lk, events["tx_id"] == lk["_tid"], "left").checkpoint(eager=True)
     cols = ["event_id", "ts", "tx_id", "return_qty", "note"]
     folded = ordered_fold(e.where(F.col("_tid").isNotNull()).select(*cols, "user_id", "_start_state"),
                           "tx_id", ["ts", "event_id"], "_start_state", SETTLEMENT)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kitlend.functions.codes import normalize_code
+from kitlend.functions.codes import with_code
 
 # Fixed match order: the four direct keys, then the hash fallback.
 MATCH_RANKS = (("id", 1), ("qr_code_value", 2), ("student_id", 3), ("citizen_id", 4),
@@ -36,12 +36,16 @@ def member_keys(users: DataFrame) -> DataFrame:
 def resolve_members(scans: DataFrame, users: DataFrame) -> DataFrame:
     """Per scan: normalised code, matched member (or NULL) and the key that matched.
     Empty codes match nothing (a deliberate difference from ``COALESCE(col,'') = ''``)."""
-    s = scans.select("scan_id", "raw", normalize_code(F.col("raw")).alias("code"))
-    probes = (s.where(F.col("code") != "")
-              .select("scan_id", F.explode(F.array(
-                  F.struct(F.col("code").alias("probe"), F.lit(False).alias("hashed")),
-                  F.struct(F.sha2(F.col("code"), 256).alias("probe"), F.lit(True).alias("hashed"))
+    s = with_code(scans.select("scan_id", "raw"), "raw", "code")
+    # The empty-code filter sits above the generator on purpose: pushed below
+    # the staged projections it would inline the whole normaliser into it.
+    probes = (s.select("scan_id", F.explode(F.array(
+                  F.struct(F.col("code").alias("probe"), F.lit(False).alias("hashed"),
+                           F.col("code").alias("src")),
+                  F.struct(F.sha2(F.col("code"), 256).alias("probe"), F.lit(True).alias("hashed"),
+                           F.col("code").alias("src"))
               )).alias("p"))
+              .where(F.col("p.src") != "")
               .select("scan_id", "p.probe", "p.hashed"))
     keys = member_keys(users).withColumn("k_hashed", F.col("rank") == 5)
     m = probes.join(keys, (probes["probe"] == keys["key"]) & (probes["hashed"] == keys["k_hashed"]))

@@ -39,6 +39,25 @@ def clear_memo() -> None:
     _MEMO.clear()
 
 
+def _stored(df: DataFrame, *keys: str) -> DataFrame:
+    """Materialise a mapped table once per session, hash-partitioned on its
+    key, as a reliable checkpoint in the cluster's checkpoint folder. This is
+    how the tables would be laid out in storage (bucketed on their join keys):
+    loans by id and returns by loan id are co-partitioned, so the per-loan
+    return sum and its join to loans need no shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The adaptive plan reports no output partitioning, which the checkpoint
+    # would record; plan this one write statically so the hash partitioning
+    # is kept and later joins and aggregates on the key skip their shuffle.
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(n, *[F.col(k) for k in keys]).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,7 +93,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     mt = _member_type(seg, key)
     student_id = F.when(mt == "student", F.lpad(key.cast("string"), 12, "0"))
     citizen_id = F.when(mt == "external", F.lpad(key.cast("string"), 13, "9"))
-    return c.select(
+    return _stored(c.select(
         key.alias("id"),
         _role_id(mt).cast("int").alias("role_id"),
         mt.alias("member_type"),
@@ -87,7 +106,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(student_id, citizen_id).alias("qr_code_value"),
         _at_day_offset(_date("2000-01-01"), key % 365).alias("created_at"),
         F.when((mt == "student") & (key % 3 != 0), F.sha2(student_id, 256)).alias("student_id_hash"),
-    )
+    ), "id")
 
 
 @_memo
@@ -100,13 +119,13 @@ def roles(spark: SparkSession) -> DataFrame:
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     promo = F.col("p_type") == "PROMO"
-    return p.select(
+    return _stored(p.select(
         F.col("p_partkey").alias("id"),
         F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string")).alias("item_name"),
         (F.col("p_size") * 10).cast("int").alias("stock"),
         (~promo).alias("active"),
         F.when(promo & (F.col("p_size") > 40), _ts("2001-01-01 00:00:00")).alias("deleted_at"),
-    )
+    ), "id")
 
 
 @_memo
@@ -117,11 +136,12 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", "l_linestatus", "l_shipdate")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     qty = F.col("l_quantity").cast("int")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .withColumn("qty", qty)
-            .withColumn("line_id", F.concat_ws(
-                "-", *[F.col(c).cast("string") for c in
-                       ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], qty.cast("string"))))
+    lines = (li.join(o, li.l_orderkey == o.o_orderkey)
+             .withColumn("qty", qty)
+             .withColumn("line_id", F.concat_ws(
+                 "-", *[F.col(c).cast("string") for c in
+                        ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], qty.cast("string"))))
+    return _stored(lines, "line_id")
 
 
 @_memo
@@ -139,7 +159,7 @@ def _loan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ll = _loan_lines(spark, sf_dir)
     is_open = F.col("_open")
-    return ll.select(
+    return _stored(ll.select(
         F.col("line_id").alias("id"),
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("inventory_id"),
@@ -153,7 +173,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.col("l_shipdate")).alias("escalated_at"),
         F.when(is_open & (F.col("l_returnflag") == "A") & (F.col("l_linenumber") <= 5),
                F.to_date("l_shipdate")).alias("promised_return_date"),
-    )
+    ), "id")
 
 
 @_memo
@@ -169,7 +189,7 @@ def transaction_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ll.where(n_rows > 0).select(
         "line_id", "qty", "borrow_date", "l_shipdate", is_open.alias("o"),
         F.explode(F.sequence(F.lit(1), n_rows)).alias("n"))
-    return rows.select(
+    return _stored(rows.select(
         F.concat(F.col("line_id"), F.lit("-"), F.col("n").cast("string")).alias("id"),
         F.col("line_id").alias("transaction_id"),
         F.when(~F.col("o"), qty).when(F.col("n") == 1, half).otherwise(qty - half)
@@ -177,18 +197,18 @@ def transaction_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~F.col("o"), F.col("l_shipdate"))
         .otherwise(_at_day_offset(F.col("borrow_date"), F.col("n"))).alias("returned_at"),
         F.when(F.col("o"), F.when(F.col("n") == 1, "part").otherwise("rest")).alias("note"),
-    )
+    ), "transaction_id")
 
 
 @_memo
 def user_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
-    return c.where((F.col("c_acctbal") < 0) | (key % 7 == 0)).select(
+    return _stored(c.where((F.col("c_acctbal") < 0) | (key % 7 == 0)).select(
         key.alias("id"), key.alias("user_id"), F.lit("overdue").alias("reason"),
         _ts("2001-07-01 00:00:00").alias("created_at"),
         F.when(key % 2 == 0, _ts("2001-07-15 00:00:00")).alias("cleared_at"),
-    )
+    ), "user_id")
 
 
 @_memo
@@ -196,13 +216,13 @@ def fitness_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     u = users(spark, sf_dir).select(F.col("id").alias("uid"), "member_type")
     j = e.join(u, e.user_id == u.uid).where(F.col("member_type").isin("student", "external"))
-    return j.select(
+    return _stored(j.select(
         F.col("event_id").alias("id"), "user_id",
         F.to_date("ts").alias("visit_date"),
         F.when(F.col("member_type") == "student", 5).otherwise(30).cast("int").alias("amount"),
         F.when(F.col("event_id") % 2 == 0, "qr").otherwise("cash").alias("pay_method"),
         F.col("ts").alias("created_at"),
-    )
+    ), "user_id")
 
 
 # Fixed mapping of event types to notification types (FIXTURES.md section 3).
@@ -248,7 +268,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("read_at"),
         F.to_date(told).alias("created_date"),
     )
-    return from_events.unionByName(from_loans)
+    return _stored(from_events.unionByName(from_loans), "user_id")
 
 
 # ---------------------------------------------------------------- bulk inputs

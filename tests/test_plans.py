@@ -23,11 +23,27 @@ def test_returns_summed_once_per_loan(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    import __spark_entry__ as E
-    p = plan(E.queries()["open_loans"](spark, SF))
-    assert "PushedFilters: [IsNotNull(l_returnflag), Not(EqualTo(l_returnflag,R))" in p
-    p = plan(E.queries()["lendable_items"](spark, SF))
-    assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_size:int>" in p
+    import tempfile
+    from kitlend.operators import balances as B
+    from kitlend.sources import fixtures as fx
+    from kitlend.sources.tables import read_lending, write_lending
+    out = tempfile.mkdtemp(prefix="kitlend-plan-")
+    write_lending(fx.lending(spark, SF), out)
+    s = read_lending(spark, out)
+    p = plan(B.lendable_items(s))
+    assert "PushedFilters: [IsNotNull(active), IsNotNull(stock), EqualTo(active,true), GreaterThan(stock,0)]" in p
+    assert "ReadSchema: struct<id:bigint,item_name:string,stock:int,active:boolean>" in p
+    p = plan(B.tx_outstanding(s))
+    assert "PartitionFilters: [isnotnull(loan_state" in p
+
+
+def test_co_partitioned_loans_and_returns_need_no_shuffle_for_the_return_sum(spark):
+    from kitlend.operators import balances as B
+    from kitlend.sources import fixtures as fx
+    l = fx.lending(spark, SF)
+    df = B.with_returned(l.transactions, l.transaction_returns)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in p
 
 
 def test_feed_rank_filter_limits_before_shuffle(spark):
