@@ -137,7 +137,7 @@ def apply_inventory_changes(l: Lending, checked: DataFrame) -> DataFrame:
     """The new inventory snapshot: accepted edits overwrite name, stock and
     active; accepted creates are appended with ``id`` NULL (the sink assigns
     ids); other rows are unchanged."""
-    acc = checked.where(F.col("accepted"))
+    acc = checked.where(F.col("accepted")).checkpoint(eager=True)
     edits = acc.where(F.col("id").isNotNull()).select(
         F.col("id").alias("_eid"), F.col("name").alias("_n"), F.col("stock").alias("_s"),
         F.col("active").alias("_a"))

@@ -105,12 +105,13 @@ def settle_returns(l: Lending, events: DataFrame) -> DataFrame:
 def return_hold_releases(l: Lending, settled: DataFrame) -> DataFrame:
     """Members with an accepted return and nothing outstanding after the batch;
     the note names the last accepted loan, the one that emptied the account."""
-    acc = settled.where(F.col("accepted"))
+    # Decided once: both the per-member and the per-loan summaries read it.
+    acc = settled.where(F.col("accepted")).select("user_id", "ts", "event_id", "tx_id",
+                                                   "remaining_after").checkpoint(eager=True)
     last = (acc.groupBy("user_id")
             .agg(F.max(F.struct("ts", "event_id", "tx_id")).alias("_last"))
             .select("user_id", F.col("_last.tx_id").alias("_tx")))
-    final = (settled.where(F.col("accepted"))
-             .groupBy("tx_id").agg(F.min("remaining_after").alias("_final_left")))
+    final = (acc.groupBy("tx_id").agg(F.min("remaining_after").alias("_final_left")))
     loans = with_returned(open_loans(l), l.transaction_returns)
     items = l.inventory.select(F.col("id").alias("_iid"))
     loans = loans.join(items, loans["inventory_id"] == items["_iid"], "left_semi")

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kitlend.operators.history import ref_of
+from kitlend.operators.balances import loan_age, open_loans
 from kitlend.operators.overdue import overdue_2_6_days, overdue_7_plus
+from kitlend.operators.ranking import global_rank
 from kitlend.sources.fixtures import Lending
 
 # Fixed notification types and rules of the reference.
@@ -53,7 +55,7 @@ def staff_roster(l: Lending) -> tuple[DataFrame, int]:
     staff = (l.users.join(F.broadcast(roles), F.col("role_id") == F.col("_rid"), "left_semi")
              .select(F.col("id").alias("staff_id"), F.col("email").alias("staff_email")))
     n = staff.count()
-    ranked = staff.withColumn("staff_rank", F.row_number().over(Window.orderBy("staff_id")))
+    ranked = global_rank(staff, "staff_id", "staff_rank")
     return (F.broadcast(ranked) if n <= MAX_BROADCAST_STAFF else ranked), n
 
 
@@ -235,17 +237,20 @@ def thai_date(c: Column) -> Column:
 
 
 def faculty_letters(l: Lending, as_of: dt.date) -> DataFrame:
-    """One letter row per 7+ day loan, addressed to the member's faculty."""
-    d7 = overdue_7_plus(l, as_of)
-    t = l.transactions.select(F.col("id").alias("_tid"), "borrow_date", "escalated_at")
+    """One letter row per 7+ day loan, addressed to the member's faculty.
+    Reads the loan columns it needs in the same pass (no re-join to loans)."""
+    age = loan_age(as_of)
+    d7 = open_loans(l).where(age >= 7)
+    items = l.inventory.select(F.col("id").alias("_iid"), "item_name")
     u = l.users.select(F.col("id").alias("_uid"), "full_name", "email", "faculty")
-    j = (d7.join(t, d7["tx_id"] == t["_tid"]).join(u, d7["user_id"] == u["_uid"], "left"))
+    j = (d7.join(items, d7["inventory_id"] == items["_iid"])
+         .join(u, d7["user_id"] == u["_uid"], "left"))
     return j.select(
-        "tx_id", F.coalesce(F.col("faculty"), F.lit("(unspecified)")).alias("faculty"),
+        F.col("id").alias("tx_id"), F.coalesce(F.col("faculty"), F.lit("(unspecified)")).alias("faculty"),
         F.coalesce(F.col("full_name"), F.lit("-")).alias("full_name"),
         F.coalesce(F.col("email"), F.lit("-")).alias("email"),
         "item_name", "qty", thai_date(F.col("borrow_date")).alias("borrow_date_th"),
-        "days_overdue", F.col("escalated_at").isNotNull().alias("escalated"))
+        age.alias("days_overdue"), F.col("escalated_at").isNotNull().alias("escalated"))
 
 
 def write_letters(letters: DataFrame, path: str) -> None:

@@ -41,3 +41,12 @@ def test_settlement_fold_hot_loan_matches_brute_force(spark):
     want = brute(evs, 300, SETTLEMENT.one)
     assert got == want
     assert {c for _, _, c in want.values()} >= {None, "over"}
+
+
+def test_global_rank_matches_sorted_order(spark):
+    from kitlend.operators.ranking import global_rank
+    rnd = random.Random(3)
+    ids = rnd.sample(range(100_000), 500)
+    df = spark.createDataFrame([(i,) for i in ids], "k long")
+    got = {r["k"]: r["rank"] for r in global_rank(df, "k").collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(ids))}
