@@ -30,9 +30,12 @@ def read_table_jdbc(spark: SparkSession, url: str, table: str, properties: dict[
     if table == "notifications":
         df = df.withColumn("meta", F.col("meta").cast("string"))
     schema = S.TABLES[table]
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(
-        "string" if f.name in ("id", "user_id", "inventory_id", "transaction_id") else f.dataType)
-        .alias(f.name) for f in schema.fields])
+    uuid_cols = {"user_id", "inventory_id", "transaction_id"} | ({"id"} if table != "roles" else set())
+
+    def typed(f):
+        c = F.col(f.name) if f.name in df.columns else F.lit(None)
+        return c.cast("string" if f.name in uuid_cols else f.dataType).alias(f.name)
+    return df.select(*[typed(f) for f in schema.fields])
 
 
 def read_lending_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
