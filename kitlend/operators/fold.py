@@ -10,14 +10,15 @@ a hot key (say a third of all rows) into one task. Instead:
    many partitions, each holding a contiguous run of its events; the tagged
    rows are checkpointed to the cluster's checkpoint directory, which fixes
    the partitioning and cuts lineage;
-3. only keys that touch a partition edge (at most the first and the last key
-   of each partition) can continue across partitions. For those, each
-   partition emits a transfer table: the end state for every possible start
-   state in [lo, cap], where cap is the key's start state (states never
-   grow). Tables are composed per key in partition order; the result has at
-   most two rows per partition, a proven bound, and is broadcast;
-4. each partition replays its rows from the known start states, row by row
-   over numpy arrays, without another shuffle.
+3. a key continues across partitions only if it is the last key of one
+   partition and the first of the next; Spark finds those from one
+   (first, last) row per partition. For each such key and partition, a
+   transfer table gives the end state for every possible start state in
+   [lo, cap], where cap is the key's start state (states never grow). Tables
+   are composed per key in partition order; the result has at most one row
+   per partition, a proven bound, and is broadcast;
+4. each partition replays its rows from the known start states, streaming
+   batch by batch, without another shuffle.
 
 States are small integers (units left); a step is written twice: vectorised
 over all candidate states (for tables) and as a scalar (for replay).
@@ -31,7 +32,7 @@ from typing import Callable
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,19 +52,39 @@ class FoldSpec:
     one: Callable[[int, tuple], tuple[int, str | None]]
 
 
+TARGET_PARTITION_BYTES = 128 << 20
+
+
+MAX_RANGE_PARTITIONS = 200_000
+
+
+def _range_partitions(df: DataFrame, floor: int) -> int:
+    """Enough range partitions that each holds about 128 MB of input; a plan
+    without statistics reports an unbounded size and gets the floor."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // TARGET_PARTITION_BYTES)
+    if wanted > MAX_RANGE_PARTITIONS:
+        return floor
+    return max(floor, wanted)
+
+
 def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
                  spec: FoldSpec, partitions: int | None = None) -> DataFrame:
     """Decide every row of ``events`` in (key, order) order.
 
     ``events`` must carry ``start_col``, the key's start state (an int).
     Adds ``state_before``, ``state_after`` (long) and ``code`` (string).
+    Python tasks stream their partition batch by batch: memory per task is
+    one Arrow batch plus, for a key that crosses partitions, one table of at
+    most (start state + 2) integers.
     """
     spark = events.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = events.withColumn("_start", F.col(start_col).cast("long"))
     # The range bounds are sampled by a job of their own; keep the input so
     # that job and the checkpoint write do not both recompute it.
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    n_parts = partitions or _range_partitions(
+        base, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tagged = (base.repartitionByRange(n_parts, F.col(key), *[F.col(c) for c in order])
               .sortWithinPartitions(key, *order)
               .withColumn("_seg", F.spark_partition_id()))
@@ -74,26 +95,44 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     lo = spec.lo
     inputs = list(spec.inputs)
 
+    # Keys that continue across a partition edge: the last key of a partition
+    # equals the first key of the next non-empty one. One row per partition.
+    bounds = tagged.groupBy("_seg").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    w = Window.orderBy("_seg")
+    crossing = (bounds.withColumn("_next_first", F.lead("_first").over(w))
+                .where(F.col("_last") == F.col("_next_first"))
+                .select(F.col("_last").alias(key)).distinct())
+    spans = (tagged.join(F.broadcast(crossing), key, "left_semi")
+             .select(key, "_seg").distinct())
+
     def edge_tables(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
-            return
-        seg = int(pdf["_seg"].iloc[0])
-        keys = pdf[key]
+        # rows arrive sorted; only rows of crossing keys reach this function
+        cur, seg, cap, states = None, None, None, None
         out = []
-        for k in {keys.iloc[0], keys.iloc[-1]}:
-            rows = pdf[keys == k]
-            cap = int(rows["_start"].iloc[0])
-            states = np.arange(lo, max(cap, lo) + 1, dtype=np.int64)
-            for row in rows[inputs].itertuples(index=False, name=None):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = pdf[key].tolist()
+            starts = pdf["_start"].tolist()
+            segs = pdf["_seg"].tolist()
+            rows = list(pdf[inputs].itertuples(index=False, name=None))
+            for k, st, sg, row in zip(keys, starts, segs, rows):
+                if k != cur:
+                    if cur is not None:
+                        out.append((cur, seg, cap, states.tolist()))
+                    cur, seg, cap = k, int(sg), int(st)
+                    states = np.arange(lo, max(cap, lo) + 1, dtype=np.int64)
                 states = spec.vec(states, row)
-            out.append((k, seg, cap, states.tolist()))
-        yield pd.DataFrame(out, columns=[key, "_seg", "_cap", "_table"])
+        if cur is not None:
+            out.append((cur, seg, cap, states.tolist()))
+        if out:
+            yield pd.DataFrame(out, columns=[key, "_seg", "_cap", "_table"])
 
     edge_schema = T.StructType([
         T.StructField(key, key_type), T.StructField("_seg", T.IntegerType()),
         T.StructField("_cap", T.LongType()), T.StructField("_table", T.ArrayType(T.LongType()))])
-    edges = tagged.mapInPandas(edge_tables, edge_schema)
+    edge_rows = tagged.join(F.broadcast(spans), [key, "_seg"], "left_semi")
+    edges = edge_rows.mapInPandas(edge_tables, edge_schema)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seg")
@@ -118,31 +157,33 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     out_cols = [f.name for f in out_schema.fields]
 
     def replay(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values([key, *order], kind="stable").reset_index(drop=True)
-        before = np.empty(len(pdf), dtype=np.int64)
-        after = np.empty(len(pdf), dtype=np.int64)
-        codes = [None] * len(pdf)
-        keys = pdf[key].tolist()
-        start_in = pdf["_state_in"].tolist()
-        start = pdf["_start"].tolist()
-        rows = list(pdf[inputs].itertuples(index=False, name=None))
-        prev = object()
-        s = 0
-        for i, k in enumerate(keys):
-            if k != prev:
-                si = start_in[i]
-                s = int(start[i]) if si is None or pd.isna(si) else int(si)
-                prev = k
-            before[i] = s
-            s, codes[i] = spec.one(s, rows[i])
-            after[i] = s
-        pdf["state_before"] = before
-        pdf["state_after"] = after
-        pdf["code"] = codes
-        yield pdf[out_cols]
+        prev, s = object(), 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            # a broadcast join keeps the partition's row order; sort the batch
+            # defensively, keys are contiguous across batches
+            pdf = pdf.sort_values([key, *order], kind="stable").reset_index(drop=True)
+            n = len(pdf)
+            before = np.empty(n, dtype=np.int64)
+            after = np.empty(n, dtype=np.int64)
+            codes = [None] * n
+            keys = pdf[key].tolist()
+            start_in = pdf["_state_in"].tolist()
+            start = pdf["_start"].tolist()
+            rows = list(pdf[inputs].itertuples(index=False, name=None))
+            for i, k in enumerate(keys):
+                if k != prev:
+                    si = start_in[i]
+                    s = int(start[i]) if si is None or pd.isna(si) else int(si)
+                    prev = k
+                before[i] = s
+                s, codes[i] = spec.one(s, rows[i])
+                after[i] = s
+            pdf["state_before"] = before
+            pdf["state_after"] = after
+            pdf["code"] = codes
+            yield pdf[out_cols]
 
     return joined.mapInPandas(replay, out_schema).drop("_start", "_seg")
 
