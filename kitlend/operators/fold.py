@@ -102,8 +102,6 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     crossing = (bounds.withColumn("_next_first", F.lead("_first").over(w))
                 .where(F.col("_last") == F.col("_next_first"))
                 .select(F.col("_last").alias(key)).distinct())
-    spans = (tagged.join(F.broadcast(crossing), key, "left_semi")
-             .select(key, "_seg").distinct())
 
     def edge_tables(batches):
         # rows arrive sorted; only rows of crossing keys reach this function
@@ -131,7 +129,8 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     edge_schema = T.StructType([
         T.StructField(key, key_type), T.StructField("_seg", T.IntegerType()),
         T.StructField("_cap", T.LongType()), T.StructField("_table", T.ArrayType(T.LongType()))])
-    edge_rows = tagged.join(F.broadcast(spans), [key, "_seg"], "left_semi")
+    # at most one crossing key per partition edge: a proven bound
+    edge_rows = tagged.join(F.broadcast(crossing), key, "left_semi")
     edges = edge_rows.mapInPandas(edge_tables, edge_schema)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
