@@ -19,8 +19,8 @@ DEFAULT_MAIL_DOMAIN = "@mail.example.edu"
 
 
 def _roles_by_name(l: Lending) -> DataFrame:
-    # The roles table holds the four fixed seed rows: a proven size bound.
-    return F.broadcast(l.roles.select(F.col("id").alias("_role_id"), F.col("name").alias("_role")))
+    # A dimension of a few rows; AQE broadcasts it after measuring it.
+    return l.roles.select(F.col("id").alias("_role_id"), F.col("name").alias("_role"))
 
 
 def register_members(l: Lending, regs: DataFrame, mail_domain: str = DEFAULT_MAIL_DOMAIN,

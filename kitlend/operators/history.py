@@ -105,7 +105,7 @@ def admin_users(l: Lending, n: int = 200) -> DataFrame:
     """J5 + P12 + K4: newest n users with role name and effective role."""
     r = l.roles.select(F.col("id").alias("_rid"), F.col("name").alias("role"))
     u = l.users
-    j = u.join(F.broadcast(r), u["role_id"] == r["_rid"], "left")
+    j = u.join(r, u["role_id"] == r["_rid"], "left")
     return (j.select("id", "full_name", "email", "member_type", "created_at", "role",
                      F.coalesce(F.col("role"), F.col("member_type")).alias("effective_role"))
             .orderBy(F.col("created_at").desc_nulls_first(), F.col("id")).limit(n))
@@ -166,7 +166,7 @@ def admin_dashboard(l: Lending, as_of: dt.date) -> DataFrame:
     once with conditional counts; the small per-table results are unioned."""
     roles = l.roles.select(F.col("id").alias("_rid"), F.col("name").alias("_role"))
     per_role = (l.users.groupBy("role_id", "member_type").agg(F.count(F.lit(1)).alias("n")))
-    pr = per_role.join(F.broadcast(roles), per_role["role_id"] == roles["_rid"], "left")
+    pr = per_role.join(roles, per_role["role_id"] == roles["_rid"], "left")
     users_m = pr.agg(
         F.sum("n").alias("users_total"),
         F.sum(F.when(F.col("member_type") == "student", F.col("n"))).alias("users_student"),

@@ -52,7 +52,7 @@ def staff_roster(l: Lending) -> tuple[DataFrame, int]:
     over the bound is joined with a shuffle instead.
     """
     roles = l.roles.where(F.col("name").isin(*STAFF_ROLES)).select(F.col("id").alias("_rid"))
-    staff = (l.users.join(F.broadcast(roles), F.col("role_id") == F.col("_rid"), "left_semi")
+    staff = (l.users.join(roles, F.col("role_id") == F.col("_rid"), "left_semi")
              .select(F.col("id").alias("staff_id"), F.col("email").alias("staff_email")))
     n = staff.count()
     ranked = global_rank(staff, "staff_id", "staff_rank")

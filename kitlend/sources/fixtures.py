@@ -288,10 +288,10 @@ def loan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def return_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with even suppkey give an event at the ship date with quantity
-    (partkey % 5) * 4, zero meaning "all that is left"; suppkey % 6 = 0 adds a
-    second event a day later without quantity. R-flag lines are not loans."""
-    lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 2 == 0)
+    """Every line gives an event at the ship date with quantity (partkey % 5) * 4,
+    zero meaning "all that is left"; suppkey % 6 = 0 adds a second event a day
+    later without quantity. R-flag lines are not loans (unknown loan ids)."""
+    lines = _order_lines(spark, sf_dir)
     n = F.when(F.col("l_suppkey") % 6 == 0, 2).otherwise(1)
     rows = lines.select("line_id", "l_shipdate", "l_partkey",
                         F.explode(F.sequence(F.lit(1), n)).alias("n"))
@@ -370,7 +370,7 @@ def visit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def promise_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 10 == 3)
+    lines = _order_lines(spark, sf_dir)
     ln = F.col("l_linenumber")
     date_text = (F.when(ln % 3 == 0, F.lit(""))
                  .when(ln % 3 == 1, F.date_format(F.date_add(F.to_date("o_orderdate"), 10), "yyyy-MM-dd"))
@@ -397,7 +397,7 @@ def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer").where(F.col("c_custkey") % 11 == 0)
+    c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     names = F.array(F.lit("student"), F.lit("external"), F.lit("Staff"), F.lit("admin"), F.lit("owner"))
     return c.select(key.alias("req_id"), key.alias("user_id"),
@@ -417,9 +417,9 @@ def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staff pressing "notify member" on lines with suppkey % 3 = 1 (R lines are
-    unknown loans); suppkey % 9 = 1 presses twice."""
-    lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 3 == 1)
+    """Staff pressing "notify member" on every line (R lines are unknown loans);
+    suppkey % 9 = 1 presses twice."""
+    lines = _order_lines(spark, sf_dir)
     n = F.when(F.col("l_suppkey") % 9 == 1, 2).otherwise(1)
     rows = lines.select("line_id", F.explode(F.sequence(F.lit(1), n)).alias("n"))
     return rows.select(F.concat(F.col("line_id"), F.lit("-n"), F.col("n").cast("string")).alias("req_id"),
@@ -428,8 +428,8 @@ def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staff marking letters as sent, on lines with suppkey % 4 = 1."""
-    lines = _order_lines(spark, sf_dir).where(F.col("l_suppkey") % 4 == 1)
+    """Staff marking the letter of every line as sent (R lines are unknown loans)."""
+    lines = _order_lines(spark, sf_dir)
     return lines.select(F.col("line_id").alias("tx_id"))
 
 
@@ -443,20 +443,20 @@ def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def delete_user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletes asked for customers with key % 13 = 0, and for unknown ids."""
+    """A delete asked for every customer, and for unknown ids."""
     c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
-    known = c.where(key % 13 == 0).select(key.alias("user_id"))
+    known = c.select(key.alias("user_id"))
     unknown = c.where(key % 26 == 0).select((key + 1_000_000_000).alias("user_id"))
     return known.unionByName(unknown)
 
 
 @_memo
 def item_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletes asked for parts with key % 6 = 0, and for unknown ids."""
+    """A delete asked for every part, and for unknown ids."""
     p = _read(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    return (p.where(key % 6 == 0).select(key.alias("id"))
+    return (p.select(key.alias("id"))
             .unionByName(p.where(key % 12 == 0).select((key + 1_000_000_000).alias("id"))))
 
 
