@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kitlend.session import ship_package
+
 
 @dataclass(frozen=True)
 class FoldSpec:
@@ -79,6 +81,7 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     most (start state + 2) integers.
     """
     spark = events.sparkSession
+    ship_package(spark)
     base = events.withColumn("_start", F.col(start_col).cast("long"))
     # The range bounds are sampled by a job of their own; keep the input so
     # that job and the checkpoint write do not both recompute it.
