@@ -161,6 +161,25 @@ def notification_dedupe(l: Lending, as_of: dt.date,
             .withColumn("created_date", F.lit(as_of)))
 
 
+def staff_rotation_schedule(l: Lending, start: dt.date, end: dt.date) -> DataFrame:
+    """N2 over many days with no stored history (a backfill): the 2-6 day staff
+    notice of a loan goes, on its k-th due day, to the k-th staff member by id
+    (the daily rule lets one through per day; the once rule blocks those told).
+    At most five rows per open loan; days outside [start, end] are dropped.
+    Assumes the loans stay open over the window, as the overdue view does on
+    each run day."""
+    roster, _ = staff_roster(l)
+    loans = open_loans(l).where(F.col("borrow_date").isNotNull())
+    due = (loans.select(F.col("id").alias("ref"), "user_id", "borrow_date",
+                        F.explode(F.sequence(F.lit(2), F.lit(6))).alias("days_overdue"))
+           .withColumn("day", F.date_add(F.col("borrow_date"), F.col("days_overdue")))
+           .where(F.col("day").between(F.lit(start), F.lit(end))))
+    return (due.withColumn("k", (F.col("days_overdue") - 1).cast("int"))
+            .join(roster, F.col("k") == roster["staff_rank"])
+            .select("ref", "user_id", "day", "days_overdue",
+                    F.col("staff_id").alias("recipient_id")))
+
+
 def mail_outbox(l: Lending, as_of: dt.date, candidates: DataFrame | None = None) -> DataFrame:
     """Mail is not de-duplicated: every candidate mails on every run.
     Member notices go to the member's address; staff notices go to every staff

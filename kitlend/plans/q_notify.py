@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from kitlend.operators import notify as N
 from kitlend.operators import updates as U
 from kitlend.plans.catalog import register
@@ -207,3 +209,18 @@ LEFT JOIN (SELECT t.* FROM transactions t WHERE t.inventory_id IN (SELECT id FRO
   ON t.id = r.tx_id"""))
 def q_manual_notice(spark, sf_dir):
     return U.manual_notice(lending(spark, sf_dir), AS_OF, fx.manual_notice_requests(spark, sf_dir))
+
+
+ROTATION_FROM, ROTATION_TO = dt.date(2001, 7, 1), AS_OF
+
+
+@register("staff_rotation_schedule", oracle(f"""
+SELECT t.id AS ref, t.user_id, CAST(t.borrow_date + d.n AS DATE) AS day,
+       CAST(d.n AS INTEGER) AS days_overdue, r.staff_id AS recipient_id
+FROM transactions t JOIN (VALUES (2), (3), (4), (5), (6)) d(n) ON TRUE
+JOIN _roster r ON r.staff_rank = d.n - 1
+WHERE t.return_date IS NULL AND t.borrow_date IS NOT NULL
+  AND t.borrow_date + d.n BETWEEN DATE '{ROTATION_FROM}' AND DATE '{ROTATION_TO}'"""))
+def q_staff_rotation_schedule(spark, sf_dir):
+    return N.staff_rotation_schedule(lending(spark, sf_dir), ROTATION_FROM, ROTATION_TO)
+

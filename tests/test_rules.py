@@ -256,3 +256,11 @@ def test_inventory_changes_and_archive(spark):
     dels = spark.createDataFrame([(1,), (2,), (99,)], "id long")
     out = rows(C.delete_or_archive_items(l, dels, TS(2001, 8, 5, 1)), "id", "outcome", "active")
     assert out == [(1, "archived", False), (2, "deleted", True), (99, "not_found", None)]
+
+
+def test_rotation_schedule_matches_day_by_day_runs(spark):
+    borrowed = D(2001, 8, 1)
+    l = make_lending(spark, users=[user(1)] + STAFF, inventory=[item(1)],
+                     transactions=[loan("L", 1, 1, 1, borrowed)])
+    sched = rows(N.staff_rotation_schedule(l, D(2001, 8, 1), D(2001, 8, 10)), "day", "recipient_id")
+    assert sched == [(D(2001, 8, 3), 10), (D(2001, 8, 4), 11), (D(2001, 8, 5), 12)]
