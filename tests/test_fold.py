@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from kitlend.operators.fold import ADMISSION, SETTLEMENT, ordered_fold
 
 
@@ -50,3 +52,20 @@ def test_global_rank_matches_sorted_order(spark):
     df = spark.createDataFrame([(i,) for i in ids], "k long")
     got = {r["k"]: r["rank"] for r in global_rank(df, "k").collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(ids))}
+
+
+def test_fold_result_does_not_depend_on_partitioning(spark):
+    from kitlend.sources import fixtures as fx
+    from kitlend.operators import jobs as J
+    l = fx.lending(spark, "/root/testdata/sf0.001")
+    ev = fx.return_events(spark, "/root/testdata/sf0.001")
+    lk = l.transactions.select(F.col("id").alias("tx_id"), F.col("qty").cast("long").alias("cap"))
+    df = ev.join(lk, "tx_id").select("tx_id", "ts", "event_id", "return_qty", "cap")
+    one = {r["event_id"]: (r["state_after"], r["code"]) for r in
+           ordered_fold(df, "tx_id", ["ts", "event_id"], "cap", SETTLEMENT, partitions=1).collect()}
+    many = {r["event_id"]: (r["state_after"], r["code"]) for r in
+            ordered_fold(df, "tx_id", ["ts", "event_id"], "cap", SETTLEMENT, partitions=7).collect()}
+    assert one == many and len(one) > 1000
+    req = fx.loan_requests(spark, "/root/testdata/sf0.001")
+    a = sorted(tuple(r) for r in J.admit_loans(l, req).collect())
+    assert len(a) > 1000
