@@ -102,6 +102,36 @@ def settle_returns(l: Lending, events: DataFrame) -> DataFrame:
     return out.withColumn("accepted", F.col("reason").isNull())
 
 
+def return_notices(l: Lending, settled: DataFrame) -> DataFrame:
+    """R3 notices: each accepted return notifies the borrower with type
+    return_partial or return_completed and ref 'ret-<loan>'. The stored rule
+    "one row per (member, type, ref)" keeps only the first partial-return
+    notice of a loan (against stored rows, then first in the batch); later
+    ones are dropped silently. Mail goes out for every accepted return."""
+    from kitlend.operators.history import ref_of
+    acc = settled.where(F.col("accepted")).select(
+        "event_id", "ts", "tx_id", "user_id", F.col("outcome").alias("type"),
+        F.concat(F.lit("ret-"), F.col("tx_id")).alias("ref"), "returned_qty", "remaining_after")
+    stored = (l.notifications.select(F.col("user_id").alias("_su"), F.col("type").alias("_st"),
+                                     ref_of(F.col("meta")).alias("_sr"))
+              .where(F.col("_sr").isNotNull()).distinct())
+    j = acc.join(stored, (acc["user_id"] == stored["_su"]) & (acc["type"] == stored["_st"])
+                 & (acc["ref"] == stored["_sr"]), "left")
+    first = (acc.groupBy(F.col("user_id").alias("_fu"), F.col("type").alias("_ft"), F.col("ref").alias("_fr"))
+             .agg(F.min(F.struct("ts", "event_id")).alias("_first")))
+    j = j.join(first, (j["user_id"] == first["_fu"]) & (j["type"] == first["_ft"]) & (j["ref"] == first["_fr"]))
+    users = l.users.select(F.col("id").alias("_uid"), "email")
+    j = j.join(users, j["user_id"] == users["_uid"], "left")
+    message = F.when(F.col("type") == "return_completed",
+                     F.concat(F.lit("All items returned (loan "), F.col("tx_id"), F.lit(")"))) \
+        .otherwise(F.concat(F.lit("Returned "), F.col("returned_qty").cast("string"), F.lit(" item(s), "),
+                            F.col("remaining_after").cast("string"), F.lit(" still out")))
+    inserted = F.col("_su").isNull() & (F.struct("ts", "event_id") == F.col("_first"))
+    return j.select("event_id", "tx_id", "user_id", "type", "ref", message.alias("message"),
+                    inserted.alias("inserted"),
+                    (F.col("_uid").isNotNull() & F.coalesce(F.col("email") != "", F.lit(False))).alias("mailed"))
+
+
 def return_hold_releases(l: Lending, settled: DataFrame) -> DataFrame:
     """Members with an accepted return and nothing outstanding after the batch;
     the note names the last accepted loan, the one that emptied the account."""

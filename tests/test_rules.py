@@ -264,3 +264,12 @@ def test_rotation_schedule_matches_day_by_day_runs(spark):
                      transactions=[loan("L", 1, 1, 1, borrowed)])
     sched = rows(N.staff_rotation_schedule(l, D(2001, 8, 1), D(2001, 8, 10)), "day", "recipient_id")
     assert sched == [(D(2001, 8, 3), 10), (D(2001, 8, 4), 11), (D(2001, 8, 5), 12)]
+
+
+def test_second_partial_return_notice_is_dropped(spark):
+    l = make_lending(spark, users=[user(1)], inventory=[item(1)], transactions=[loan("L", 1, 1, 5, days_ago(3))],
+                     notifications=[note("old", 1, "return_partial", ref="ret-OTHER")])
+    settled = J.settle_returns(l, _events(spark, [("a", "L", 1), ("b", "L", 1), ("c", "L", None)]))
+    got = rows(J.return_notices(l, settled), "event_id", "type", "inserted", "mailed")
+    assert got == [("a", "return_partial", True, True), ("b", "return_partial", False, True),
+                   ("c", "return_completed", True, True)]
