@@ -68,7 +68,9 @@ def borrow_hold_releases(l: Lending, requests: DataFrame) -> DataFrame:
     rel = (req.select("user_id").distinct()
            .join(holders, "user_id", "left_semi")
            .join(open_loans(l).select("user_id"), "user_id", "left_anti"))
-    return rel.select("user_id", F.lit(NOTE_BORROW).alias("note"), F.lit(2).alias("priority"))
+    # released silently: the borrow path sends no notice (ref NULL)
+    return rel.select("user_id", F.lit(NOTE_BORROW).alias("note"), F.lit(2).alias("priority"),
+                      F.lit(None).cast("string").alias("ref"))
 
 
 def settle_returns(l: Lending, events: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def return_hold_releases(l: Lending, settled: DataFrame) -> DataFrame:
     still = after.where(F.col("_left") > 0).select("user_id")
     rel = last.join(still, "user_id", "left_anti")
     return rel.select("user_id", F.concat(F.lit("auto-clear: returned tx "), F.col("_tx")).alias("note"),
-                      F.lit(3).alias("priority"))
+                      F.lit(3).alias("priority"), F.concat(F.lit("clear-"), F.col("_tx")).alias("ref"))
 
 
 def clear_holds(l: Lending, releases: DataFrame, at: dt.datetime) -> DataFrame:
@@ -172,6 +174,28 @@ def clear_holds(l: Lending, releases: DataFrame, at: dt.datetime) -> DataFrame:
         hit.alias("cleared_now"))
 
 
+def hold_release_notices(l: Lending, releases: DataFrame) -> DataFrame:
+    """R9 notices: a member whose active hold is cleared is told (type
+    hold_cleared) unless the release came from a borrow request, which clears
+    silently. The notice ref is 'hold-clear-<member>' (manual) or
+    'clear-<loan>' (after a return); the once-per-(member, type, ref) rule
+    drops a repeat. Staff hold_cleared notices fall outside the default staff
+    allow-list and are not produced."""
+    from kitlend.operators.history import ref_of
+    best = (releases.groupBy("user_id").agg(F.min(F.struct("priority", "note", "ref")).alias("_b"))
+            .select("user_id", F.col("_b.ref").alias("ref")))
+    cleared = best.join(active_holds(l).select("user_id").distinct(), "user_id", "left_semi")
+    stored = (l.notifications.where(F.col("type") == "hold_cleared")
+              .select(F.col("user_id").alias("_su"), ref_of(F.col("meta")).alias("_sr")).distinct())
+    out = (cleared.where(F.col("ref").isNotNull())
+           .join(stored, (F.col("user_id") == F.col("_su")) & (F.col("ref") == F.col("_sr")), "left_anti"))
+    return out.select("user_id", F.lit("hold_cleared").alias("type"), "ref",
+                      F.when(F.col("ref").startswith("hold-clear-"),
+                             F.lit("A staff member lifted your borrowing hold"))
+                      .otherwise(F.lit("Nothing is outstanding any more, so your borrowing hold is lifted"))
+                      .alias("message"))
+
+
 # Fixed fee table (baht) and accepted lists of the visit form.
 VISIT_FEES = {"student": 5, "external": 30}
 PAY_METHODS = ("cash", "qr")

@@ -188,7 +188,9 @@ _CTES = {
     "escalation_requests": """
   SELECT line_id AS tx_id FROM _lines""",
     "manual_hold_releases": """
-  SELECT c_custkey AS user_id, 'manual' AS note, 1 AS priority FROM customer WHERE c_acctbal < -500""",
+  SELECT c_custkey AS user_id, 'manual' AS note, 1 AS priority,
+         'hold-clear-' || CAST(c_custkey AS VARCHAR) AS ref
+  FROM customer WHERE c_acctbal < -500""",
     "delete_user_requests": """
   SELECT c_custkey AS user_id FROM customer
   UNION ALL SELECT c_custkey + 1000000000 FROM customer WHERE c_custkey % 26 = 0""",

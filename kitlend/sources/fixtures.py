@@ -438,7 +438,8 @@ def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff clearing holds by hand for customers with a balance below -500."""
     c = _read(spark, sf_dir, "customer").where(F.col("c_acctbal") < -500)
     return c.select(F.col("c_custkey").alias("user_id"), F.lit("manual").alias("note"),
-                    F.lit(1).alias("priority"))
+                    F.lit(1).alias("priority"),
+                    F.concat(F.lit("hold-clear-"), F.col("c_custkey").cast("string")).alias("ref"))
 
 
 @_memo

@@ -273,3 +273,14 @@ def test_second_partial_return_notice_is_dropped(spark):
     got = rows(J.return_notices(l, settled), "event_id", "type", "inserted", "mailed")
     assert got == [("a", "return_partial", True, True), ("b", "return_partial", False, True),
                    ("c", "return_completed", True, True)]
+
+
+def test_hold_release_notices(spark):
+    holds = [(i, i, "overdue", TS(2001, 7, 1), None) for i in (1, 2, 3, 4)]
+    l = make_lending(spark, users=[user(i) for i in (1, 2, 3, 4)], inventory=[item(1)], user_holds=holds,
+                     notifications=[note("n", 4, "hold_cleared", ref="hold-clear-4")])
+    rel = spark.createDataFrame(
+        [(1, "manual", 1, "hold-clear-1"), (2, J.NOTE_BORROW, 2, None), (3, "auto-clear: returned tx A", 3, "clear-A"),
+         (4, "manual", 1, "hold-clear-4")], "user_id long, note string, priority int, ref string")
+    got = rows(J.hold_release_notices(l, rel), "user_id", "ref")
+    assert got == [(1, "hold-clear-1"), (3, "clear-A")]  # borrow clears silently; 4 was already told
