@@ -196,6 +196,32 @@ def hold_release_notices(l: Lending, releases: DataFrame) -> DataFrame:
                       .alias("message"))
 
 
+def borrow_notices(l: Lending, admitted: DataFrame) -> DataFrame:
+    """R2 notices: each accepted loan notifies the borrower (borrow_created,
+    ref = the new loan's id, here the request id that becomes it) and mails
+    them when they have an address."""
+    acc = admitted.where(F.col("accepted"))
+    items = l.inventory.select(F.col("id").alias("_iid"), "item_name")
+    users = l.users.select(F.col("id").alias("_uid"), "email")
+    j = (acc.join(items, acc["inventory_id"] == items["_iid"], "left")
+         .join(users, acc["user_id"] == users["_uid"], "left"))
+    msg = F.concat(F.lit("You borrowed "), F.coalesce(F.col("item_name"), F.lit("-")), F.lit(" x "),
+                   F.col("qty").cast("string"), F.lit(" on "), F.col("borrow_date").cast("string"))
+    return j.select("req_id", "user_id", F.lit("borrow_created").alias("type"),
+                    F.col("req_id").alias("ref"), msg.alias("message"),
+                    F.coalesce(F.col("email") != "", F.lit(False)).alias("mailed"))
+
+
+def visit_notices(priced: DataFrame) -> DataFrame:
+    """R5 notices: each accepted visit tells the member the day, fee and pay
+    method; the notice carries no ref, so it is never de-duplicated."""
+    acc = priced.where(F.col("accepted"))
+    label = F.when(F.col("pay_method") == "qr", "QR scan").otherwise("cash")
+    msg = F.concat(F.lit("Fitness visit on "), F.col("visit_date").cast("string"), F.lit(", paid "),
+                   F.col("amount").cast("string"), F.lit(" baht ("), label, F.lit(")"))
+    return acc.select("req_id", "user_id", F.lit("fitness_visit").alias("type"), msg.alias("message"))
+
+
 # Fixed fee table (baht) and accepted lists of the visit form.
 VISIT_FEES = {"student": 5, "external": 30}
 PAY_METHODS = ("cash", "qr")
