@@ -214,11 +214,21 @@ def write_outbox(outbox: DataFrame, path: str) -> None:
      .partitionBy("run_date").parquet(path))
 
 
-def notification_feed(l: Lending, n: int = 20, staff_only: bool = False) -> DataFrame:
-    """K2: newest n notifications per viewer (id breaks ties). The rank filter
-    plans as a WindowGroupLimit, so each map task keeps at most n rows per
-    viewer before the shuffle and a busy viewer cannot flood one task."""
+FEED_MAX = 100
+POLL_OVERLAP_SECONDS = 5
+
+
+def notification_feed(l: Lending, n: int = 20, staff_only: bool = False,
+                      since: dt.datetime | None = None) -> DataFrame:
+    """K2: newest n (at most 100) notifications per viewer, id breaking ties.
+    With ``since`` (the poll cursor) only rows created at most 5 seconds
+    before it are read, the overlap the client de-duplicates by id. The rank
+    filter plans as a WindowGroupLimit, so each map task keeps at most n rows
+    per viewer before the shuffle and a busy viewer cannot flood one task."""
+    n = min(n, FEED_MAX)
     notes = l.notifications
+    if since is not None:
+        notes = notes.where(F.col("created_at") >= ts_lit(since - dt.timedelta(seconds=POLL_OVERLAP_SECONDS)))
     if staff_only:
         roster, _ = staff_roster(l)
         notes = (notes.where(F.col("type").isin(*STAFF_ALLOWED_TYPES))

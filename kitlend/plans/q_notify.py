@@ -224,3 +224,15 @@ WHERE t.return_date IS NULL AND t.borrow_date IS NOT NULL
 def q_staff_rotation_schedule(spark, sf_dir):
     return N.staff_rotation_schedule(lending(spark, sf_dir), ROTATION_FROM, ROTATION_TO)
 
+
+FEED_SINCE = dt.datetime(2024, 1, 25, 12, 0, 0)
+
+
+@register("notification_feed_since", oracle(f"""
+SELECT user_id, CAST(pos AS INTEGER) AS pos, id, type, title, message, meta, created_at, read_at
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS FIRST, id) AS pos
+      FROM notifications WHERE created_at >= TIMESTAMP '{FEED_SINCE}' - INTERVAL 5 SECOND) f
+WHERE pos <= 100"""))
+def q_notification_feed_since(spark, sf_dir):
+    return N.notification_feed(lending(spark, sf_dir), 500, since=FEED_SINCE)
+
