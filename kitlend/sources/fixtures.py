@@ -1,9 +1,10 @@
 """Lending tables derived from the driver's TPC-H-like tables (FIXTURES.md section 3).
 
-Everything here is a lazy DataFrame over the parquet files, so the mapping is
-planned together with the job that reads it: Catalyst prunes the columns a job
-does not use and pushes its filters into the scans. Stand-in inputs only shape
-rows into the schema a job expects; none of them does the job's work.
+The mapped tables stand in for stored ones: each is built on first use,
+then materialised once per session as a reliable checkpoint, hash-partitioned
+on its key (see ``_stored``), the way the tables would sit in storage. Bulk
+job inputs are lazy frames over the mapped order lines. Stand-in inputs only
+shape rows into the schema a job expects; none of them does the job's work.
 """
 
 from __future__ import annotations
