@@ -45,17 +45,27 @@ def ts_lit(t: dt.datetime) -> Column:
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+_ROSTERS: dict[tuple, tuple[DataFrame, int, DataFrame]] = {}
+
+
 def staff_roster(l: Lending) -> tuple[DataFrame, int]:
     """Staff and admin users with a rank by id, and their count.
 
     The count is the size check that allows broadcasting the roster; a roster
-    over the bound is joined with a shuffle instead.
+    over the bound is joined with a shuffle instead. The ranked roster is a
+    checkpoint, kept per users table for the session.
     """
+    users = l.users
+    key = (users.sparkSession.sparkContext.applicationId, id(users), id(l.roles))
+    if key in _ROSTERS and _ROSTERS[key][2] is users:
+        ranked, n, _ = _ROSTERS[key]
+        return (F.broadcast(ranked) if n <= MAX_BROADCAST_STAFF else ranked), n
     roles = l.roles.where(F.col("name").isin(*STAFF_ROLES)).select(F.col("id").alias("_rid"))
     staff = (l.users.join(roles, F.col("role_id") == F.col("_rid"), "left_semi")
              .select(F.col("id").alias("staff_id"), F.col("email").alias("staff_email")))
     n = staff.count()
     ranked = global_rank(staff, "staff_id", "staff_rank")
+    _ROSTERS[key] = (ranked, n, users)
     return (F.broadcast(ranked) if n <= MAX_BROADCAST_STAFF else ranked), n
 
 
