@@ -136,19 +136,23 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     edge_rows = tagged.join(F.broadcast(crossing), key, "left_semi")
     edges = edge_rows.mapInPandas(edge_tables, edge_schema)
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seg")
-        s = int(pdf["_cap"].iloc[0])
-        ins = []
-        for table in pdf["_table"]:
-            ins.append(s)
-            s = int(table[s - lo])
-        return pd.DataFrame({key: pdf[key].values, "_seg": pdf["_seg"].values,
-                             "_state_in": np.array(ins, dtype=np.int64)})
-
-    starts = (edges.groupBy(key).applyInPandas(
-        compose, T.StructType([T.StructField(key, key_type), T.StructField("_seg", T.IntegerType()),
-                               T.StructField("_state_in", T.LongType())])))
+    # Compose the tables of each crossing key in partition order, JVM-side:
+    # a key's array holds one table per partition it spans (bounded by the
+    # partition count times the key's start state).
+    per_key = edges.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_seg", "_cap", "_table"))).alias("_segs"))
+    init = F.struct(F.col("_segs")[0]["_cap"].alias("s"),
+                    F.array().cast("array<bigint>").alias("ins"))
+    folded = F.aggregate(
+        "_segs", init,
+        lambda acc, x: F.struct(
+            F.element_at(x["_table"], (acc["s"] - F.lit(lo) + 1).cast("int")).alias("s"),
+            F.concat(acc["ins"], F.array(acc["s"])).alias("ins")))
+    starts = (per_key.select(key, F.arrays_zip(F.transform("_segs", lambda x: x["_seg"]).alias("seg"),
+                                               folded["ins"].alias("state")).alias("_z"))
+              .select(key, F.explode("_z").alias("_e"))
+              .select(key, F.col("_e.seg").cast("int").alias("_seg"),
+                      F.col("_e.state").cast("long").alias("_state_in")))
     # At most two rows per partition: a proven bound, safe to broadcast.
     joined = tagged.join(F.broadcast(starts), [key, "_seg"], "left")
 
