@@ -86,8 +86,7 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     # The range bounds are sampled by a job of their own; keep the input so
     # that job and the checkpoint write do not both recompute it.
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    n_parts = partitions or _range_partitions(
-        base, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = partitions or _range_partitions(base, spark.sparkContext.defaultParallelism)
     tagged = (base.repartitionByRange(n_parts, F.col(key), *[F.col(c) for c in order])
               .sortWithinPartitions(key, *order)
               .withColumn("_seg", F.spark_partition_id()))

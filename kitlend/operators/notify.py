@@ -64,7 +64,7 @@ def staff_roster(l: Lending) -> tuple[DataFrame, int]:
     staff = (l.users.join(roles, F.col("role_id") == F.col("_rid"), "left_semi")
              .select(F.col("id").alias("staff_id"), F.col("email").alias("staff_email")))
     n = staff.count()
-    ranked = global_rank(staff, "staff_id", "staff_rank")
+    ranked = global_rank(staff, "staff_id", "staff_rank", partitions=max(1, -(-n // 100_000)))
     _ROSTERS[key] = (ranked, n, users)
     return (F.broadcast(ranked) if n <= MAX_BROADCAST_STAFF else ranked), n
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_rank(df: DataFrame, order_col: str, rank_col: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order_col: str, rank_col: str = "rank",
+                partitions: int | None = None) -> DataFrame:
     """Number rows 1..n in ``order_col`` order (unique values).
 
     ``Window.orderBy`` without a partition moves every row to one task. Here
@@ -16,7 +17,7 @@ def global_rank(df: DataFrame, order_col: str, rank_col: str = "rank") -> DataFr
     inside the partition. The partitioned rows are checkpointed so both passes
     see the same partitions.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = (df.repartitionByRange(n, F.col(order_col))
               .withColumn("_part", F.spark_partition_id())
               .checkpoint(eager=True))
