@@ -69,3 +69,24 @@ def test_fold_result_does_not_depend_on_partitioning(spark):
     req = fx.loan_requests(spark, "/root/testdata/sf0.001")
     a = sorted(tuple(r) for r in J.admit_loans(l, req).collect())
     assert len(a) > 1000
+
+
+def test_admission_fold_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    reqs = st.lists(st.tuples(st.integers(0, 2), st.integers(1, 12), st.booleans()), min_size=1, max_size=120)
+
+    @settings(max_examples=6, deadline=None)
+    @given(reqs, st.integers(1, 8), st.integers(0, 40))
+    def check(rows, parts, cap):
+        data = [(i, k, q, known, cap) for i, (k, q, known) in enumerate(rows)]
+        df = spark.createDataFrame(data, "rid long, item long, qty int, user_known boolean, cap long")
+        got = {r["rid"]: (r["state_before"], r["state_after"], r["code"])
+               for r in ordered_fold(df, "item", ["rid"], "cap", ADMISSION, partitions=parts).collect()}
+        want = {}
+        for item in {k for k, _, _ in rows}:
+            want.update(brute([(i, q, kn) for i, (k, q, kn) in enumerate(rows) if k == item], cap,
+                              ADMISSION.one))
+        assert got == want
+
+    check()
