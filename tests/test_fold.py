@@ -90,3 +90,24 @@ def test_admission_fold_property(spark):
         assert got == want
 
     check()
+
+
+def test_settlement_fold_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    evs = st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-2, 9))),
+                   min_size=1, max_size=80)
+
+    @settings(max_examples=5, deadline=None)
+    @given(evs, st.integers(1, 6), st.integers(-1, 25))
+    def check(rows, parts, start):
+        data = [(i, f"L{k}", q, start) for i, (k, q) in enumerate(rows)]
+        df = spark.createDataFrame(data, "rid long, tx string, return_qty int, cap long")
+        got = {r["rid"]: (r["state_before"], r["state_after"], r["code"])
+               for r in ordered_fold(df, "tx", ["rid"], "cap", SETTLEMENT, partitions=parts).collect()}
+        want = {}
+        for key in {k for k, _ in rows}:
+            want.update(brute([(i, q) for i, (k, q) in enumerate(rows) if k == key], start, SETTLEMENT.one))
+        assert got == want
+
+    check()
