@@ -6,9 +6,10 @@ than 30 % of its words in 8-word windows that the text holds twice or more.
 Two histograms of a document are held against references of its language by
 the Jensen-Shannon distance (base 2, so from 0 to 1):
 
-* character classes: the bytes of a text by class (small letter, capital,
-  digit, space, line end, sentence mark, bracket or quote, symbol, other mark,
-  first byte of a longer character);
+* character classes: the bytes of a text by class (small letter or digit, so
+  that numbers and keys in good prose don't count against it, capital, space, line end, sentence mark, exclamation or question mark, bracket
+  or quote, bar, sign, other symbol, other byte, first byte of a longer
+  character);
 * common words: the words of a text that are among its language's ``COMMON``
   most frequent short words, each by itself, and all others together. Words are
   taken small and without ASCII marks at their ends; short means at most
@@ -42,23 +43,23 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
 COMMON = 64
-GUARD_CHARS = 1000
+GUARD_CHARS = 500
 GUARD_WORDS = 150
 MIN_REFERENCE = 2000
 #: Limits of the two Jensen-Shannon distances.
-MAX_CHAR_DISTANCE = 0.25
+MAX_CHAR_DISTANCE = 0.21
 MAX_WORD_DISTANCE = 0.55
 
 #: Symbols of the base counts.
 SYMBOLS = b"#*$%&|<>"
 
-_CLASSES = {b"abcdefghijklmnopqrstuvwxyz": 0, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ": 1, b"0123456789": 2, b" \t\v\f": 3,
-            b"\n\r": 4, b".,;:!?": 5, b"()[]{}'\"`-": 6, b"#*$%&|<>@^~_=+/\\": 7}
-N_CLASSES = 10
-_CLASS = np.full(256, 8, np.uint8)
-for _chars, _k in _CLASSES.items():
+_CLASSES = [b"abcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" \t\v\f", b"\n\r", b".,;:",
+            b"!?", b"()[]{}'\"`-", b"|", b"#*$%&", b"<>@^~_=+/\\"]
+N_CLASSES = len(_CLASSES) + 2  # other bytes, and first bytes of longer characters
+_CLASS = np.full(256, N_CLASSES - 2, np.uint8)
+for _k, _chars in enumerate(_CLASSES):
     _CLASS[list(_chars)] = _k
-_CLASS[0xC0:] = 9
+_CLASS[0xC0:] = N_CLASSES - 1
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SYMBOL = np.zeros(256, bool)

@@ -1,7 +1,7 @@
 """Toxicity: a character n-gram linear classifier over naive Bayes log-count
 ratios (operator 6).
 
-Features are the 3 to 6 byte n-grams of a text, ASCII letters made small, runs
+Features are the 4 to 7 byte n-grams of a text, ASCII letters made small, runs
 of white space made one space and one put at either end, hashed to ``2**BITS``
 features and marked present or absent. Three jobs train the model:
 
@@ -35,17 +35,17 @@ from pyspark.sql import functions as F
 from kitlend.llm.common import LOWER, PIECE, SPACE, own_columns, prepare, stored, text_buffers
 
 BITS = 18
-ORDERS = (3, 4, 5, 6)
+ORDERS = (4, 5, 6, 7)
 #: Rows of each class, about, that fit the weights.
 SAMPLE = 3000
 #: Standard errors that a log-count ratio must differ from 0 by.
-SIGNIFICANT = 3.0
+SIGNIFICANT = 4.0
 THRESHOLD = 0.7
 #: Added to each count before the ratio.
 SMOOTHING = 1.0
 #: Passes of the optimiser, and the strength of its penalty.
-STEPS = 60
-PENALTY = 1e-4
+STEPS = 150
+PENALTY = 1e-3
 
 _MULT = np.uint32(0x9E3779B1)
 
