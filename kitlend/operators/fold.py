@@ -2,239 +2,169 @@
 
 Admission and return settlement are sequential per key: a refused request
 uses nothing, so a running sum is wrong and the state after each request
-depends on every earlier decision of that key. A per-key array fold would put
-a hot key (say a third of all rows) into one task. Instead:
-
-1. every event row carries its key's start state (one shuffle join);
-2. rows are range-partitioned on (key, order) and sorted, so a hot key spans
-   many partitions, each holding a contiguous run of its events; the tagged
-   rows are checkpointed to the cluster's checkpoint directory, which fixes
-   the partitioning and cuts lineage;
-3. a key continues across partitions only if it is the last key of one
-   partition and the first of the next; Spark finds those from one
-   (first, last) row per partition. For each such key and partition, a
-   transfer table gives the end state for every possible start state in
-   [lo, cap], where cap is the key's start state (states never grow). Tables
-   are composed per key in partition order; the result has at most one row
-   per partition, a proven bound, and is broadcast;
-4. each partition replays its rows from the known start states, streaming
-   batch by batch, without another shuffle.
-
-States are small integers (units left); a step is written twice: vectorised
-over all candidate states (for tables) and as a scalar (for replay).
+depends on every earlier decision of that key. Everything runs as Spark
+expressions; no Python sees a row.
+
+* Keys of at most ``RUN_ROWS`` rows are gathered into one array each and
+  replayed with ``aggregate``.
+* Longer keys are range-partitioned on (key, order), so that a key with a third
+  of all rows spans many partitions; the partition count follows the counted
+  rows. There they are cut into runs of at most ``RUN_ROWS`` rows. Each run has a
+  transfer table, its end state for every start state in [lo, start]; states
+  never grow, so the table is bounded by the key's start state. Tables of
+  neighbouring runs are composed pairwise in doubling rounds, and a second
+  descent over the rounds gives every run its start state, so no task ever holds
+  a key's tables together. Each run is then replayed like a short key.
+
+A step is a pair of column expressions: the refusal code of a row at a state,
+and the state after it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kitlend.session import ship_package
+#: Rows replayed as one array.
+RUN_ROWS = 512
+#: Rows of long keys that one range partition is meant to hold.
+RANGE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class FoldSpec:
-    """A per-key sequential step.
+    """A per-key sequential step over rows with the ``inputs`` columns.
 
-    ``vec(states, row) -> new_states`` works on an int64 array of candidate
-    states; ``one(state, row) -> (new_state, code)`` decides one row, where
-    ``code`` is None for an accepted row or a refusal reason. ``row`` is a
-    tuple of the ``inputs`` columns.
+    ``code(state, row)`` is NULL for an accepted row, else the refusal reason;
+    ``used(state, row)`` is the state after an accepted row. ``lo`` is the least
+    state.
     """
     inputs: tuple[str, ...]
     lo: int
-    vec: Callable[[np.ndarray, tuple], np.ndarray]
-    one: Callable[[int, tuple], tuple[int, str | None]]
+    code: Callable[[Column, Column], Column]
+    used: Callable[[Column, Column], Column]
 
+    def after(self, state: Column, row: Column) -> Column:
+        return F.when(self.code(state, row).isNull(), self.used(state, row)).otherwise(state)
 
-TARGET_PARTITION_BYTES = 128 << 20
 
+def range_partitions(rows: int) -> int:
+    """Range partitions for so many counted rows."""
+    return max(1, -(-rows // RANGE_ROWS))
 
-MAX_RANGE_PARTITIONS = 200_000
 
+def _replayed(runs: DataFrame, start: str, spec: FoldSpec, columns: list[str]) -> DataFrame:
+    """One row per element of ``_rows`` with state_before, state_after, code."""
+    none = F.array().cast("array<struct<b:bigint,a:bigint,c:string>>")
 
-def _range_partitions(df: DataFrame, floor: int) -> int:
-    """Enough range partitions that each holds about 128 MB of input; a plan
-    without statistics reports an unbounded size and gets the floor."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = -(-size // TARGET_PARTITION_BYTES)
-    if wanted > MAX_RANGE_PARTITIONS:
-        return floor
-    return max(floor, wanted)
+    def move(acc: Column, row: Column) -> Column:
+        s = acc["s"]
+        now = F.struct(s.alias("b"), spec.after(s, row).cast("long").alias("a"), spec.code(s, row).alias("c"))
+        return F.struct(now["a"].alias("s"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    steps = F.aggregate("_rows", F.struct(F.col(start).cast("long").alias("s"), none.alias("out")), move)["out"]
+    return (runs.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), steps.alias("s"))).alias("e"))
+            .select(*[F.col(f"e.r.{c}").alias(c) for c in columns], F.col("e.s.b").alias("state_before"),
+                    F.col("e.s.a").alias("state_after"), F.col("e.s.c").alias("code")))
+
+
+def _run_starts(tables: DataFrame, spec: FoldSpec) -> DataFrame:
+    """(key, run, state): the start state of each run, from (key, run, start, table).
+
+    Level k holds tables over 2**k runs. Going down the levels, a run whose start
+    is known gives that of the run 2**k later.
+    """
+    def apply(table: Column, state: Column) -> Column:
+        return F.element_at(table, (state - spec.lo + 1).cast("int"))
+
+    levels, width = [tables.select("_key", "_run", "_table")], 1
+    longest = tables.agg(F.max("_run")).first()[0]
+    while width <= longest:
+        low = levels[-1]
+        high = low.select(F.col("_key").alias("_hk"), (F.col("_run") - width).alias("_hr"),
+                          F.col("_table").alias("_ht"))
+        joined = low.where(F.col("_run") % (2 * width) == 0).join(
+            high, (F.col("_key") == F.col("_hk")) & (F.col("_run") == F.col("_hr")))
+        levels.append(joined.select("_key", "_run", F.transform(
+            "_table", lambda s: apply(F.col("_ht"), s)).alias("_table")).checkpoint(eager=True))
+        width *= 2
+    known = tables.where(F.col("_run") == 0).select("_key", "_run", F.col("_start").cast("long").alias("_state"))
+    for level in reversed(levels[:-1]) if len(levels) > 1 else []:
+        width //= 2
+        t = level.select(F.col("_key").alias("_tk"), F.col("_run").alias("_tr"), "_table")
+        later = known.join(t, (F.col("_key") == F.col("_tk")) & (F.col("_run") == F.col("_tr"))).select(
+            "_key", (F.col("_run") + width).alias("_run"), apply(F.col("_table"), F.col("_state")).alias("_state"))
+        known = known.unionByName(later).checkpoint(eager=True)
+    return known
 
 
 def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
-                 spec: FoldSpec, partitions: int | None = None) -> DataFrame:
+                 spec: FoldSpec, partitions: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
     """Decide every row of ``events`` in (key, order) order.
 
-    ``events`` must carry ``start_col``, the key's start state (an int).
-    Adds ``state_before``, ``state_after`` (long) and ``code`` (string).
-    Python tasks stream their partition batch by batch: memory per task is
-    one Arrow batch plus, for a key that crosses partitions, one table of at
-    most (start state + 2) integers.
+    ``events`` must carry ``start_col``, the key's start state, and unique
+    ``order`` values within a key; pass it checkpointed or cheap to read, since it
+    is counted first. Adds ``state_before``, ``state_after`` (long) and ``code``
+    (string) and drops ``start_col``.
     """
-    spark = events.sparkSession
-    ship_package(spark)
-    base = events.withColumn("_start", F.col(start_col).cast("long"))
-    # The range bounds are sampled by a job of their own; keep the input so
-    # that job and the checkpoint write do not both recompute it.
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    n_parts = partitions or _range_partitions(base, spark.sparkContext.defaultParallelism)
-    tagged = (base.repartitionByRange(n_parts, F.col(key), *[F.col(c) for c in order])
-              .sortWithinPartitions(key, *order)
-              .withColumn("_seg", F.spark_partition_id()))
-    tagged = tagged.checkpoint(eager=True)
-    base.unpersist()
-
-    key_type = tagged.schema[key].dataType
-    lo = spec.lo
-    inputs = list(spec.inputs)
-
-    # Keys that continue across a partition edge: the last key of a partition
-    # equals the first key of the next non-empty one. One row per partition.
-    bounds = tagged.groupBy("_seg").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    w = Window.orderBy("_seg")
-    crossing = (bounds.withColumn("_next_first", F.lead("_first").over(w))
-                .where(F.col("_last") == F.col("_next_first"))
-                .select(F.col("_last").alias(key)).distinct())
-
-    def edge_tables(batches):
-        # rows arrive sorted; only rows of crossing keys reach this function
-        cur, seg, cap, states = None, None, None, None
-        out = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].tolist()
-            starts = pdf["_start"].tolist()
-            segs = pdf["_seg"].tolist()
-            rows = list(pdf[inputs].itertuples(index=False, name=None))
-            for k, st, sg, row in zip(keys, starts, segs, rows):
-                if k != cur:
-                    if cur is not None:
-                        out.append((cur, seg, cap, states.tolist()))
-                    cur, seg, cap = k, int(sg), int(st)
-                    states = np.arange(lo, max(cap, lo) + 1, dtype=np.int64)
-                states = spec.vec(states, row)
-        if cur is not None:
-            out.append((cur, seg, cap, states.tolist()))
-        if out:
-            yield pd.DataFrame(out, columns=[key, "_seg", "_cap", "_table"])
-
-    edge_schema = T.StructType([
-        T.StructField(key, key_type), T.StructField("_seg", T.IntegerType()),
-        T.StructField("_cap", T.LongType()), T.StructField("_table", T.ArrayType(T.LongType()))])
-    # at most one crossing key per partition edge: a proven bound
-    edge_rows = tagged.join(F.broadcast(crossing), key, "left_semi")
-    edges = edge_rows.mapInPandas(edge_tables, edge_schema)
-
-    # Compose the tables of each crossing key in partition order, JVM-side:
-    # a key's array holds one table per partition it spans (bounded by the
-    # partition count times the key's start state).
-    per_key = edges.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_seg", "_cap", "_table"))).alias("_segs"))
-    init = F.struct(F.col("_segs")[0]["_cap"].alias("s"),
-                    F.array().cast("array<bigint>").alias("ins"))
-    folded = F.aggregate(
-        "_segs", init,
-        lambda acc, x: F.struct(
-            F.element_at(x["_table"], (acc["s"] - F.lit(lo) + 1).cast("int")).alias("s"),
-            F.concat(acc["ins"], F.array(acc["s"])).alias("ins")))
-    starts = (per_key.select(key, F.arrays_zip(F.transform("_segs", lambda x: x["_seg"]).alias("seg"),
-                                               folded["ins"].alias("state")).alias("_z"))
-              .select(key, F.explode("_z").alias("_e"))
-              .select(key, F.col("_e.seg").cast("int").alias("_seg"),
-                      F.col("_e.state").cast("long").alias("_state_in")))
-    # At most two rows per partition: a proven bound, safe to broadcast.
-    joined = tagged.join(F.broadcast(starts), [key, "_seg"], "left")
-
-    out_schema = T.StructType(
-        [f for f in joined.schema.fields if f.name not in ("_state_in",)]
-        + [T.StructField("state_before", T.LongType()), T.StructField("state_after", T.LongType()),
-           T.StructField("code", T.StringType())])
-    out_cols = [f.name for f in out_schema.fields]
-
-    def replay(batches):
-        prev, s = object(), 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            # a broadcast join keeps the partition's row order; sort the batch
-            # defensively, keys are contiguous across batches
-            pdf = pdf.sort_values([key, *order], kind="stable").reset_index(drop=True)
-            n = len(pdf)
-            before = np.empty(n, dtype=np.int64)
-            after = np.empty(n, dtype=np.int64)
-            codes = [None] * n
-            keys = pdf[key].tolist()
-            start_in = pdf["_state_in"].tolist()
-            start = pdf["_start"].tolist()
-            rows = list(pdf[inputs].itertuples(index=False, name=None))
-            for i, k in enumerate(keys):
-                if k != prev:
-                    si = start_in[i]
-                    s = int(start[i]) if si is None or pd.isna(si) else int(si)
-                    prev = k
-                before[i] = s
-                s, codes[i] = spec.one(s, rows[i])
-                after[i] = s
-            pdf["state_before"] = before
-            pdf["state_after"] = after
-            pdf["code"] = codes
-            yield pdf[out_cols]
-
-    return joined.mapInPandas(replay, out_schema).drop("_start", "_seg")
+    columns = [c for c in events.columns if c != start_col]
+    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
+    sizes = events.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > run_rows)
+    sizes = sizes.checkpoint(eager=True)
+    long_rows = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if not long_rows:
+        runs = events.groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
+        return _replayed(runs, "_start", spec, columns)
+
+    short = events.join(sizes, F.col(key) == F.col("_k"), "left_anti")
+    short = short.groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
+    n = partitions or range_partitions(long_rows)
+    ranged = (events.join(sizes, F.col(key) == F.col("_k"), "left_semi")
+              .repartitionByRange(n, F.col(key), *[F.col(c) for c in order])
+              .withColumn("_part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order)) - 1
+    runs = (ranged.withColumn("_blk", F.floor(place / run_rows))
+            .groupBy(F.col(key).alias("_key"), "_part", "_blk")
+            .agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
+            .checkpoint(eager=True))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_part", "_blk")) - 1
+    names = runs.select("_key", "_part", "_blk", number.alias("_run")).checkpoint(eager=True)
+    runs = runs.join(names, ["_key", "_part", "_blk"])
+    table = F.transform(
+        F.sequence(F.lit(spec.lo).cast("long"), F.greatest(F.col("_start"), F.lit(spec.lo)).cast("long")),
+        lambda s: F.aggregate("_rows", s, lambda acc, row: spec.after(acc, row).cast("long")))
+    tables = runs.select("_key", "_run", "_start", table.alias("_table")).checkpoint(eager=True)
+    starts = _run_starts(tables, spec).select(F.col("_key").alias("_sk"), F.col("_run").alias("_sr"), "_state")
+    long = runs.join(starts, (F.col("_key") == F.col("_sk")) & (F.col("_run") == F.col("_sr")))
+    return _replayed(short, "_start", spec, columns).unionByName(_replayed(long, "_state", spec, columns))
 
 
 # ---------------------------------------------------------------- steps
 
-def _admit_vec(s: np.ndarray, row: tuple) -> np.ndarray:
-    qty, known = row
-    return np.where((qty <= s) & bool(known), s - qty, s)
+def _admit_code(s: Column, r: Column) -> Column:
+    return F.when(r["qty"] > s, "stock").when(~r["user_known"], "user")
 
 
-def _admit_one(s: int, row: tuple) -> tuple[int, str | None]:
-    qty, known = row
-    if qty > s:
-        return s, "stock"
-    if not known:
-        return s, "user"
-    return s - qty, None
+ADMISSION = FoldSpec(inputs=("qty", "user_known"), lo=0, code=_admit_code, used=lambda s, r: s - r["qty"])
 
+CLOSED = -1
 
-ADMISSION = FoldSpec(inputs=("qty", "user_known"), lo=0, vec=_admit_vec, one=_admit_one)
 
-CLOSED = -1
+def _take(s: Column, r: Column) -> Column:
+    """A missing, zero or negative quantity means all that is left."""
+    return F.when(r["return_qty"] > 0, r["return_qty"].cast("long")).otherwise(s)
 
 
-def _settle_vec(s: np.ndarray, row: tuple) -> np.ndarray:
-    (q,) = row
-    q = None if q is None or pd.isna(q) else int(q)
-    take = np.full_like(s, q) if (q is not None and q > 0) else s
-    ok = (s > 0) & (take <= s)
-    ns = np.where(ok, s - take, s)
-    return np.where(ok & (ns == 0), CLOSED, ns)
+def _settle_code(s: Column, r: Column) -> Column:
+    return F.when(s == CLOSED, "closed").when(s <= 0, "fully_returned").when(_take(s, r) > s, "over")
 
 
-def _settle_one(s: int, row: tuple) -> tuple[int, str | None]:
-    (q,) = row
-    q = None if q is None or pd.isna(q) else int(q)
-    if s == CLOSED:
-        return s, "closed"
-    if s <= 0:
-        return s, "fully_returned"
-    take = q if (q is not None and q > 0) else s
-    if take > s:
-        return s, "over"
-    left = s - take
-    return (CLOSED if left == 0 else left), None
+def _settle_used(s: Column, r: Column) -> Column:
+    left = s - _take(s, r)
+    return F.when(left == 0, F.lit(CLOSED).cast("long")).otherwise(left)
 
 
-SETTLEMENT = FoldSpec(inputs=("return_qty",), lo=CLOSED, vec=_settle_vec, one=_settle_one)
+SETTLEMENT = FoldSpec(inputs=("return_qty",), lo=CLOSED, code=_settle_code, used=_settle_used)

@@ -1,16 +1,14 @@
 """Lending tables derived from the driver's TPC-H-like tables (FIXTURES.md section 3).
 
-The mapped tables stand in for stored ones: each is built on first use,
-then materialised once per session as a reliable checkpoint, hash-partitioned
-on its key (see ``_stored``), the way the tables would sit in storage. Bulk
-job inputs are lazy frames over the mapped order lines. Stand-in inputs only
-shape rows into the schema a job expects; none of them does the job's work.
+The mapped tables stand in for stored ones. Each is a lazy projection over the
+driver's parquet files, so a query scans only the columns and rows it needs.
+Bulk job inputs are lazy frames over the same files. Stand-in inputs only shape
+rows into the schema a job expects; none of them does the job's work.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,46 +17,6 @@ from pyspark.sql import functions as F
 # Fixed as-of date of the fixtures: four days after the last order date.
 AS_OF = dt.date(2001, 8, 5)
 
-_MEMO: dict[tuple, DataFrame] = {}
-
-
-def _memo(fn):
-    """Build each mapped frame once per session and directory: the frames are
-    immutable lazy plans, and re-analysing the mapping for every query costs
-    seconds of driver time."""
-    @functools.wraps(fn)
-    def wrapper(spark: SparkSession, *args):
-        key = (spark.sparkContext.applicationId, id(spark._jsparkSession), fn.__name__, *args)
-        df = _MEMO.get(key)
-        if df is None:
-            df = _MEMO[key] = fn(spark, *args)
-        return df
-    return wrapper
-
-
-def clear_memo() -> None:
-    _MEMO.clear()
-
-
-def _stored(df: DataFrame, *keys: str) -> DataFrame:
-    """Materialise a mapped table once per session, hash-partitioned on its
-    key, as a reliable checkpoint in the cluster's checkpoint folder. This is
-    how the tables would be laid out in storage (bucketed on their join keys):
-    loans by id and returns by loan id are co-partitioned, so the per-loan
-    return sum and its join to loans need no shuffle."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The adaptive plan reports no output partitioning, which the checkpoint
-    # would record; plan this one write statically so the hash partitioning
-    # is kept and later joins and aggregates on the key skip their shuffle.
-    aqe = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.repartition(n, *[F.col(k) for k in keys]).checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", aqe)
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,14 +45,13 @@ def _role_id(member_type: Column) -> Column:
             .when(member_type == "staff", 3).otherwise(4))
 
 
-@_memo
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     key, seg = F.col("c_custkey"), F.col("c_mktsegment")
     mt = _member_type(seg, key)
     student_id = F.when(mt == "student", F.lpad(key.cast("string"), 12, "0"))
     citizen_id = F.when(mt == "external", F.lpad(key.cast("string"), 13, "9"))
-    return _stored(c.select(
+    return c.select(
         key.alias("id"),
         _role_id(mt).cast("int").alias("role_id"),
         mt.alias("member_type"),
@@ -107,32 +64,35 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(student_id, citizen_id).alias("qr_code_value"),
         _at_day_offset(_date("2000-01-01"), key % 365).alias("created_at"),
         F.when((mt == "student") & (key % 3 != 0), F.sha2(student_id, 256)).alias("student_id_hash"),
-    ), "id")
+    )
 
 
-@_memo
 def roles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(1, "student"), (2, "external"), (3, "staff"), (4, "admin")], "id int, name string")
 
 
-@_memo
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     promo = F.col("p_type") == "PROMO"
-    return _stored(p.select(
+    return p.select(
         F.col("p_partkey").alias("id"),
         F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string")).alias("item_name"),
         (F.col("p_size") * 10).cast("int").alias("stock"),
         (~promo).alias("active"),
         F.when(promo & (F.col("p_size") > 40), _ts("2001-01-01 00:00:00")).alias("deleted_at"),
-    ), "id")
+    )
+
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables as a file stream."""
+    return (spark.readStream.schema(_read(spark, sf_dir, name).schema)
+            .option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir))
 
-@_memo
-def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem joined to its order, with the five-part line id."""
-    li = _read(spark, sf_dir, "lineitem").select(
+
+def _order_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """lineitem (or a stream of it) joined to its order, with the five-part line id."""
+    li = (_read(spark, sf_dir, "lineitem") if lineitem is None else lineitem).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_returnflag", "l_linestatus", "l_shipdate")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -142,12 +102,11 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("line_id", F.concat_ws(
                  "-", *[F.col(c).cast("string") for c in
                         ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], qty.cast("string"))))
-    return _stored(lines, "line_id")
+    return lines
 
 
-@_memo
-def _loan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _order_lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
+def _loan_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    lines = _order_lines(spark, sf_dir, lineitem).where(F.col("l_returnflag") != "R")
     is_open = F.col("l_linestatus") == "O"
     return lines.select(
         "*",
@@ -156,11 +115,13 @@ def _loan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, open_only: bool = False) -> DataFrame:
     ll = _loan_lines(spark, sf_dir)
+    if open_only:  # return_date IS NULL, as a filter that reaches the scan
+        status = F.col("l_linestatus")
+        ll = ll.where((status == "O") | status.isNull() | F.col("l_shipdate").isNull())
     is_open = F.col("_open")
-    return _stored(ll.select(
+    return ll.select(
         F.col("line_id").alias("id"),
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("inventory_id"),
@@ -174,10 +135,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.col("l_shipdate")).alias("escalated_at"),
         F.when(is_open & (F.col("l_returnflag") == "A") & (F.col("l_linenumber") <= 5),
                F.to_date("l_shipdate")).alias("promised_return_date"),
-    ), "id")
+    )
 
 
-@_memo
 def transaction_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed loans: one row of qty. Open loans with suppkey % 3 = 0 and qty >= 2:
     half, and when suppkey % 5 = 1 also the rest (open with nothing left)."""
@@ -190,7 +150,7 @@ def transaction_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ll.where(n_rows > 0).select(
         "line_id", "qty", "borrow_date", "l_shipdate", is_open.alias("o"),
         F.explode(F.sequence(F.lit(1), n_rows)).alias("n"))
-    return _stored(rows.select(
+    return rows.select(
         F.concat(F.col("line_id"), F.lit("-"), F.col("n").cast("string")).alias("id"),
         F.col("line_id").alias("transaction_id"),
         F.when(~F.col("o"), qty).when(F.col("n") == 1, half).otherwise(qty - half)
@@ -198,32 +158,30 @@ def transaction_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~F.col("o"), F.col("l_shipdate"))
         .otherwise(_at_day_offset(F.col("borrow_date"), F.col("n"))).alias("returned_at"),
         F.when(F.col("o"), F.when(F.col("n") == 1, "part").otherwise("rest")).alias("note"),
-    ), "transaction_id")
+    )
 
 
-@_memo
 def user_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
-    return _stored(c.where((F.col("c_acctbal") < 0) | (key % 7 == 0)).select(
+    return c.where((F.col("c_acctbal") < 0) | (key % 7 == 0)).select(
         key.alias("id"), key.alias("user_id"), F.lit("overdue").alias("reason"),
         _ts("2001-07-01 00:00:00").alias("created_at"),
         F.when(key % 2 == 0, _ts("2001-07-15 00:00:00")).alias("cleared_at"),
-    ), "user_id")
+    )
 
 
-@_memo
 def fitness_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     u = users(spark, sf_dir).select(F.col("id").alias("uid"), "member_type")
     j = e.join(u, e.user_id == u.uid).where(F.col("member_type").isin("student", "external"))
-    return _stored(j.select(
+    return j.select(
         F.col("event_id").alias("id"), "user_id",
         F.to_date("ts").alias("visit_date"),
         F.when(F.col("member_type") == "student", 5).otherwise(30).cast("int").alias("amount"),
         F.when(F.col("event_id") % 2 == 0, "qr").otherwise("cash").alias("pay_method"),
         F.col("ts").alias("created_at"),
-    ), "user_id")
+    )
 
 
 # Fixed mapping of event types to notification types (FIXTURES.md section 3).
@@ -240,9 +198,10 @@ def _ref_meta(ref: Column) -> Column:
     return F.concat(F.lit('{"ref":"'), ref, F.lit('"}'))
 
 
-@_memo
-def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+def notifications(spark: SparkSession, sf_dir: str, events: DataFrame | None = None,
+                  lineitem: DataFrame | None = None) -> DataFrame:
+    """Notices from events and from first lines; both may be streams."""
+    e = _read(spark, sf_dir, "events") if events is None else events
     mapping = F.create_map(*[F.lit(x) for kv in EVENT_NOTIFICATION_TYPES.items() for x in kv])
     ntype = mapping[F.col("event_type")]
     from_events = e.select(
@@ -256,7 +215,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("read_at"),
         F.when(F.col("event_id") % 11 != 0, F.to_date("ts")).alias("created_date"),
     )
-    ll = _loan_lines(spark, sf_dir).where(F.col("_open") & (F.col("l_linenumber") == 1))
+    ll = _loan_lines(spark, sf_dir, lineitem).where(F.col("_open") & (F.col("l_linenumber") == 1))
     told = _at_day_offset(F.col("borrow_date"), 2)
     from_loans = ll.select(
         F.concat(F.lit("os-"), F.col("line_id")).alias("id"),
@@ -269,12 +228,11 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("read_at"),
         F.to_date(told).alias("created_date"),
     )
-    return _stored(from_events.unionByName(from_loans), "user_id")
+    return from_events.unionByName(from_loans)
 
 
 # ---------------------------------------------------------------- bulk inputs
 
-@_memo
 def loan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _order_lines(spark, sf_dir).where(F.col("l_returnflag") == "R")
     return lines.select(
@@ -287,12 +245,11 @@ def loan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
-def return_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def return_events(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Every line gives an event at the ship date with quantity (partkey % 5) * 4,
     zero meaning "all that is left"; suppkey % 6 = 0 adds a second event a day
     later without quantity. R-flag lines are not loans (unknown loan ids)."""
-    lines = _order_lines(spark, sf_dir)
+    lines = _order_lines(spark, sf_dir, lineitem)
     n = F.when(F.col("l_suppkey") % 6 == 0, 2).otherwise(1)
     rows = lines.select("line_id", "l_shipdate", "l_partkey",
                         F.explode(F.sequence(F.lit(1), n)).alias("n"))
@@ -307,7 +264,6 @@ def return_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def scan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key % 5: 0 the member's code; 1 the code with dashes (NBSP-padded when the
     key is even); 2 a link with ?member=; 3 SHA-256 of the id; 4 no match."""
@@ -326,7 +282,6 @@ def scan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select(key.alias("scan_id"), raw.alias("raw"))
 
 
-@_memo
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attempt per customer. Pairs of keys share an e-mail (2j, 2j+1), keys
     3k+1 and 3k+2 share a student id, 6k and 6k+3 share a citizen id; some
@@ -354,7 +309,6 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def visit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     eid = F.col("event_id")
@@ -369,7 +323,6 @@ def visit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def promise_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _order_lines(spark, sf_dir)
     ln = F.col("l_linenumber")
@@ -379,7 +332,6 @@ def promise_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("line_id").alias("tx_id"), date_text.alias("date"))
 
 
-@_memo
 def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     key = F.col("p_partkey")
@@ -396,7 +348,6 @@ def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
@@ -405,7 +356,6 @@ def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.element_at(names, (key % 5 + 1).cast("int")).alias("role"))
 
 
-@_memo
 def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Viewers marking their borrow and return notices read, plus requests naming
     someone else's visit notices (user id + 1), which must change nothing."""
@@ -416,7 +366,6 @@ def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(other)
 
 
-@_memo
 def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff pressing "notify member" on every line (R lines are unknown loans);
     suppkey % 9 = 1 presses twice."""
@@ -427,14 +376,12 @@ def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("line_id").alias("tx_id"))
 
 
-@_memo
 def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff marking the letter of every line as sent (R lines are unknown loans)."""
     lines = _order_lines(spark, sf_dir)
     return lines.select(F.col("line_id").alias("tx_id"))
 
 
-@_memo
 def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff clearing holds by hand for customers with a balance below -500."""
     c = _read(spark, sf_dir, "customer").where(F.col("c_acctbal") < -500)
@@ -443,7 +390,6 @@ def manual_hold_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("hold-clear-"), F.col("c_custkey").cast("string")).alias("ref"))
 
 
-@_memo
 def delete_user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A delete asked for every customer, and for unknown ids."""
     c = _read(spark, sf_dir, "customer")
@@ -453,7 +399,6 @@ def delete_user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(unknown)
 
 
-@_memo
 def item_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A delete asked for every part, and for unknown ids."""
     p = _read(spark, sf_dir, "part")
@@ -502,6 +447,7 @@ def lending(spark: SparkSession, sf_dir: str) -> Lending:
     return Lending(
         roles=lambda: roles(spark), users=lambda: users(spark, sf_dir),
         inventory=lambda: inventory(spark, sf_dir), transactions=lambda: transactions(spark, sf_dir),
+        open_transactions=lambda: transactions(spark, sf_dir, open_only=True),
         transaction_returns=lambda: transaction_returns(spark, sf_dir),
         fitness_visits=lambda: fitness_visits(spark, sf_dir),
         notifications=lambda: notifications(spark, sf_dir), user_holds=lambda: user_holds(spark, sf_dir),

@@ -1,5 +1,5 @@
-"""The segmented fold against a brute-force sequential fold, with one hot key
-spread over many range partitions."""
+"""The fold against a brute-force sequential fold, with one hot key spread over
+many range partitions and runs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,21 @@ import random
 
 from pyspark.sql import functions as F
 
-from kitlend.operators.fold import ADMISSION, SETTLEMENT, ordered_fold
+import pytest
+
+from kitlend.operators.fold import ADMISSION, CLOSED, RANGE_ROWS, SETTLEMENT, ordered_fold, range_partitions
+
+
+def admit_one(s, row):
+    qty, known = row
+    return (s, "stock") if qty > s else (s - qty, None) if known else (s, "user")
+
+
+def settle_one(s, row):
+    if s <= 0:
+        return s, "closed" if s == CLOSED else "fully_returned"
+    take = row[0] if row[0] is not None and row[0] > 0 else s
+    return (s, "over") if take > s else (s - take or CLOSED, None)
 
 
 def brute(rows, start, one):
@@ -26,10 +40,10 @@ def test_admission_fold_hot_key_matches_brute_force(spark):
     data = [(i, 1, q, k, 120) for i, q, k in hot] + [(i, 2 + i % 5, q, k, 20) for i, q, k in cold]
     df = spark.createDataFrame(data, "rid long, item long, qty int, user_known boolean, cap long")
     got = {r["rid"]: (r["state_before"], r["state_after"], r["code"])
-           for r in ordered_fold(df, "item", ["rid"], "cap", ADMISSION, partitions=9).collect()}
-    want = brute([(i, q, k) for i, q, k in hot], 120, ADMISSION.one)
+           for r in ordered_fold(df, "item", ["rid"], "cap", ADMISSION, partitions=9, run_rows=16).collect()}
+    want = brute([(i, q, k) for i, q, k in hot], 120, admit_one)
     for it in range(2, 7):
-        want.update(brute([(i, q, k) for i, q, k in cold if 2 + i % 5 == it], 20, ADMISSION.one))
+        want.update(brute([(i, q, k) for i, q, k in cold if 2 + i % 5 == it], 20, admit_one))
     assert got == want
 
 
@@ -39,8 +53,8 @@ def test_settlement_fold_hot_loan_matches_brute_force(spark):
     df = spark.createDataFrame([(i, "L", q, 300) for i, q in evs],
                                "rid long, tx string, return_qty int, cap long")
     got = {r["rid"]: (r["state_before"], r["state_after"], r["code"])
-           for r in ordered_fold(df, "tx", ["rid"], "cap", SETTLEMENT, partitions=6).collect()}
-    want = brute(evs, 300, SETTLEMENT.one)
+           for r in ordered_fold(df, "tx", ["rid"], "cap", SETTLEMENT, partitions=6, run_rows=16).collect()}
+    want = brute(evs, 300, settle_one)
     assert got == want
     assert {c for _, _, c in want.values()} >= {None, "over"}
 
@@ -62,7 +76,7 @@ def test_fold_result_does_not_depend_on_partitioning(spark):
     lk = l.transactions.select(F.col("id").alias("tx_id"), F.col("qty").cast("long").alias("cap"))
     df = ev.join(lk, "tx_id").select("tx_id", "ts", "event_id", "return_qty", "cap")
     one = {r["event_id"]: (r["state_after"], r["code"]) for r in
-           ordered_fold(df, "tx_id", ["ts", "event_id"], "cap", SETTLEMENT, partitions=1).collect()}
+           ordered_fold(df, "tx_id", ["ts", "event_id"], "cap", SETTLEMENT, partitions=1, run_rows=3).collect()}
     many = {r["event_id"]: (r["state_after"], r["code"]) for r in
             ordered_fold(df, "tx_id", ["ts", "event_id"], "cap", SETTLEMENT, partitions=7).collect()}
     assert one == many and len(one) > 1000
@@ -82,11 +96,11 @@ def test_admission_fold_property(spark):
         data = [(i, k, q, known, cap) for i, (k, q, known) in enumerate(rows)]
         df = spark.createDataFrame(data, "rid long, item long, qty int, user_known boolean, cap long")
         got = {r["rid"]: (r["state_before"], r["state_after"], r["code"])
-               for r in ordered_fold(df, "item", ["rid"], "cap", ADMISSION, partitions=parts).collect()}
+               for r in ordered_fold(df, "item", ["rid"], "cap", ADMISSION, partitions=parts, run_rows=7).collect()}
         want = {}
         for item in {k for k, _, _ in rows}:
             want.update(brute([(i, q, kn) for i, (k, q, kn) in enumerate(rows) if k == item], cap,
-                              ADMISSION.one))
+                              admit_one))
         assert got == want
 
     check()
@@ -104,10 +118,29 @@ def test_settlement_fold_property(spark):
         data = [(i, f"L{k}", q, start) for i, (k, q) in enumerate(rows)]
         df = spark.createDataFrame(data, "rid long, tx string, return_qty int, cap long")
         got = {r["rid"]: (r["state_before"], r["state_after"], r["code"])
-               for r in ordered_fold(df, "tx", ["rid"], "cap", SETTLEMENT, partitions=parts).collect()}
+               for r in ordered_fold(df, "tx", ["rid"], "cap", SETTLEMENT, partitions=parts, run_rows=7).collect()}
         want = {}
         for key in {k for k, _ in rows}:
-            want.update(brute([(i, q) for i, (k, q) in enumerate(rows) if k == key], start, SETTLEMENT.one))
+            want.update(brute([(i, q) for i, (k, q) in enumerate(rows) if k == key], start, settle_one))
         assert got == want
 
     check()
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_key_with_a_third_of_the_rows(spark, parts):
+    rnd = random.Random(parts)
+    data = [(i, 0 if i % 3 == 0 else 1 + rnd.randint(0, 200), rnd.randint(1, 9), rnd.random() > 0.1, 300)
+            for i in range(3000)]
+    df = spark.createDataFrame(data, "rid long, item long, qty int, user_known boolean, cap long")
+    got = {r["rid"]: (r["state_before"], r["state_after"], r["code"])
+           for r in ordered_fold(df, "item", ["rid"], "cap", ADMISSION, partitions=parts, run_rows=64).collect()}
+    want = {}
+    for item in {d[1] for d in data}:
+        want.update(brute([(i, q, kn) for i, k, q, kn, _ in data if k == item], 300, admit_one))
+    assert got == want
+
+
+def test_range_partitions_grow_with_counted_rows():
+    assert [range_partitions(n) for n in (0, RANGE_ROWS, RANGE_ROWS + 1, 1000 * RANGE_ROWS, 10**7 * RANGE_ROWS)] == [
+        1, 1, 2, 1000, 10**7]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -37,13 +39,32 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PartitionFilters: [isnotnull(loan_state" in p
 
 
-def test_co_partitioned_loans_and_returns_need_no_shuffle_for_the_return_sum(spark):
-    from kitlend.operators import balances as B
+def test_queries_scan_the_files_they_need(spark):
+    import __spark_entry__ as E
+    for name in ("item_status", "outstanding_all", "notification_feed", "unread_badges", "history_loans"):
+        p = plan(E.queries()[name](spark, SF))
+        assert "FileScan parquet" in p and "ExistingRDD" not in p, name
+    p = plan(E.queries()["unread_badges"](spark, SF))
+    assert "l_extendedprice" not in p
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    p = plan(E.queries()["open_loans"](spark, SF))
+    spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    assert "EqualTo(l_linestatus,O)" in p and "Not(EqualTo(l_returnflag,R))" in p
+
+
+def test_member_joins_shuffle_both_sides(spark):
+    """AQE splits a hot member only where both sides of the join are exchanged."""
     from kitlend.sources import fixtures as fx
     l = fx.lending(spark, SF)
-    df = B.with_returned(l.transactions, l.transaction_returns)
-    p = df._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in p
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        u = l.users.select(F.col("id").alias("uid"), "email")
+        p = plan(l.transactions.join(u, F.col("user_id") == F.col("uid"), "left"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange hashpartitioning(user_id" in p and "Exchange hashpartitioning(uid" in p
 
 
 def test_feed_rank_filter_limits_before_shuffle(spark):
