@@ -39,7 +39,7 @@ def register_members(l: Lending, regs: DataFrame, mail_domain: str = DEFAULT_MAI
     id_value = F.when(kind == "student", F.col("student_id")).otherwise(F.col("citizen_id"))
     email = F.col("email")
     rule = (F.when(email.isNull() | (email == "") | F.col("full_name").isNull(), "missing")
-            .when(~kind.isin("student", "external"), "kind")
+            .when(kind.isNull() | ~kind.isin("student", "external"), "kind")
             .when((kind == "student") & ~email.endswith(mail_domain), "email_domain")
             .when((kind == "student") & ~F.coalesce(F.col("student_id"), F.lit("")).rlike(STUDENT_ID_RE),
                   "student_id_format")
@@ -103,7 +103,8 @@ def check_inventory_changes(l: Lending, changes: DataFrame) -> DataFrame:
     """Create (id NULL) or edit item rows, checked against the stored
     snapshot: name given and stock >= 0; edit of an unknown id; stock below
     the units out; name (case-blind) used by another item. Inside the batch a
-    second change to one id, or a second use of one name, is refused."""
+    second change to one id is refused, then a second use of one name by the
+    rows left. The checked rows are stored once; both rules read them."""
     name = F.trim(F.coalesce(F.col("name"), F.lit("")))
     c = changes.select("*", name.alias("_name"), F.lower(name).alias("_lname"))
     avail = inventory_available(l).select(F.col("id").alias("_iid"), F.col("outstanding_in_use").alias("_out"))
@@ -119,16 +120,17 @@ def check_inventory_changes(l: Lending, changes: DataFrame) -> DataFrame:
               .when(~create & F.col("_iid").isNull(), "not_found")
               .when(~create & (F.col("stock") < F.col("_out")), "below_in_use")
               .when(taken_by_other, "name_taken"))
-    c = c.withColumn("_r", reason)
-    ok_so_far = c.where(F.col("_r").isNull())
-    first_id = (ok_so_far.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_fid"))
+    c = c.select("req_id", "id", "_name", "_lname", "stock", "active", reason.alias("_r")).checkpoint(eager=True)
+    ok = c.where(F.col("_r").isNull())
+    first_id = (ok.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_fid"))
                 .agg(F.min("req_id").alias("_first_id")))
-    first_name = ok_so_far.groupBy(F.col("_lname").alias("_fn")).agg(F.min("req_id").alias("_first_name"))
-    c = (c.join(first_id, c["id"] == first_id["_fid"], "left")
-         .join(first_name, c["_lname"] == first_name["_fn"], "left"))
-    batch = (F.when(F.col("_r").isNotNull(), F.col("_r"))
-             .when(F.col("id").isNotNull() & (F.col("req_id") != F.col("_first_id")), "duplicate_change")
-             .when(F.col("req_id") != F.col("_first_name"), "name_taken_in_batch"))
+    c = c.join(first_id, c["id"] == first_id["_fid"], "left").withColumn(
+        "_r", F.coalesce("_r", F.when(F.col("req_id") != F.col("_first_id"), "duplicate_change"))).drop(
+        "_fid", "_first_id").checkpoint(eager=True)
+    first_name = (c.where(F.col("_r").isNull()).groupBy(F.col("_lname").alias("_fn"))
+                  .agg(F.min("req_id").alias("_first_name")))
+    c = c.join(first_name, c["_lname"] == first_name["_fn"], "left")
+    batch = F.coalesce("_r", F.when(F.col("req_id") != F.col("_first_name"), "name_taken_in_batch"))
     return c.select("req_id", "id", F.col("_name").alias("name"), "stock", "active",
                     batch.isNull().alias("accepted"), batch.alias("reason"))
 
@@ -158,13 +160,14 @@ def apply_inventory_changes(l: Lending, checked: DataFrame) -> DataFrame:
 
 def apply_role_changes(l: Lending, changes: DataFrame) -> DataFrame:
     """Set role and member type together; the role name (case-folded)
-    must exist; an unknown member changes nothing; the first change per member
-    (by request id) wins."""
+    must exist; an unknown member changes nothing; the first valid change per
+    member (by request id) wins."""
     c = changes.withColumn("_rn", F.lower(F.trim(F.col("role"))))
     roles = _roles_by_name(l)
     u = l.users.select(F.col("id").alias("_uid"), F.col("role_id").alias("_old_role"),
                        F.col("member_type").alias("_old_type"))
-    first = c.groupBy(F.col("user_id").alias("_fu")).agg(F.min("req_id").alias("_first"))
+    known = c.join(roles, c["_rn"] == roles["_role"])
+    first = known.groupBy(F.col("user_id").alias("_fu")).agg(F.min("req_id").alias("_first"))
     j = (c.join(roles, c["_rn"] == roles["_role"], "left")
          .join(u, c["user_id"] == u["_uid"], "left")
          .join(first, c["user_id"] == first["_fu"], "left"))

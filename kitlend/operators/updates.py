@@ -2,8 +2,8 @@
 
 Each job joins a batch of requests to the stored snapshot and gives one
 outcome row per request; the new column values come from ``coalesce`` (first
-write wins) or ``when`` (overwrite). A loan asked about twice in one batch is
-decided once: the earliest request (by request id) wins.
+write wins) or ``when`` (overwrite). Of several valid requests for one loan the
+earliest (by request id) wins.
 """
 
 from __future__ import annotations
@@ -23,21 +23,23 @@ DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
 
 def set_promise(l: Lending, changes: DataFrame) -> DataFrame:
     """Set (YYYY-MM-DD) or clear (empty) the promised date of open loans.
-    Outcomes: not_found, invalid_date, closed (no row updated), conflict (the
-    loan has several changes in the batch), set, cleared."""
-    per_tx = changes.groupBy("tx_id").agg(F.count(F.lit(1)).alias("_n"))
-    c = changes.join(per_tx, "tx_id")
+    Outcomes: not_found, invalid_date, closed (no row updated), set, cleared,
+    and conflict for a loan's later valid changes: the first by req_id wins."""
     t = l.transactions.select(F.col("id").alias("_tid"), "return_date", "promised_return_date")
-    j = c.join(t, c["tx_id"] == t["_tid"], "left")
+    j = changes.join(t, changes["tx_id"] == t["_tid"], "left")
     text = F.trim(F.coalesce(F.col("date"), F.lit("")))
     parsed = F.when(text.rlike(DATE_TEXT), F.try_to_date(text, "yyyy-MM-dd"))
-    outcome = (F.when(F.col("_tid").isNull(), "not_found")
-               .when((text != "") & parsed.isNull(), "invalid_date")
-               .when(F.col("return_date").isNotNull(), "closed")
-               .when(F.col("_n") > 1, "conflict")
+    j = j.withColumn("_why", F.when(F.col("_tid").isNull(), "not_found")
+                     .when((text != "") & parsed.isNull(), "invalid_date")
+                     .when(F.col("return_date").isNotNull(), "closed")).checkpoint(eager=True)
+    first = (j.where(F.col("_why").isNull()).groupBy(F.col("tx_id").alias("_ftx"))
+             .agg(F.min("req_id").alias("_first")))
+    j = j.join(first, j["tx_id"] == first["_ftx"], "left")
+    outcome = (F.when(F.col("_why").isNotNull(), F.col("_why"))
+               .when(F.col("req_id") != F.col("_first"), "conflict")
                .when(text == "", "cleared")
                .otherwise("set"))
-    return j.select("tx_id", F.col("date"), outcome.alias("outcome"),
+    return j.select("req_id", "tx_id", F.col("date"), outcome.alias("outcome"),
                     F.when(outcome == "set", parsed)
                     .when(outcome == "cleared", F.lit(None).cast("date"))
                     .otherwise(F.col("promised_return_date")).alias("promised_return_date"))

@@ -132,7 +132,7 @@ _CTES = {
     "registrations": """
   SELECT c_custkey AS req_id,
          TIMESTAMP '2001-08-01 00:00:00' + to_minutes(CAST(c_custkey % 97 AS INTEGER)) AS ts,
-         CASE WHEN c_custkey % 3 <> 0 THEN 'student' ELSE 'external' END AS kind,
+         CASE WHEN c_custkey % 29 <> 0 THEN CASE WHEN c_custkey % 3 <> 0 THEN 'student' ELSE 'external' END END AS kind,
          CASE WHEN c_custkey % 10 = 7 THEN 'm' || CAST(c_custkey - 7 AS VARCHAR) || '@mail.example.edu'
               ELSE 'N' || CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS VARCHAR)
                    || CASE WHEN c_custkey % 4 = 1 THEN '@MAIL.EXAMPLE.EDU' ELSE '@mail.example.edu' END
@@ -156,11 +156,13 @@ _CTES = {
          CASE event_id % 4 WHEN 0 THEN 'qr' WHEN 1 THEN 'cash' WHEN 3 THEN 'card' END AS pay_method
   FROM events WHERE event_type = 'purchase'""",
     "promise_changes": """
-  SELECT line_id AS tx_id,
-         CASE l_linenumber % 3 WHEN 0 THEN ''
-              WHEN 1 THEN strftime(CAST(o_orderdate AS DATE) + 10, '%Y-%m-%d')
+  SELECT line_id || '-p' || CAST(v.n AS VARCHAR) AS req_id, line_id AS tx_id,
+         CASE v.w WHEN 0 THEN ''
+              WHEN 1 THEN strftime(CAST(o_orderdate AS DATE) + 9 + v.n, '%Y-%m-%d')
               ELSE '5/8/2001' END AS date
-  FROM _lines""",
+  FROM _lines, LATERAL (SELECT 1 AS n, l_linenumber % 3 AS w
+                        UNION ALL SELECT 2, 2 WHERE l_suppkey % 7 = 2
+                        UNION ALL SELECT 3, 1 WHERE l_suppkey % 7 = 2) v""",
     "inventory_changes": """
   SELECT p_partkey AS req_id,
          CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS BIGINT)
@@ -172,10 +174,9 @@ _CTES = {
          p_partkey % 2 = 0 AS active
   FROM part""",
     "role_changes": """
-  SELECT c_custkey AS req_id, c_custkey AS user_id,
-         CASE c_custkey % 5 WHEN 0 THEN 'student' WHEN 1 THEN 'external' WHEN 2 THEN 'Staff'
-              WHEN 3 THEN 'admin' ELSE 'owner' END AS role
-  FROM customer""",
+  SELECT k.req_id, k.user_id, ['student', 'external', 'Staff', 'admin', 'owner'][k.r % 5 + 1] AS role
+  FROM (SELECT c_custkey AS req_id, c_custkey AS user_id, c_custkey AS r FROM customer
+        UNION ALL SELECT c_custkey + 1000000000, c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 3 = 0) k""",
     "mark_read_requests": """
   SELECT id, user_id FROM notifications WHERE type IN ('borrow_created', 'return_partial')
   UNION ALL

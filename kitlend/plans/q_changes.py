@@ -15,7 +15,7 @@ REG_CTES = {
   SELECT r.*, lower(r.email) AS ek,
          CASE WHEN r.kind = 'student' THEN r.student_id ELSE r.citizen_id END AS ik,
          CASE WHEN r.email IS NULL OR r.email = '' OR r.full_name IS NULL THEN 'missing'
-              WHEN r.kind NOT IN ('student', 'external') THEN 'kind'
+              WHEN r.kind IS NULL OR r.kind NOT IN ('student', 'external') THEN 'kind'
               WHEN r.kind = 'student' AND NOT ends_with(r.email, '@mail.example.edu') THEN 'email_domain'
               WHEN r.kind = 'student' AND NOT regexp_matches(COALESCE(r.student_id, ''), '^[0-9]{12}$')
                 THEN 'student_id_format'
@@ -70,7 +70,9 @@ CHANGE_CTES = {
                            AND (c.id IS NULL OR i.id <> c.id)) THEN 'name_taken' END AS r
   FROM _ic c LEFT JOIN v_inventory_available a ON a.id = c.id""",
     "_fid": "SELECT id, MIN(req_id) AS f FROM _ic2 WHERE r IS NULL AND id IS NOT NULL GROUP BY id",
-    "_fnm": "SELECT lnm, MIN(req_id) AS f FROM _ic2 WHERE r IS NULL GROUP BY lnm",
+    "_fnm": """
+  SELECT c.lnm, MIN(c.req_id) AS f FROM _ic2 c LEFT JOIN _fid fi ON fi.id = c.id
+  WHERE c.r IS NULL AND (c.id IS NULL OR c.req_id = fi.f) GROUP BY c.lnm""",
     "_chk": """
   SELECT c.req_id, c.id, c.nm AS name, c.stock, c.active, c.reason IS NULL AS accepted, c.reason
   FROM (SELECT c.*, CASE WHEN c.r IS NOT NULL THEN c.r
@@ -109,7 +111,8 @@ FROM (SELECT c.req_id, c.user_id, c.role, lower(trim(c.role)) AS rn, r.id AS new
                   WHEN c.req_id <> f.f THEN 'duplicate_change' ELSE 'role_updated' END AS outcome
       FROM role_changes c LEFT JOIN roles r ON r.name = lower(trim(c.role))
       LEFT JOIN users u ON u.id = c.user_id
-      JOIN (SELECT user_id, MIN(req_id) AS f FROM role_changes GROUP BY user_id) f ON f.user_id = c.user_id) x"""))
+      LEFT JOIN (SELECT user_id, MIN(req_id) AS f FROM role_changes WHERE lower(trim(role)) IN (SELECT name FROM roles)
+                 GROUP BY user_id) f ON f.user_id = c.user_id) x"""))
 def q_apply_role_changes(spark, sf_dir):
     return C.apply_role_changes(lending(spark, sf_dir), fx.role_changes(spark, sf_dir))
 

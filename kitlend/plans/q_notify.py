@@ -163,21 +163,17 @@ def q_faculty_letters(spark, sf_dir):
 
 
 @register("set_promise", oracle(r"""
-SELECT c.tx_id, c.date,
-       CASE WHEN t.id IS NULL THEN 'not_found'
-            WHEN trim(COALESCE(c.date, '')) <> '' AND p.d IS NULL THEN 'invalid_date'
-            WHEN t.return_date IS NOT NULL THEN 'closed'
-            WHEN n.cnt > 1 THEN 'conflict'
-            WHEN trim(COALESCE(c.date, '')) = '' THEN 'cleared' ELSE 'set' END AS outcome,
-       CASE WHEN t.id IS NULL OR (trim(COALESCE(c.date, '')) <> '' AND p.d IS NULL)
-                 OR t.return_date IS NOT NULL OR n.cnt > 1 THEN t.promised_return_date
-            WHEN trim(COALESCE(c.date, '')) = '' THEN CAST(NULL AS DATE) ELSE p.d END
-         AS promised_return_date
-FROM promise_changes c
-JOIN (SELECT tx_id, COUNT(*) AS cnt FROM promise_changes GROUP BY tx_id) n ON n.tx_id = c.tx_id
-LEFT JOIN transactions t ON t.id = c.tx_id
-CROSS JOIN LATERAL (SELECT CASE WHEN regexp_matches(trim(COALESCE(c.date, '')), '^\d{4}-\d{2}-\d{2}$')
-                                THEN TRY_CAST(trim(c.date) AS DATE) END AS d) p"""))
+SELECT req_id, tx_id, date, outcome,
+       CASE outcome WHEN 'set' THEN d WHEN 'cleared' THEN NULL ELSE promised_return_date END AS promised_return_date
+FROM (SELECT *, CASE WHEN why IS NOT NULL THEN why
+                     WHEN row_number() OVER (PARTITION BY tx_id, why IS NULL ORDER BY req_id) > 1 THEN 'conflict'
+                     WHEN txt = '' THEN 'cleared' ELSE 'set' END AS outcome
+      FROM (SELECT *, CASE WHEN id IS NULL THEN 'not_found' WHEN txt <> '' AND d IS NULL THEN 'invalid_date'
+                           WHEN return_date IS NOT NULL THEN 'closed' END AS why
+            FROM (SELECT c.*, t.id, t.return_date, t.promised_return_date, trim(COALESCE(c.date, '')) AS txt,
+                         CASE WHEN regexp_matches(trim(COALESCE(c.date, '')), '^\d{4}-\d{2}-\d{2}$')
+                              THEN TRY_CAST(trim(c.date) AS DATE) END AS d
+                  FROM promise_changes c LEFT JOIN transactions t ON t.id = c.tx_id) a) b) e"""))
 def q_set_promise(spark, sf_dir):
     return U.set_promise(lending(spark, sf_dir), fx.promise_changes(spark, sf_dir))
 

@@ -299,7 +299,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("req_id"),
         (_ts("2001-08-01 00:00:00") + F.make_dt_interval(F.lit(0), F.lit(0), (key % 97).cast("int")))
         .alias("ts"),
-        F.when(student, "student").otherwise("external").alias("kind"),
+        F.when(key % 29 != 0, F.when(student, "student").otherwise("external")).alias("kind"),
         email.alias("email"),
         student_id.alias("student_id"),
         citizen_id.alias("citizen_id"),
@@ -324,12 +324,17 @@ def visit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def promise_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change for every line; lines of suppkey % 7 = 2 ask twice more, first
+    with a bad date, then with a good one."""
     lines = _order_lines(spark, sf_dir)
-    ln = F.col("l_linenumber")
-    date_text = (F.when(ln % 3 == 0, F.lit(""))
-                 .when(ln % 3 == 1, F.date_format(F.date_add(F.to_date("o_orderdate"), 10), "yyyy-MM-dd"))
+    n = F.when(F.col("l_suppkey") % 7 == 2, 3).otherwise(1)
+    rows = lines.select("line_id", "l_linenumber", "o_orderdate", F.explode(F.sequence(F.lit(1), n)).alias("n"))
+    which = F.when(F.col("n") == 1, F.col("l_linenumber") % 3).when(F.col("n") == 2, 2).otherwise(1)
+    date_text = (F.when(which == 0, F.lit(""))
+                 .when(which == 1, F.date_format(F.date_add(F.to_date("o_orderdate"), 9 + F.col("n")), "yyyy-MM-dd"))
                  .otherwise(F.lit("5/8/2001")))
-    return lines.select(F.col("line_id").alias("tx_id"), date_text.alias("date"))
+    return rows.select(F.concat(F.col("line_id"), F.lit("-p"), F.col("n").cast("string")).alias("req_id"),
+                       F.col("line_id").alias("tx_id"), date_text.alias("date"))
 
 
 def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,11 +354,14 @@ def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change for every customer; every third asks again, for another role."""
     c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     names = F.array(F.lit("student"), F.lit("external"), F.lit("Staff"), F.lit("admin"), F.lit("owner"))
-    return c.select(key.alias("req_id"), key.alias("user_id"),
-                    F.element_at(names, (key % 5 + 1).cast("int")).alias("role"))
+    role = lambda k: F.element_at(names, (k % 5 + 1).cast("int"))
+    first = c.select(key.alias("req_id"), key.alias("user_id"), role(key).alias("role"))
+    again = c.select((key + 1_000_000_000).alias("req_id"), key.alias("user_id"), role(key + 1).alias("role"))
+    return first.unionByName(again.where(F.col("user_id") % 3 == 0))
 
 
 def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,3 +284,41 @@ def test_hold_release_notices(spark):
          (4, "manual", 1, "hold-clear-4")], "user_id long, note string, priority int, ref string")
     got = rows(J.hold_release_notices(l, rel), "user_id", "ref")
     assert got == [(1, "hold-clear-1"), (3, "clear-A")]  # borrow clears silently; 4 was already told
+
+
+def test_registration_without_a_kind_is_refused(spark):
+    from kitlend.operators import changes as C
+    l = make_lending(spark)
+    regs = spark.createDataFrame([(1, TS(2001, 8, 1), None, "a@mail.example.edu", None, "1234567890123", "A", None, None)],
+                                 "req_id long, ts timestamp_ntz, kind string, email string, student_id string, "
+                                 "citizen_id string, full_name string, faculty string, phone string")
+    r = C.register_members(l, regs).first()
+    assert (r["accepted"], r["reason"], r["role_id"], r["qr_code_value"]) == (False, "kind", None, None)
+
+
+def test_a_refused_item_change_frees_its_name(spark):
+    from kitlend.operators import changes as C
+    l = make_lending(spark, inventory=[item(1), item(2)])
+    ch = spark.createDataFrame([(1, 1, "x", 5, True), (2, 1, "y", 5, True), (3, 2, "y", 5, True), (4, None, "Y ", 5, True)],
+                               "req_id long, id long, name string, stock int, active boolean")
+    got = rows(C.check_inventory_changes(l, ch), "req_id", "reason")
+    assert got == [(1, None), (2, "duplicate_change"), (3, None), (4, "name_taken_in_batch")]
+
+
+def test_first_valid_role_change_wins(spark):
+    from kitlend.operators import changes as C
+    l = make_lending(spark, users=[user(1)])
+    ch = spark.createDataFrame([(1, 1, "owner"), (2, 1, "staff"), (3, 1, "admin"), (4, 9, "staff")],
+                               "req_id long, user_id long, role string")
+    got = rows(C.apply_role_changes(l, ch), "req_id", "outcome", "role_id")
+    assert got == [(1, "role_not_found", 1), (2, "role_updated", 3), (3, "duplicate_change", 1), (4, "not_found", None)]
+
+
+def test_first_valid_promise_change_wins(spark):
+    from kitlend.operators import updates as U
+    l = make_lending(spark, transactions=[loan("a", 1, 1, 1, days_ago(3), promised=days_ago(1))], inventory=[item(1)])
+    ch = spark.createDataFrame([("1", "a", "5/8/2001"), ("2", "a", "2001-08-09"), ("3", "a", "2001-08-10"), ("4", "b", "")],
+                               "req_id string, tx_id string, date string")
+    got = rows(U.set_promise(l, ch), "req_id", "outcome", "promised_return_date")
+    assert got == [("1", "invalid_date", days_ago(1)), ("2", "set", D(2001, 8, 9)), ("3", "conflict", days_ago(1)),
+                   ("4", "not_found", None)]
