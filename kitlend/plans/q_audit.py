@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from kitlend.operators import audit as AU
 from kitlend.plans.catalog import register
-from kitlend.plans.q_balances import _RET as R
 from kitlend.plans.q_balances import oracle
 from kitlend.sources.fixtures import lending
 
@@ -76,11 +75,9 @@ def q_audit_checks(spark, sf_dir):
     return AU.audit_checks(lending(spark, sf_dir))
 
 
-@register("audit_balances", oracle(f"""
-SELECT 'over_returned' AS rule, t.id AS tx_id, t.qty, CAST({R} AS BIGINT) AS returned_qty
-FROM transactions t WHERE {R} > t.qty
-UNION ALL
-SELECT 'open_nothing_left', t.id, t.qty, CAST({R} AS BIGINT)
-FROM transactions t WHERE t.return_date IS NULL AND t.qty - {R} <= 0"""))
+@register("audit_balances", oracle("""
+SELECT b.rule, t.id AS tx_id, t.qty, t.came_back AS returned_qty
+FROM _ledger t, LATERAL (SELECT 'over_returned' AS rule WHERE t.missing < 0
+                         UNION ALL SELECT 'open_nothing_left' WHERE t.return_date IS NULL AND t.missing <= 0) b"""))
 def q_audit_balances(spark, sf_dir):
     return AU.audit_balances(lending(spark, sf_dir))

@@ -68,7 +68,7 @@ CHANGE_CTES = {
               WHEN c.id IS NOT NULL AND c.stock < a.outstanding_in_use THEN 'below_in_use'
               WHEN EXISTS (SELECT 1 FROM inventory i WHERE lower(i.item_name) = c.lnm
                            AND (c.id IS NULL OR i.id <> c.id)) THEN 'name_taken' END AS r
-  FROM _ic c LEFT JOIN v_inventory_available a ON a.id = c.id""",
+  FROM _ic c LEFT JOIN _item_units a ON a.id = c.id""",
     "_fid": "SELECT id, MIN(req_id) AS f FROM _ic2 WHERE r IS NULL AND id IS NOT NULL GROUP BY id",
     "_fnm": """
   SELECT c.lnm, MIN(c.req_id) AS f FROM _ic2 c LEFT JOIN _fid fi ON fi.id = c.id

@@ -20,14 +20,14 @@ _CAND = """
          'Loan ' || o.item_name || ' x ' || CAST(o.qty AS VARCHAR) || ' is '
            || CAST(o.days_overdue AS VARCHAR) || ' days overdue; please return it soon' AS message,
          o.user_id, o.item_name, o.qty, o.days_overdue
-  FROM overdue_2_6_days o JOIN users u ON u.id = o.user_id
+  FROM _late o JOIN users u ON u.id = o.user_id
   UNION ALL
   SELECT 'staff_2_6', o.tx_id, 'overdue_staff_2_6', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
          'Loans 2-6 days overdue',
          'A member has ' || o.item_name || ' x ' || CAST(o.qty AS VARCHAR) || ' out for '
            || CAST(o.days_overdue AS VARCHAR) || ' days',
          o.user_id, o.item_name, o.qty, o.days_overdue
-  FROM overdue_2_6_days o
+  FROM _late o
   UNION ALL
   SELECT 'staff_7_plus', o.tx_id, 'overdue_staff', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
          'Loans over 7 days overdue',
@@ -36,7 +36,7 @@ _CAND = """
            || ' days. Letter for the faculty: /reports/overdue/print?tx='
            || replace(url_encode(o.tx_id), '+', '%20'),
          o.user_id, o.item_name, o.qty, o.days_overdue
-  FROM overdue_7_plus o LEFT JOIN users u ON u.id = o.user_id"""
+  FROM _very_late o LEFT JOIN users u ON u.id = o.user_id"""
 
 NOTIFY_CTES = {
     "_cand": _CAND,
@@ -157,7 +157,7 @@ SELECT o.tx_id, COALESCE(u.faculty, '(unspecified)') AS faculty,
        CAST(day(t.borrow_date) AS VARCHAR) || '/' || CAST(month(t.borrow_date) AS VARCHAR) || '/'
          || CAST(year(t.borrow_date) + 543 AS VARCHAR) AS borrow_date_th,
        o.days_overdue, t.escalated_at IS NOT NULL AS escalated
-FROM overdue_7_plus o JOIN transactions t ON t.id = o.tx_id LEFT JOIN users u ON u.id = o.user_id"""))
+FROM _very_late o JOIN transactions t ON t.id = o.tx_id LEFT JOIN users u ON u.id = o.user_id"""))
 def q_faculty_letters(spark, sf_dir):
     return N.faculty_letters(lending(spark, sf_dir), AS_OF)
 
