@@ -59,13 +59,12 @@ N_CLASSES = len(_CLASSES) + 2  # other bytes, and first bytes of longer characte
 _CLASS = np.full(256, N_CLASSES - 2, np.uint8)
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[list(_chars)] = _k
+_CLASS[0x80:0xC0] = N_CLASSES  # inner bytes of characters
 _CLASS[0xC0:] = N_CLASSES - 1
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
-_HEAD = np.ones(256, np.int64)  # bytes that start a character
-_HEAD[0x80:0xC0] = 0
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -81,24 +80,24 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     at = np.searchsorted(starts, offsets)
     row = np.repeat(np.arange(n), np.diff(at))
     words = np.diff(at)
-    heads = np.concatenate(([0], np.cumsum(_HEAD[data], dtype=np.int64)))
-    chars = _sums(heads[ends] - heads[starts], at)
-    symbols = _sums(_SYMBOL[data], offsets)
+    chars = _sums(ends - starts, at) - np.diff(np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets))
+    symbols = np.diff(np.searchsorted(np.flatnonzero(_SYMBOL[data]), offsets))
     # words inside repeated windows
     h = span_hashes(data, starts, ends)
     win = window_hashes(h, WINDOW)
     first = np.arange(len(win))
     inside = row[:len(win)] == row[WINDOW - 1:] if len(win) else np.zeros(0, bool)
     first, key = first[inside], mix(win[inside] + row[:len(win)][inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    cover = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(cover, first[twice], 1)
-    np.add.at(cover, first[twice] + WINDOW, -1)
-    repeated = _sums(np.cumsum(cover[:-1]) > 0, at)
+    ordered = np.sort(key)
+    often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(often):
+        spot = np.minimum(np.searchsorted(often, key), len(often) - 1)
+        begin = first[often[spot] == key]
+        m = len(starts) + 1
+        cover = np.bincount(begin, minlength=m) - np.bincount(begin + WINDOW, minlength=m)
+        repeated = _sums(np.cumsum(cover[:-1]) > 0, at)
+    else:
+        repeated = np.zeros(n, np.int64)
     # lines with a word that equal an earlier line of the row
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
@@ -120,24 +119,34 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bytes by character class of each row; inner bytes of characters don't count."""
-    kind = _CLASS[data]
-    return np.stack([_sums((kind == k) & ((data < 0x80) | (data >= 0xC0)), offsets) for k in range(N_CLASSES)], 1)
+    n, width = len(offsets) - 1, N_CLASSES + 1
+    slot = np.repeat(np.arange(n, dtype=np.int32) * width, np.diff(offsets)) + _CLASS[data]
+    return np.bincount(slot, minlength=n * width).reshape(n, width)[:, :N_CLASSES]
 
 
 def short_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Each word's 64-bit key: its small bytes without ASCII marks at the ends,
     if they are one to eight; else 0."""
     s, e = starts.copy(), ends.copy()
-    for _ in range(4):
-        s += (s < e) & ~_LETTER[data[np.minimum(s, len(data) - 1)]]
-        e -= (s < e) & ~_LETTER[data[np.maximum(e - 1, 0)]]
-    n = e - s
-    key = np.zeros(len(s), np.uint64)
+    at = np.flatnonzero(~_LETTER[data[s]])
+    while len(at):
+        s[at] += 1
+        at = at[s[at] < e[at]]
+        at = at[~_LETTER[data[s[at]]]]
+    at = np.flatnonzero((s < e) & ~_LETTER[data[e - 1]])
+    while len(at):
+        e[at] -= 1
+        at = at[~_LETTER[data[e[at] - 1]]]
+    out = np.zeros(len(s), np.uint64)
+    short = np.flatnonzero((e > s) & (e - s <= 8))
+    s, n = s[short], (e - s)[short]
+    key = np.zeros(len(short), np.uint64)
     for k in range(8):
         has = n > k
-        key[has] = (key[has] << np.uint64(8)) | LOWER[data[s[has] + k]].astype(np.uint64)
-    key[n > 8] = 0
-    return key
+        byte = LOWER[data[np.minimum(s + k, len(data) - 1)]].astype(np.uint64)
+        key = np.where(has, (key << np.uint64(8)) | byte, key)
+    out[short] = key
+    return out
 
 
 def _reference_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
