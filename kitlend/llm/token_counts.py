@@ -108,7 +108,7 @@ def _spliced(parts: DataFrame) -> DataFrame:
     """key, n_tokens, aligned from the chunks' reports."""
     w = Window.partitionBy("key").orderBy("i")
     ats = lambda c: F.transform(c, lambda m: m["at"])
-    before = lambda c, at: F.filter(c, lambda m: m["at"] == at)[0]["before"]
+    before = lambda c, at: F.get(F.filter(c, lambda m: m["at"] == at), F.lit(0))["before"]
     s = parts.withColumn("at", F.when(F.col("i") < F.col("n") - 1, F.try_element_at(
         F.array_intersect(ats(F.col("right_marks")), ats(F.lead("left_marks").over(w))), F.lit(1))))
     s = s.withColumn("from_at", F.lag("at").over(w))
