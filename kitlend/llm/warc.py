@@ -43,10 +43,9 @@ CRAWLED = "2020-01-01T00:00:00Z"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 40 hex digits are 8 groups of 20 bits,
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 40 digits are 8 groups of 20 bits,
     each four letters."""
-    digest = F.sha1(data)
     letters = []
     for group in range(8):
         bits = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
@@ -56,11 +55,10 @@ def base32_sha1(data: Column) -> Column:
 
 
 def payload_headers(pages: DataFrame) -> DataFrame:
-    """Adds payload, digest and payload_bytes to (page_id, url, html)."""
+    """Adds payload, digest (SHA-1 in hex) and payload_bytes to (page_id, url, html)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     return own_columns(pages, "page_id", "url", "html").select(
-        "page_id", "url", payload.alias("payload"),
-        base32_sha1(F.encode(payload, "UTF-8")).alias("digest"),
+        "page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"))
 
 
@@ -82,7 +80,7 @@ def record_text(row: dict[str, Column]) -> Column:
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), row["key"], F.lit(">"))),
         line("WARC-Date", F.lit(CRAWLED)),
         line("WARC-Target-URI", F.regexp_replace(F.regexp_replace(row["url"], "\r", "%0D"), "\n", "%0A")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), row["digest"])),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(row["digest"]))),
         F.when(revisit, F.concat(
             line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), row["refers_to"], F.lit(">"))),
             line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
