@@ -6,14 +6,16 @@ staff member per loan and day (the unique (ref, type, day) rule lets the first
 untold staff member through, so staff are told in rotation); the winner is
 the smallest staff rank not yet told, found by a gap search over the told
 ranks of that loan. The 7+ day notice reaches every staff member not yet told;
-it is kept as one row per loan with the number of staff it newly reaches,
-instead of materialising loans x staff pairs. The staff roster is broadcast
+it is stored as one row a loan for the audience ``staff``, which stands for all
+who had joined by its ``created_at``, instead of loans x staff pairs. De-duplication,
+the staff feed, the badges and ``mark_read`` all read it so. The staff roster is broadcast
 only after its size is counted against a bound.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ STAFF_ALLOWED_TYPES = ("overdue_staff", "overdue_staff_2_6")
 STAFF_ROLES = ("staff", "admin")
 STAFF_ALERT_EMAIL = "staff@example.com"
 MAX_BROADCAST_STAFF = 200_000
+#: The audience of notices for all staff.
+STAFF = "staff"
 
 
 def run_timestamp(as_of: dt.date) -> dt.datetime:
@@ -53,7 +57,8 @@ def staff_roster(l: Lending) -> tuple[DataFrame, int]:
     """
     roles = l.roles.where(F.col("name").isin(*STAFF_ROLES)).select(F.col("id").alias("_rid"))
     staff = (l.users.join(roles, F.col("role_id") == F.col("_rid"), "left_semi")
-             .select(F.col("id").alias("staff_id"), F.col("email").alias("staff_email")))
+             .select(F.col("id").alias("staff_id"), F.col("email").alias("staff_email"),
+                     F.col("created_at").alias("joined")))
     n = staff.count()
     ranked = global_rank(staff, "staff_id", "staff_rank", partitions=max(1, -(-n // 100_000)))
     return (F.broadcast(ranked) if n <= MAX_BROADCAST_STAFF else ranked), n
@@ -104,10 +109,29 @@ def overdue_candidates(l: Lending, as_of: dt.date) -> DataFrame:
 
 def _stored_refs(l: Lending, ntype: str) -> DataFrame:
     n = l.notifications.where(F.col("type") == ntype)
-    return n.select("user_id", ref_of(F.col("meta")).alias("ref"), "created_date") \
+    return n.select("user_id", ref_of(F.col("meta")).alias("ref"), "created_date", "created_at", "audience") \
         .where(F.col("ref").isNotNull())
 
 
+def _instants(rows: DataFrame) -> Column:
+    """The distinct created_at of audience rows, ascending, as one array. The
+    daily run writes them, so there is one a run day, however many rows."""
+    at = [str(r[0]) for r in rows.select(F.col("created_at").cast("string")).distinct().orderBy("created_at").collect()]
+    return F.from_json(F.lit(json.dumps(at)), "array<timestamp_ntz>")
+
+
+def _joined_by(roster: DataFrame, instants: Column) -> DataFrame:
+    """at, joined_n: how many of the staff had joined by each instant."""
+    slot = F.size(F.filter(instants, lambda t: t < F.col("joined")))
+    per = roster.select(F.when(F.col("joined").isNull(), 0).otherwise(slot).alias("slot")).groupBy("slot").agg(
+        F.count(F.lit(1)).alias("n"))
+    every = roster.sparkSession.range(1).select(F.posexplode(instants).alias("slot", "at"))
+    both = every.select("slot", "at", F.lit(0).cast("long").alias("n")).unionByName(
+        per.select("slot", F.lit(None).cast("timestamp_ntz").alias("at"), "n"))
+    upto = Window.orderBy("slot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("joined_n", F.sum("n").over(upto)).where(F.col("at").isNotNull()).select("at", "joined_n")
+
+
 def notification_dedupe(l: Lending, as_of: dt.date,
                         candidates: DataFrame | None = None) -> DataFrame:
     """The rows the run inserts, after the three uniqueness rules.
@@ -115,8 +139,9 @@ def notification_dedupe(l: Lending, as_of: dt.date,
     - member notice: blocked for ever once the loan has one (K3);
     - 2-6 staff notice: blocked for the day once any row has (ref, type, day)
       (K1); else goes to the first staff member by id not yet told (K2);
-    - 7+ staff notice: reaches each staff member not yet told (K2); kept as
-      one row per loan with ``recipients`` = how many.
+    - 7+ staff notice: reaches each staff member not yet told (K2), alone or by
+      an earlier audience row; one row per loan for the audience ``staff`` with
+      ``recipients`` = how many it newly reaches.
     """
     c = candidates if candidates is not None else overdue_candidates(l, as_of)
     run_ts = run_timestamp(as_of)
@@ -147,16 +172,25 @@ def notification_dedupe(l: Lending, as_of: dt.date,
 
     s7 = c.where(F.col("kind") == "staff_7_plus")
     stored7 = _stored_refs(l, STAFF_7_PLUS)
-    told7 = (stored7.join(roster, stored7["user_id"] == roster["staff_id"], "left_semi")
-             .select(F.col("ref").alias("_r7"), F.col("user_id").alias("_u7")).distinct()
-             .groupBy("_r7").agg(F.count(F.lit(1)).alias("_n7")))
-    s7 = (s7.join(told7, s7["ref"] == told7["_r7"], "left")
-          .withColumn("recipients", (F.lit(n_staff) - F.coalesce(F.col("_n7"), F.lit(0))).cast("bigint"))
+    to_all = stored7.where(F.col("audience") == STAFF).groupBy(F.col("ref").alias("_r7")).agg(
+        F.max("created_at").alias("_at7"))
+    joined = _joined_by(roster, _instants(to_all.withColumnRenamed("_at7", "created_at")))
+    s7 = (s7.join(to_all, s7["ref"] == to_all["_r7"], "left")
+          .join(joined, F.col("_at7") == F.col("at"), "left"))
+    alone = stored7.join(roster.select("staff_id", "joined"), stored7["user_id"] == F.col("staff_id"))
+    alone = (alone.join(to_all, alone["ref"] == to_all["_r7"], "left")
+             .where(F.col("_at7").isNull() | (F.col("joined") > F.col("_at7")))
+             .select(F.col("ref").alias("_ra"), "staff_id").distinct()
+             .groupBy("_ra").agg(F.count(F.lit(1)).alias("_n7")))
+    told = F.coalesce(F.col("joined_n"), F.lit(0)) + F.coalesce(F.col("_n7"), F.lit(0))
+    s7 = (s7.join(alone, s7["ref"] == alone["_ra"], "left")
+          .withColumn("recipients", (F.lit(n_staff) - told).cast("bigint"))
           .where(F.col("recipients") > 0))
 
     cols = ["kind", "ref", "type", "recipient_id", "recipients", "title", "message"]
     out = (member.select(*cols).unionByName(s26.select(*cols)).unionByName(s7.select(*cols)))
-    return (out.withColumn("meta", F.to_json(F.struct(F.col("ref").alias("ref"))))
+    return (out.withColumn("audience", F.when(F.col("kind") == "staff_7_plus", STAFF))
+            .withColumn("meta", F.to_json(F.struct(F.col("ref").alias("ref"))))
             .withColumn("created_at", ts_lit(run_ts))
             .withColumn("created_date", F.lit(as_of)))
 
@@ -182,32 +216,47 @@ def staff_rotation_schedule(l: Lending, start: dt.date, end: dt.date) -> DataFra
 
 def mail_outbox(l: Lending, as_of: dt.date, candidates: DataFrame | None = None) -> DataFrame:
     """Mail is not de-duplicated: every candidate mails on every run.
-    Member notices go to the member's address; staff notices go to every staff
-    member with an address (one row per notice with the recipient count) and
-    to the fixed alert address."""
+    Member notices go to the member's address; staff notices go to the run's
+    staff audience (one row per notice with the audience's id and recipient
+    count; ``staff_addresses`` holds its addresses) and to the fixed alert
+    address."""
     c = candidates if candidates is not None else overdue_candidates(l, as_of)
     roster, _ = staff_roster(l)
-    n_mail = roster.where(F.col("staff_email").isNotNull() & (F.col("staff_email") != "")).count()
+    n_mail = roster.where(F.col("staff_email") != "").count()
+    none = F.lit(None).cast("string")
     subject = (F.when(F.col("kind") == "member_2_6", F.lit("Overdue equipment reminder"))
                .when(F.col("kind") == "staff_2_6", F.lit("[Alert] 2-6 days overdue"))
                .otherwise(F.lit("[Alert] over 7 days overdue")))
     member = (c.where((F.col("kind") == "member_2_6") & (F.col("recipient_email") != ""))
               .select("kind", "ref", F.col("recipient_email").alias("to_address"),
-                      F.lit("member").alias("audience"), F.lit(1).cast("bigint").alias("recipients"),
+                      F.lit("member").alias("audience"), none.alias("audience_id"), F.lit(1).cast("bigint").alias("recipients"),
                       subject.alias("subject"), F.col("message").alias("body")))
     staff = c.where(F.col("kind") != "member_2_6")
     staff_rows = staff.select("kind", "ref", F.lit(None).cast("string").alias("to_address"),
-                              F.lit("staff").alias("audience"),
+                              F.lit("staff").alias("audience"), F.lit(audience_id(as_of)).alias("audience_id"),
                               F.lit(n_mail).cast("bigint").alias("recipients"),
                               subject.alias("subject"), F.col("message").alias("body"))
     alert_rows = staff.select("kind", "ref", F.lit(STAFF_ALERT_EMAIL).alias("to_address"),
-                              F.lit("alert").alias("audience"),
+                              F.lit("alert").alias("audience"), none.alias("audience_id"),
                               F.lit(1).cast("bigint").alias("recipients"),
                               subject.alias("subject"), F.col("message").alias("body"))
     return (member.unionByName(staff_rows).unionByName(alert_rows)
             .withColumn("run_date", F.lit(as_of)))
 
 
+def audience_id(as_of: dt.date) -> str:
+    """Name of a run's staff audience."""
+    return f"{STAFF}-{as_of.isoformat()}"
+
+
+def staff_addresses(l: Lending, as_of: dt.date) -> DataFrame:
+    """The addresses of a run's staff audience, one row a staff member with one."""
+    roster, _ = staff_roster(l)
+    return roster.where(F.col("staff_email") != "").select(
+        F.lit(audience_id(as_of)).alias("audience_id"), "staff_id", F.col("staff_email").alias("to_address"),
+        F.lit(as_of).alias("run_date"))
+
+
 def write_outbox(outbox: DataFrame, path: str) -> None:
     """Sink: a second run on the same day replaces that day's partition only."""
     (outbox.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -222,41 +271,85 @@ def notification_feed(l: Lending, n: int = 20, staff_only: bool = False,
                       since: dt.datetime | None = None) -> DataFrame:
     """K2: newest n (at most 100) notifications per viewer, id breaking ties.
     With ``since`` (the poll cursor) only rows created at most 5 seconds
-    before it are read, the overlap the client de-duplicates by id. The rank
-    filter plans as a WindowGroupLimit, so each map task keeps at most n rows
-    per viewer before the shuffle and a busy viewer cannot flood one task."""
+    before it are read, the overlap the client de-duplicates by id. Staff also
+    see the audience notices since they joined, of which the newest n are enough
+    for any of them. The rank filter plans as a WindowGroupLimit, so each map task
+    keeps at most n rows per viewer before the shuffle."""
     n = min(n, FEED_MAX)
     notes = l.notifications
     if since is not None:
         notes = notes.where(F.col("created_at") >= ts_lit(since - dt.timedelta(seconds=POLL_OVERLAP_SECONDS)))
     if staff_only:
-        roster, _ = staff_roster(l)
-        notes = (notes.where(F.col("type").isin(*STAFF_ALLOWED_TYPES))
-                 .join(roster, notes["user_id"] == roster["staff_id"], "left_semi"))
+        notes = notes.where(F.col("type").isin(*STAFF_ALLOWED_TYPES))
+    roster, _ = staff_roster(l)
+    viewers = roster.select("staff_id", "joined")
+    own = notes.where(F.col("audience").isNull() & F.col("user_id").isNotNull())
+    if staff_only:
+        own = own.join(viewers, own["user_id"] == F.col("staff_id"), "left_semi")
+    cols = ["user_id", "id", "type", "title", "message", "meta", "created_at", "read_at"]
+    newest = (notes.where(F.col("audience") == STAFF).orderBy(F.col("created_at").desc_nulls_first(), "id").limit(n)
+              .withColumn("_all", F.lit(1)))
+    shared = viewers.withColumn("_all", F.lit(1)).join(F.broadcast(newest), "_all").where(
+        F.col("joined").isNull() | F.col("created_at").isNull() | (F.col("joined") <= F.col("created_at")))
+    reads = l.notification_reads.select(F.col("notification_id").alias("_nid"), F.col("user_id").alias("_nu"),
+                                        F.col("read_at").alias("_read")).distinct()
+    shared = (shared.drop("user_id", "read_at").join(
+        reads, (F.col("id") == F.col("_nid")) & (F.col("staff_id") == F.col("_nu")), "left")
+        .withColumnsRenamed({"staff_id": "user_id", "_read": "read_at"}))
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_first(), F.col("id"))
-    return (notes.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
-            .select("user_id", "pos", "id", "type", "title", "message", "meta", "created_at",
-                    "read_at"))
+    return (own.select(*cols).unionByName(shared.select(*cols))
+            .withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+            .select("user_id", "pos", "id", "type", "title", "message", "meta", "created_at", "read_at"))
 
 
 def unread_badges(l: Lending) -> DataFrame:
-    """Unread count per member with the 99+ cap on the badge text."""
-    per = (l.notifications.groupBy("user_id")
+    """Unread count per member with the 99+ cap on the badge text. For staff it
+    includes the audience notices since they joined that they haven't read."""
+    notes = l.notifications
+    own = (notes.where(F.col("audience").isNull() & F.col("user_id").isNotNull()).groupBy("user_id")
            .agg(F.count(F.when(F.col("read_at").isNull(), 1)).alias("unread")))
+    roster, _ = staff_roster(l)
+    to_all = notes.where(F.col("audience") == STAFF).select("id", "created_at")
+    per = to_all.groupBy("created_at").agg(F.count(F.lit(1)).alias("n"))
+    seen = {str(r[0]): r[1] for r in per.select(F.col("created_at").cast("string"), "n").collect()}  # a row a run
+    runs = F.from_json(F.lit(json.dumps([{"at": a, "n": n} for a, n in seen.items()])),
+                       "array<struct<at:timestamp_ntz,n:bigint>>")
+    visible = F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + F.when(
+        F.col("joined").isNull() | (r["at"] >= F.col("joined")), r["n"]).otherwise(0))
+    read = (l.notification_reads.select(F.col("notification_id").alias("_nid"), F.col("user_id").alias("_nu")).distinct()
+            .join(to_all, F.col("_nid") == F.col("id")).join(roster, F.col("_nu") == F.col("staff_id"))
+            .where(F.col("joined").isNull() | (F.col("created_at") >= F.col("joined")))
+            .groupBy(F.col("_nu").alias("user_id")).agg((-F.count(F.lit(1))).alias("unread")))
+    shared = roster.select(F.col("staff_id").alias("user_id"), visible.alias("unread")).where(F.col("unread") > 0)
+    total = own.unionByName(shared).unionByName(read).groupBy("user_id").agg(F.sum("unread").alias("unread"))
     u = F.col("unread")
-    return per.select("user_id", "unread",
-                      F.when(u > 99, "99+").when(u > 0, u.cast("string")).alias("badge"))
+    return total.select("user_id", "unread",
+                        F.when(u > 99, "99+").when(u > 0, u.cast("string")).alias("badge"))
 
 
 def mark_read(l: Lending, requests: DataFrame, at: dt.datetime) -> DataFrame:
-    """Set read_at on the requester's own unread rows; first write wins."""
+    """The notifications after the requesters' own unread rows got a
+    read_at; first write wins. All columns stay, and ``changed`` is added."""
     req = requests.select(F.col("id").alias("_rid"), F.col("user_id").alias("_ruid")).distinct()
     n = l.notifications
     j = n.join(req, (n["id"] == req["_rid"]) & (n["user_id"] == req["_ruid"]), "left")
     hit = F.col("_rid").isNotNull() & F.col("read_at").isNull()
-    return j.select("id", "user_id", "type",
-                    F.when(hit, ts_lit(at)).otherwise(F.col("read_at")).alias("read_at"),
-                    hit.alias("changed"))
+    return j.withColumns({"changed": hit, "read_at": F.when(hit, ts_lit(at)).otherwise(F.col("read_at"))}).drop("_rid", "_ruid")
+
+
+def read_audience(l: Lending, requests: DataFrame, at: dt.datetime) -> DataFrame:
+    """N4 for audience notices: the ``notification_reads`` after the batch; a staff
+    member's first reading of a notice that they can see counts."""
+    roster, _ = staff_roster(l)
+    shown = l.notifications.where(F.col("audience") == STAFF).select(F.col("id").alias("_nid"), "created_at")
+    asked = requests.select(F.col("id").alias("notification_id"), "user_id").distinct()
+    fresh = (asked.join(shown, F.col("notification_id") == F.col("_nid"))
+             .join(roster, F.col("user_id") == F.col("staff_id"))
+             .where(F.col("joined").isNull() | (F.col("created_at") >= F.col("joined")))
+             .join(l.notification_reads.select(F.col("notification_id").alias("_on"), F.col("user_id").alias("_ou")),
+                   (F.col("notification_id") == F.col("_on")) & (F.col("user_id") == F.col("_ou")), "left_anti"))
+    return l.notification_reads.select("notification_id", "user_id", "read_at").unionByName(
+        fresh.select("notification_id", "user_id", ts_lit(at).alias("read_at")))
 
 
 def thai_date(c: Column) -> Column:

@@ -1,38 +1,41 @@
 """The daily overdue run (T3) as one batch job over stored tables.
 
 The reference fires at 08:00 Asia/Bangkok and once at start-up. Here any
-scheduler calls ``run_daily`` with the as-of day: the de-duplicated notices
-are appended to the notification table's day partition, and the mail outbox
-overwrites its run-date partition. A second run on the same day therefore
-adds no notification rows (the uniqueness rules see the first run's rows)
-and rewrites the same mail, which the reference sends again.
+scheduler calls ``run_daily`` with the folder of the stored tables and the as-of
+day: the de-duplicated notices are appended to the notifications table's day
+partition, and the mail outbox and the addresses of its staff audience overwrite
+their run-date partition. A second run on the same day therefore adds no
+notification rows (the uniqueness rules see the first run's rows, audience rows
+too) and rewrites the same mail, which the reference sends again.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitlend.operators import notify as N
-from kitlend.sources.fixtures import Lending
+from kitlend.sources.tables import read_lending, write_table
 
 
-def notices_as_rows(new, as_of: dt.date):
-    """Per-recipient rows of the run (member and rotation notices); the 7+ staff
-    notice is one row per loan addressed to the staff audience."""
+def notices_as_rows(new: DataFrame) -> DataFrame:
+    """The run's rows of the notifications table, without ids: the 7+ day notice
+    is a row for the staff audience, the others name their recipient."""
     return new.select(
         F.lit(None).cast("string").alias("id"), F.col("recipient_id").alias("user_id"), "type", "title",
         "message", "meta", "created_at", F.lit(None).cast("timestamp_ntz").alias("read_at"),
-        "created_date", "kind", "recipients")
+        "created_date", "audience")
 
 
-def run_daily(spark: SparkSession, l: Lending, as_of: dt.date, out_dir: str) -> dict[str, int]:
+def run_daily(spark: SparkSession, path: str, as_of: dt.date) -> dict[str, int]:
+    l = read_lending(spark, path)
     candidates = N.overdue_candidates(l, as_of).checkpoint(eager=True)
-    new = N.notification_dedupe(l, as_of, candidates)
-    rows = notices_as_rows(new, as_of).withColumn("id", F.expr("uuid()")).checkpoint(eager=True)
-    rows.write.mode("append").partitionBy("created_date").parquet(f"{out_dir}/notifications_new")
-    outbox = N.mail_outbox(l, as_of, candidates)
-    N.write_outbox(outbox, f"{out_dir}/outbox")
+    rows = (notices_as_rows(N.notification_dedupe(l, as_of, candidates))
+            .withColumn("id", F.expr("uuid()")).checkpoint(eager=True))
+    write_table(rows, path, "notifications", mode="append")
+    outbox = N.mail_outbox(l, as_of, candidates).checkpoint(eager=True)
+    N.write_outbox(outbox, f"{path}/outbox")
+    N.write_outbox(N.staff_addresses(l, as_of), f"{path}/outbox_addresses")
     return {"notices": rows.count(), "mails": outbox.count()}

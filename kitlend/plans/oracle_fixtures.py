@@ -93,16 +93,21 @@ _CTES = {
               THEN '{"ref":"' || json_extract_string(e.props, '$.k') || '"}' END AS meta,
          e.ts AS created_at,
          CASE WHEN e.event_id % 3 = 0 THEN e.ts END AS read_at,
-         CASE WHEN e.event_id % 11 <> 0 THEN CAST(e.ts AS DATE) END AS created_date
+         CASE WHEN e.event_id % 11 <> 0 THEN CAST(e.ts AS DATE) END AS created_date, CAST(NULL AS VARCHAR) AS audience
   FROM events e
   JOIN (VALUES ('click', 'borrow_created'), ('view', 'return_partial'),
                ('signup', 'overdue_staff_2_6'), ('error', 'overdue_staff'),
                ('purchase', 'fitness_visit')) m(etype, ntype) ON e.event_type = m.etype
   UNION ALL
-  SELECT 'os-' || line_id, o_custkey, 'overdue_student', 'overdue', CAST(NULL AS VARCHAR),
+  SELECT k.tag || line_id, CASE WHEN k.aud IS NULL THEN o_custkey END, k.ntype, 'overdue', CAST(NULL AS VARCHAR),
          '{"ref":"' || line_id || '"}',
-         CAST(borrow_date + 2 AS TIMESTAMP), CAST(NULL AS TIMESTAMP), borrow_date + 2
-  FROM _loans WHERE is_open AND l_linenumber = 1""",
+         CAST(borrow_date + k.day AS TIMESTAMP), CAST(NULL AS TIMESTAMP), borrow_date + k.day, k.aud
+  FROM _loans JOIN (VALUES (1, 'os-', 'overdue_student', 2, NULL), (2, 'sl-', 'overdue_staff_2_6', 3, NULL),
+                           (3, 'sa-', 'overdue_staff', 7, 'staff')) k(line, tag, ntype, day, aud) ON k.line = l_linenumber
+  WHERE is_open""",
+    "notification_reads": """
+  SELECT 'sa-' || line_id AS notification_id, o_custkey AS user_id, CAST(borrow_date + 8 AS TIMESTAMP) AS read_at
+  FROM _loans WHERE is_open AND l_linenumber = 3 AND l_suppkey % 2 = 0""",
     "loan_requests": """
   SELECT line_id AS req_id, o_orderdate AS ts, o_custkey AS user_id, l_partkey AS inventory_id,
          qty, CAST(o_orderdate AS DATE) AS borrow_date
@@ -180,7 +185,9 @@ _CTES = {
     "mark_read_requests": """
   SELECT id, user_id FROM notifications WHERE type IN ('borrow_created', 'return_partial')
   UNION ALL
-  SELECT id, user_id + 1 FROM notifications WHERE type = 'fitness_visit'""",
+  SELECT id, user_id + 1 FROM notifications WHERE type = 'fitness_visit'
+  UNION ALL
+  SELECT id, 1 + ('0x' || substr(md5(id), 1, 7))::BIGINT % 1500 FROM notifications WHERE audience IS NOT NULL""",
     "manual_notice_requests": """
   SELECT x.line_id || '-n' || CAST(v.n AS VARCHAR) AS req_id, x.line_id AS tx_id
   FROM (SELECT *, CASE WHEN l_suppkey % 9 = 1 THEN 2 ELSE 1 END AS nr

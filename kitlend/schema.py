@@ -1,7 +1,8 @@
 """Declared schemas of the lending tables and of the bulk-job inputs.
 
-Ids are UUID text in a live system; the fixture tables keep the driver's
-number types, and every operator is agnostic to the id type.
+Ids are UUID text in a live system, and the stored tables (``STORED``) keep them
+as text. The fixture tables keep the driver's number types; every operator is
+agnostic to the id type.
 """
 
 from pyspark.sql import types as T
@@ -40,10 +41,13 @@ FITNESS_VISITS = _st(("id", L, False), ("user_id", L, False), ("visit_date", D,
                      ("amount", I, False), ("pay_method", S, True), ("created_at", TS, True))
 
 NOTIFICATIONS = _st(
-    ("id", S, False), ("user_id", L, False), ("type", S, False), ("title", S, True),
+    ("id", S, False), ("user_id", L, True), ("type", S, False), ("title", S, True),
     ("message", S, True), ("meta", S, True), ("created_at", TS, True), ("read_at", TS, True),
-    ("created_date", D, True),
+    ("created_date", D, True), ("audience", S, True),
 )
+# A row with audience 'staff' and no user_id is for every staff member who had
+# joined by its created_at; who has read it is kept here, one row a reader.
+NOTIFICATION_READS = _st(("notification_id", S, False), ("user_id", L, False), ("read_at", TS, True))
 
 USER_HOLDS = _st(("id", L, False), ("user_id", L, False), ("reason", S, False),
                  ("created_at", TS, False), ("cleared_at", TS, True))
@@ -59,4 +63,11 @@ TABLES = {
     "roles": ROLES, "users": USERS, "inventory": INVENTORY, "transactions": TRANSACTIONS,
     "transaction_returns": TRANSACTION_RETURNS, "fitness_visits": FITNESS_VISITS,
     "notifications": NOTIFICATIONS, "user_holds": USER_HOLDS,
+    "notification_reads": NOTIFICATION_READS,
 }
+
+# Stored form: every id but that of a role is text, as UUIDs are.
+_ID_COLUMNS = {"id", "user_id", "inventory_id", "transaction_id", "notification_id"}
+STORED = {name: T.StructType([
+    T.StructField(f.name, S if f.name in _ID_COLUMNS and name != "roles" else f.dataType, f.nullable)
+    for f in table.fields]) for name, table in TABLES.items()}

@@ -29,6 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", os.environ.get("KITLEND_CHECKPOINTS") or tempfile.mkdtemp(prefix="kitlend-ckpt-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,22 +41,16 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory the cluster names.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset and
-    the master is local (tests) is a fresh scratch directory created; a cluster
-    without a shared checkpoint directory is a configuration error.
+    Reads ``spark.checkpoint.dir`` from the session. Only where it is unset, as in
+    tests, a folder beside the warehouse is taken, which all executors share.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    scratch = tempfile.mkdtemp(prefix="kitlend-ckpt-")
-    sc.setCheckpointDir(scratch)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    sc.setCheckpointDir(configured or f"{warehouse}/_checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -214,21 +214,38 @@ def notifications(spark: SparkSession, sf_dir: str, events: DataFrame | None = N
         F.col("ts").alias("created_at"),
         F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("read_at"),
         F.when(F.col("event_id") % 11 != 0, F.to_date("ts")).alias("created_date"),
+        F.lit(None).cast("string").alias("audience"),
     )
-    ll = _loan_lines(spark, sf_dir, lineitem).where(F.col("_open") & (F.col("l_linenumber") == 1))
-    told = _at_day_offset(F.col("borrow_date"), 2)
-    from_loans = ll.select(
-        F.concat(F.lit("os-"), F.col("line_id")).alias("id"),
-        F.col("o_custkey").alias("user_id"),
-        F.lit("overdue_student").alias("type"),
+    return from_events.unionByName(_loan_notices(spark, sf_dir, lineitem))
+
+
+def _loan_notices(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None) -> DataFrame:
+    """Notices of earlier runs about open loans: lines 1 told their member, lines
+    2 the member as staff (2-6 days), lines 3 the staff audience (7+ days)."""
+    n = F.col("l_linenumber")
+    ll = _loan_lines(spark, sf_dir, lineitem).where(F.col("_open") & n.isin(1, 2, 3))
+    at = _at_day_offset(F.col("borrow_date"), F.when(n == 1, 2).when(n == 2, 3).otherwise(7))
+    none = F.lit(None)
+    return ll.select(
+        F.concat(F.when(n == 1, "os-").when(n == 2, "sl-").otherwise("sa-"), F.col("line_id")).alias("id"),
+        F.when(n != 3, F.col("o_custkey")).alias("user_id"),
+        F.when(n == 1, "overdue_student").when(n == 2, "overdue_staff_2_6").otherwise("overdue_staff").alias("type"),
         F.lit("overdue").alias("title"),
-        F.lit(None).cast("string").alias("message"),
+        none.cast("string").alias("message"),
         _ref_meta(F.col("line_id")).alias("meta"),
-        told.alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("read_at"),
-        F.to_date(told).alias("created_date"),
+        at.alias("created_at"),
+        none.cast("timestamp_ntz").alias("read_at"),
+        F.to_date(at).alias("created_date"),
+        F.when(n == 3, "staff").alias("audience"),
     )
-    return from_events.unionByName(from_loans)
+
+
+def notification_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member of every second audience notice has read it."""
+    ll = _loan_lines(spark, sf_dir).where(
+        F.col("_open") & (F.col("l_linenumber") == 3) & (F.col("l_suppkey") % 2 == 0))
+    return ll.select(F.concat(F.lit("sa-"), F.col("line_id")).alias("notification_id"),
+                     F.col("o_custkey").alias("user_id"), _at_day_offset(F.col("borrow_date"), 8).alias("read_at"))
 
 
 # ---------------------------------------------------------------- bulk inputs
@@ -366,12 +383,15 @@ def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mark_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Viewers marking their borrow and return notices read, plus requests naming
-    someone else's visit notices (user id + 1), which must change nothing."""
+    someone else's visit notices (user id + 1), which must change nothing, and
+    members reading notices to all staff, who may or may not see them."""
     n = notifications(spark, sf_dir)
     own = n.where(F.col("type").isin("borrow_created", "return_partial")).select("id", "user_id")
     other = (n.where(F.col("type") == "fitness_visit")
              .select("id", (F.col("user_id") + 1).alias("user_id")))
-    return own.unionByName(other)
+    shared = n.where(F.col("audience").isNotNull()).select(
+        "id", (F.conv(F.substring(F.md5("id"), 1, 7), 16, 10).cast("long") % 1500 + 1).alias("user_id"))
+    return own.unionByName(other).unionByName(shared)
 
 
 def manual_notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,14 +436,17 @@ def item_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Lending:
-    """The eight lending tables. Each entry is a DataFrame or a zero-argument
+    """The lending tables. Each entry is a DataFrame or a zero-argument
     callable that builds it on first use, so a job analyses only the tables
     it reads."""
 
     NAMES = ("roles", "users", "inventory", "transactions", "transaction_returns",
-             "fitness_visits", "notifications", "user_holds")
+             "fitness_visits", "notifications", "user_holds", "notification_reads")
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        if "notifications" in tables:  # nobody has read an audience notice yet
+            tables.setdefault("notification_reads", lambda: self.notifications.where(F.lit(False)).select(
+                F.col("id").alias("notification_id"), "user_id", "read_at"))
         missing = set(self.NAMES) - set(tables)
         if missing:
             raise ValueError(f"missing tables: {sorted(missing)}")
@@ -445,6 +468,7 @@ class Lending:
     fitness_visits = property(lambda self: self._get("fitness_visits"))
     notifications = property(lambda self: self._get("notifications"))
     user_holds = property(lambda self: self._get("user_holds"))
+    notification_reads = property(lambda self: self._get("notification_reads"))
     # Open loans (``return_date IS NULL``); a stored layout partitioned by
     # open/closed supplies a pruned read here.
     open_transactions = property(lambda self: self._get("open_transactions"))
@@ -459,4 +483,5 @@ def lending(spark: SparkSession, sf_dir: str) -> Lending:
         transaction_returns=lambda: transaction_returns(spark, sf_dir),
         fitness_visits=lambda: fitness_visits(spark, sf_dir),
         notifications=lambda: notifications(spark, sf_dir), user_holds=lambda: user_holds(spark, sf_dir),
+        notification_reads=lambda: notification_reads(spark, sf_dir),
     )

@@ -40,10 +40,10 @@ def ret(rid, tid, q, at=TS(2001, 1, 1)):
     return (rid, tid, q, at, None)
 
 
-def note(nid, uid, ntype, ref=None, created=TS(2001, 8, 1), read=None, day="auto"):
+def note(nid, uid, ntype, ref=None, created=TS(2001, 8, 1), read=None, day="auto", audience=None):
     meta = None if ref is None else '{"ref":"%s"}' % ref
     cday = created.date() if day == "auto" else day
-    return (nid, uid, ntype, None, None, meta, created, read, cday)
+    return (nid, uid, ntype, None, None, meta, created, read, cday, audience)
 
 
 def rows(df, *cols, order=None):

@@ -34,7 +34,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     s = read_lending(spark, out)
     p = plan(B.lendable_items(s))
     assert "PushedFilters: [IsNotNull(active), IsNotNull(stock), EqualTo(active,true), GreaterThan(stock,0)]" in p
-    assert "ReadSchema: struct<id:bigint,item_name:string,stock:int,active:boolean>" in p
+    assert "ReadSchema: struct<id:string,item_name:string,stock:int,active:boolean>" in p
     p = plan(B.tx_outstanding(s))
     assert "PartitionFilters: [isnotnull(loan_state" in p
 

@@ -6,10 +6,13 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from helpers import D, TS, item, loan, make_lending, note, user
 from kitlend.operators import balances as B
+from kitlend.operators import notify as N
 from kitlend.plans.daily import run_daily
 from kitlend.sources import fixtures as fx
-from kitlend.sources.tables import read_lending, write_lending
+from kitlend.sources.jdbc import uuid_ranges
+from kitlend.sources.tables import read_lending, read_table, write_lending
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,34 +22,72 @@ def test_round_trip_and_open_loan_pruning(spark):
     l = fx.lending(spark, SF)
     write_lending(l, out)
     s = read_lending(spark, out)
-    a = sorted(tuple(r) for r in B.tx_outstanding(l).collect())
-    b = sorted(tuple(r) for r in B.tx_outstanding(s).collect())
-    assert a == b
+    text = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert text(B.tx_outstanding(l)) == text(B.tx_outstanding(s))
     plan = B.open_loans(s)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(loan_state" in plan
 
 
 def test_daily_run_twice_adds_nothing_but_mails_again(spark):
     out = tempfile.mkdtemp(prefix="kitlend-daily-")
-    l = fx.lending(spark, SF)
-    as_of = fx.AS_OF
-    first = run_daily(spark, l, as_of, out)
+    write_lending(fx.lending(spark, SF), out)
+    before = N.unread_badges(read_lending(spark, out)).agg(F.sum("unread")).first()[0]
+    first = run_daily(spark, out, fx.AS_OF)
     assert first["notices"] > 0
-    stored = spark.read.parquet(f"{out}/notifications_new").select(
-        *[c for c in l.notifications.columns])
-    l2 = fx.Lending(**{n: getattr(l, n) for n in fx.Lending.NAMES if n != "notifications"},
-                    notifications=l.notifications.unionByName(
-                        stored.where(F.col("user_id").isNotNull())))
-    # 7+ staff notices are audience rows; expand them the way the reference stores them
-    roster = l.users.where(F.col("role_id").isin(3, 4)).select(F.col("id").alias("uid"))
-    seven = (spark.read.parquet(f"{out}/notifications_new").where(F.col("kind") == "staff_7_plus")
-             .join(roster).select(F.col("id"), F.col("uid").alias("user_id"), "type", "title", "message",
-                                  "meta", "created_at", "read_at", "created_date"))
-    l2 = fx.Lending(**{n: getattr(l2, n) for n in fx.Lending.NAMES if n != "notifications"},
-                    notifications=l2.notifications.unionByName(seven))
-    second = run_daily(spark, l2, as_of, out)
-    assert second["notices"] == 0
-    assert second["mails"] == first["mails"]
-    days = [r[0] for r in spark.read.parquet(f"{out}/outbox").select("run_date").distinct().collect()]
-    assert days == [as_of]
-    assert spark.read.parquet(f"{out}/outbox").count() == first["mails"]
+    second = run_daily(spark, out, fx.AS_OF)
+    assert second == {"notices": 0, "mails": first["mails"]}
+    box = spark.read.parquet(f"{out}/outbox")
+    assert box.count() == first["mails"] and {r[0] for r in box.select("run_date").distinct().collect()} == {fx.AS_OF}
+    named = {r[0] for r in box.where("audience = 'staff'").select("audience_id").distinct().collect()}
+    addresses = spark.read.parquet(f"{out}/outbox_addresses")
+    assert {r[0] for r in addresses.select("audience_id").distinct().collect()} == named
+    assert addresses.count() == box.where("audience = 'staff'").first()["recipients"]
+    l = read_lending(spark, out)
+    told = l.notifications.where(F.col("audience").isNotNull() & (F.col("created_at") == F.lit(N.run_timestamp(fx.AS_OF)).cast("timestamp_ntz")))
+    assert told.count() > 0 and told.where("user_id IS NOT NULL").count() == 0
+    shown = N.notification_feed(l, 50, staff_only=True).where(F.col("created_at") == F.lit(N.run_timestamp(fx.AS_OF)).cast("timestamp_ntz"))
+    assert shown.count() > 0
+    assert N.unread_badges(l).agg(F.sum("unread")).first()[0] > before
+
+
+def test_reading_an_audience_notice_lowers_one_badge(spark):
+    l = make_lending(spark, users=[user(1, "staff", 3, created=TS(2001, 1, 1)), user(2, "staff", 3, created=TS(2001, 9, 1)), user(3)],
+                     notifications=[note("a", None, "overdue_staff", "t1", audience="staff"), note("b", 1, "borrow_created"),
+                                    note("c", 3, "borrow_created")])
+    badges = lambda l: {r["user_id"]: r["unread"] for r in N.unread_badges(l).collect()}
+    assert badges(l) == {1: 2, 3: 1}
+    req = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3)], "id string, user_id long")
+    reads = N.read_audience(l, req, TS(2001, 8, 2))
+    assert [tuple(r)[:2] for r in reads.collect()] == [("a", 1)]
+    l2 = fx.Lending(**{n: getattr(l, n) for n in fx.Lending.NAMES if n != "notification_reads"}, notification_reads=reads)
+    assert badges(l2) == {1: 1, 3: 1}
+
+
+def test_uuid_ids_round_trip(spark):
+    a, b = "8c1f6d1e-0d0b-4a51-9d51-1f7d3a2b6c01", "0f4f2f3a-77aa-4b0e-8a60-5f0b7e1d2c02"
+    out = tempfile.mkdtemp(prefix="kitlend-uuid-")
+    l = make_lending(spark, users=[user(1)], inventory=[item(2)], transactions=[loan("t", 1, 2, 3, D(2001, 8, 1))])
+    uuids = {n: getattr(l, n) for n in fx.Lending.NAMES}
+    uuids["users"] = l.users.withColumn("id", F.lit(a))
+    uuids["inventory"] = l.inventory.withColumn("id", F.lit(b))
+    uuids["transactions"] = l.transactions.withColumn("user_id", F.lit(a)).withColumn("inventory_id", F.lit(b))
+    write_lending(fx.Lending(**uuids), out)
+    r = B.tx_outstanding(read_lending(spark, out)).first()
+    assert (r["user_id"], r["inventory_id"], r["outstanding_qty"]) == (a, b, 3)
+
+
+def test_columns_missing_from_some_files_are_null_there_only(spark):
+    for order in ((0, 1), (1, 0)):
+        out = tempfile.mkdtemp(prefix="kitlend-drift-")
+        old = spark.createDataFrame([("o", "1", "x", "t", None)], "id string, user_id string, type string, title string, message string")
+        new = old.withColumns({"id": F.lit("n"), "meta": F.lit("m"), "read_at": F.lit("2001-08-02").cast("timestamp_ntz")})
+        for k, day in zip(order, ("2001-08-01", "2001-08-02"), strict=True):
+            (old, new)[k].write.parquet(f"{out}/notifications/created_date={day}")
+        got = {r["id"]: (r["meta"], r["read_at"]) for r in read_table(spark, out, "notifications").collect()}
+        assert got == {"o": (None, None), "n": ("m", TS(2001, 8, 2))}
+
+
+def test_uuid_ranges_cover_every_key_once():
+    for n in (1, 7, 64, 256):
+        parts = uuid_ranges("id", n)
+        assert len(parts) == n and parts[-1].startswith("id >=") and sum("<" in p for p in parts) == n - 1
