@@ -215,7 +215,8 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
     owned = shared.groupBy(F.col("own.key").alias("of")).agg(F.collect_list(F.struct(
         F.col("own.start").alias("start"), F.col("own.length").alias("length"), "hash")).alias("own"))
     texts = (rows.select("key", "text").mapInArrow(_packed, "key binary, frame binary, size long")
-             .groupBy("key").agg(F.first("frame").alias("frame"), F.first("size").alias("size")))
+             .groupBy("key").agg(F.first("frame").alias("frame"), F.first("size").alias("size"))
+             .where(F.col("key").isNotNull()))  # as inner joins ask: both uses then share one exchange
     ids = (texts.join(owned, F.col("key") == F.col("of")).select("frame", "size", "own")
            .mapInArrow(lambda b: _owned(b, path), "hash binary, ids binary").withColumnRenamed("hash", "of_hash"))
     again = (places.join(ids, F.col("hash") == F.col("of_hash"))

@@ -18,11 +18,12 @@ from __future__ import annotations
 import functools
 import json
 import os
+from array import array
 
 import numpy as np
 
 #: Distinct words kept by a worker; the memo starts afresh beyond that.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 
 
 def _drops_space(spec: dict) -> bool:
@@ -52,16 +53,17 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.drops_space = _drops_space(json.load(f))
         self.kind = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
+        self._code = "H" if self.kind is np.uint16 else "I"
         self.memo: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self._code, ids).tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words that the memo doesn't hold yet."""
+    def learn(self, words: set[bytes]) -> None:
+        """Encode words that the memo doesn't hold."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        new = list({w for w in words if w not in self.memo})
+        new = list(words)
         for a in range(0, len(new), 20_000):
             part = new[a:a + 20_000]
             done = self.lib.encode_batch_fast([w.decode("utf-8", "replace") for w in part],
@@ -73,11 +75,12 @@ class Encoder:
         if not self.drops_space:
             return self._pack(self.lib.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         words = text.split()
-        try:
-            return b"".join([self.memo[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self.memo[w] for w in words])
+        known = list(map(self.memo.get, words))
+        if None in known:
+            self.learn({w for w, k in zip(words, known, strict=True) if k is None})
+            memo = self.memo
+            known = [memo[w] if k is None else k for w, k in zip(words, known, strict=True)]
+        return b"".join(known)
 
     def ids(self, text: bytes) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.kind)
