@@ -23,17 +23,48 @@ def _roles_by_name(l: Lending) -> DataFrame:
     return l.roles.select(F.col("id").alias("_role_id"), F.col("name").alias("_role"))
 
 
-def register_members(l: Lending, regs: DataFrame, mail_domain: str = DEFAULT_MAIL_DOMAIN,
-                     max_rounds: int | None = None) -> DataFrame:
+def _first_two(und: DataFrame, key: str) -> DataFrame:
+    """_k, _f, _s: the two earliest undecided rows of each key."""
+    first = und.groupBy(F.col(key).alias("_k")).agg(F.min("_me").alias("_f"))
+    rest = und.join(first, und[key] == first["_k"]).where(F.col("_me") != F.col("_f"))
+    second = rest.groupBy(F.col("_k").alias("_k2")).agg(F.min("_me").alias("_s"))
+    return first.join(second, first["_k"] == second["_k2"], "left").drop("_k2")
+
+
+def _chains(marked: DataFrame) -> DataFrame:
+    """req_id, take for the rows of pure chains that hang on an accepted row.
+
+    A pure row has exactly one earlier undecided row to share a key with, so it
+    is taken just if that one is refused: its fate is the parity of its distance
+    from the chain's first row, found by pointer jumping in a logarithmic number
+    of joins.
+    """
+    links = marked.where(F.col("_prev").isNotNull()).select(
+        "req_id", F.col("_prev.req_id").alias("_to"), F.lit(1).alias("_odd")).checkpoint(eager=True)
+    while True:
+        ahead = links.select(F.col("req_id").alias("_at"), F.col("_to").alias("_to2"), F.col("_odd").alias("_odd2"))
+        jumped = links.join(ahead, links["_to"] == ahead["_at"], "left")
+        if jumped.where(F.col("_at").isNotNull()).isEmpty():
+            break
+        links = jumped.select("req_id", F.coalesce("_to2", "_to").alias("_to"),
+                              F.when(F.col("_at").isNull(), F.col("_odd"))
+                              .otherwise((F.col("_odd") + F.col("_odd2")) % 2).alias("_odd")).checkpoint(eager=True)
+    roots = marked.where("_root").select(F.col("req_id").alias("_rid"))
+    return links.join(roots, links["_to"] == roots["_rid"], "left_semi").select(
+        "req_id", (F.col("_odd") == 0).alias("take"))
+
+
+def register_members(l: Lending, regs: DataFrame, mail_domain: str = DEFAULT_MAIL_DOMAIN) -> DataFrame:
     """Intake of a registration batch, arrival order (ts, req_id).
 
     Row rules (missing fields, mail domain for students, 12/13-digit ids),
     then keys already used by a stored member (case-blind e-mail, the id, or
     the QR value), then first-wins inside the batch on two keys (case-blind
     e-mail and id). A refused row frees its keys, so the batch is decided in
-    rounds: a row first among undecided rows on both keys is accepted, rows
-    sharing a key with it are refused; every round decides at least the
-    earliest undecided row. Round state is checkpointed to cut lineage."""
+    rounds: a row first among undecided rows on both keys is accepted, pure chains
+    behind such rows are decided by parity (``_chains``), and rows sharing a key
+    with an accepted one are refused. A chain of any length takes one round.
+    Round state is checkpointed to cut lineage."""
     spark = regs.sparkSession
     kind = F.col("kind")
     id_value = F.when(kind == "student", F.col("student_id")).otherwise(F.col("citizen_id"))
@@ -57,28 +88,28 @@ def register_members(l: Lending, regs: DataFrame, mail_domain: str = DEFAULT_MAI
     r = r.withColumn("_pre", pre)
 
     und = r.where(F.col("_pre").isNull()).select("req_id", "ts", "_ek", "_ik").checkpoint(eager=True)
+    und = und.withColumn("_me", F.struct("ts", "req_id"))
     decided_parts = []
-    rounds = 0
     while not und.isEmpty():
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError("registration rounds exceeded max_rounds")
-        order = F.struct("ts", "req_id")
-        first_e = und.groupBy("_ek").agg(F.min(order).alias("_fe"))
-        first_i = und.groupBy("_ik").agg(F.min(order).alias("_fi"))
-        j = (und.join(first_e, "_ek").join(first_i, "_ik")
-             .withColumn("_me", F.struct("ts", "req_id")))
-        acc = j.where((F.col("_me") == F.col("_fe")) & (F.col("_me") == F.col("_fi"))) \
-            .select("req_id", "_ek", "_ik").checkpoint(eager=True)
+        e, i = _first_two(und, "_ek"), _first_two(und, "_ik")
+        j = (und.join(e.withColumnsRenamed({"_k": "_k1", "_f": "_fe", "_s": "_se"}), und["_ek"] == F.col("_k1"))
+             .join(i.withColumnsRenamed({"_k": "_k2", "_f": "_fi", "_s": "_si"}), und["_ik"] == F.col("_k2")))
+        first_e, first_i = F.col("_me") == F.col("_fe"), F.col("_me") == F.col("_fi")
+        prev = (F.when(first_i & (F.col("_me") == F.col("_se")), F.col("_fe"))
+                .when(first_e & (F.col("_me") == F.col("_si")), F.col("_fi")))
+        marked = j.select("req_id", "_ek", "_ik", (first_e & first_i).alias("_root"),
+                          prev.alias("_prev")).checkpoint(eager=True)
+        fates = _chains(marked)
+        acc = marked.where("_root").select("req_id", "_ek", "_ik").unionByName(
+            marked.join(fates.where("take"), "req_id", "left_semi").select("req_id", "_ek", "_ik")).checkpoint(eager=True)
         rest = und.join(acc.select("req_id"), "req_id", "left_anti")
         hit_e = acc.select(F.col("_ek").alias("_he")).distinct()
         hit_i = acc.select(F.col("_ik").alias("_hi")).distinct()
         blocked = (rest.join(hit_e, rest["_ek"] == hit_e["_he"], "left")
                    .join(hit_i, rest["_ik"] == hit_i["_hi"], "left")
-                   .where(F.col("_he").isNotNull() | F.col("_hi").isNotNull()).select("req_id"))
-        decided_parts.append(acc.select("req_id", F.lit(None).cast("string").alias("_batch")))
-        decided_parts.append(blocked.select("req_id", F.lit("taken_in_batch").alias("_batch"))
-                             .checkpoint(eager=True))
+                   .where(F.col("_he").isNotNull() | F.col("_hi").isNotNull()).select("req_id")).checkpoint(eager=True)
+        decided_parts += [acc.select("req_id", F.lit(None).cast("string").alias("_batch")),
+                          blocked.select("req_id", F.lit("taken_in_batch").alias("_batch"))]
         und = rest.join(blocked, "req_id", "left_anti").checkpoint(eager=True)
 
     if decided_parts:

@@ -287,7 +287,6 @@ def test_hold_release_notices(spark):
 
 
 def test_registration_without_a_kind_is_refused(spark):
-    from kitlend.operators import changes as C
     l = make_lending(spark)
     regs = spark.createDataFrame([(1, TS(2001, 8, 1), None, "a@mail.example.edu", None, "1234567890123", "A", None, None)],
                                  "req_id long, ts timestamp_ntz, kind string, email string, student_id string, "
@@ -297,7 +296,6 @@ def test_registration_without_a_kind_is_refused(spark):
 
 
 def test_a_refused_item_change_frees_its_name(spark):
-    from kitlend.operators import changes as C
     l = make_lending(spark, inventory=[item(1), item(2)])
     ch = spark.createDataFrame([(1, 1, "x", 5, True), (2, 1, "y", 5, True), (3, 2, "y", 5, True), (4, None, "Y ", 5, True)],
                                "req_id long, id long, name string, stock int, active boolean")
@@ -306,7 +304,6 @@ def test_a_refused_item_change_frees_its_name(spark):
 
 
 def test_first_valid_role_change_wins(spark):
-    from kitlend.operators import changes as C
     l = make_lending(spark, users=[user(1)])
     ch = spark.createDataFrame([(1, 1, "owner"), (2, 1, "staff"), (3, 1, "admin"), (4, 9, "staff")],
                                "req_id long, user_id long, role string")
@@ -322,3 +319,37 @@ def test_first_valid_promise_change_wins(spark):
     got = rows(U.set_promise(l, ch), "req_id", "outcome", "promised_return_date")
     assert got == [("1", "invalid_date", days_ago(1)), ("2", "set", D(2001, 8, 9)), ("3", "conflict", days_ago(1)),
                    ("4", "not_found", None)]
+
+
+def test_a_long_registration_chain_is_decided_by_parity(spark):
+    """e1-i1, e1-i2, e2-i2, ...: each shares one key with the row before it."""
+    n = 10_000
+    regs = spark.createDataFrame(
+        [(k, TS(2001, 8, 1) + dt.timedelta(seconds=k), "external", f"e{k // 2}@x", None, f"{(k + 1) // 2:013d}", "N", None, None)
+         for k in range(n)],
+        "req_id long, ts timestamp_ntz, kind string, email string, student_id string, citizen_id string, "
+        "full_name string, faculty string, phone string").repartition(8)
+    calls = []
+    real = C._chains
+    C._chains = lambda m: calls.append(1) or real(m)
+    try:
+        got = {r["req_id"]: r["accepted"] for r in C.register_members(make_lending(spark), regs).collect()}
+    finally:
+        C._chains = real
+    assert got == {k: k % 2 == 0 for k in range(n)} and len(calls) == 1
+
+
+def test_registration_rounds_equal_first_come_first_served(spark):
+    import random
+    rnd = random.Random(6)
+    rows_ = [(k, TS(2001, 8, 1) + dt.timedelta(seconds=rnd.randint(0, 50)), "external", f"e{rnd.randint(0, 60)}@x", None,
+              f"{rnd.randint(0, 60):013d}", "N", None, None) for k in range(200)]
+    regs = spark.createDataFrame(rows_, "req_id long, ts timestamp_ntz, kind string, email string, student_id string, "
+                                 "citizen_id string, full_name string, faculty string, phone string")
+    es, ids, want = set(), set(), {}
+    for r in sorted(rows_, key=lambda r: (r[1], r[0])):
+        want[r[0]] = r[3] not in es and r[5] not in ids
+        if want[r[0]]:
+            es.add(r[3])
+            ids.add(r[5])
+    assert {r["req_id"]: r["accepted"] for r in C.register_members(make_lending(spark), regs).collect()} == want
