@@ -132,6 +132,28 @@ def _joined_by(roster: DataFrame, instants: Column) -> DataFrame:
     return both.withColumn("joined_n", F.sum("n").over(upto)).where(F.col("at").isNotNull()).select("at", "joined_n")
 
 
+def untold_staff(l: Lending, s7: DataFrame) -> DataFrame:
+    """Adds ``recipients``, the staff whom no 7+ day row has told of the loan in
+    ``ref``, alone or by an audience row since they joined; rows without any go."""
+    roster, n_staff = staff_roster(l)
+    stored7 = _stored_refs(l, STAFF_7_PLUS)
+    to_all = stored7.where(F.col("audience") == STAFF).groupBy(F.col("ref").alias("_r7")).agg(
+        F.max("created_at").alias("_at7"))
+    joined = _joined_by(roster, _instants(to_all.withColumnRenamed("_at7", "created_at")))
+    s7 = (s7.join(to_all, s7["ref"] == to_all["_r7"], "left")
+          .join(joined, F.col("_at7") == F.col("at"), "left"))
+    alone = stored7.join(roster.select("staff_id", "joined"), stored7["user_id"] == F.col("staff_id"))
+    alone = (alone.join(to_all, alone["ref"] == to_all["_r7"], "left")
+             .where(F.col("_at7").isNull() | (F.col("joined") > F.col("_at7")))
+             .select(F.col("ref").alias("_ra"), "staff_id").distinct()
+             .groupBy("_ra").agg(F.count(F.lit(1)).alias("_n7")))
+    told = F.coalesce(F.col("joined_n"), F.lit(0)) + F.coalesce(F.col("_n7"), F.lit(0))
+    s7 = (s7.join(alone, s7["ref"] == alone["_ra"], "left")
+          .withColumn("recipients", (F.lit(n_staff) - told).cast("bigint"))
+          .where(F.col("recipients") > 0))
+    return s7
+
+
 def notification_dedupe(l: Lending, as_of: dt.date,
                         candidates: DataFrame | None = None) -> DataFrame:
     """The rows the run inserts, after the three uniqueness rules.
@@ -145,7 +167,7 @@ def notification_dedupe(l: Lending, as_of: dt.date,
     """
     c = candidates if candidates is not None else overdue_candidates(l, as_of)
     run_ts = run_timestamp(as_of)
-    roster, n_staff = staff_roster(l)
+    roster, _ = staff_roster(l)
 
     member = (c.where(F.col("kind") == "member_2_6")
               .join(_stored_refs(l, MEMBER_OVERDUE).select(F.col("ref").alias("_r")),
@@ -171,21 +193,7 @@ def notification_dedupe(l: Lending, as_of: dt.date,
            .withColumn("recipients", F.lit(1).cast("bigint")))
 
     s7 = c.where(F.col("kind") == "staff_7_plus")
-    stored7 = _stored_refs(l, STAFF_7_PLUS)
-    to_all = stored7.where(F.col("audience") == STAFF).groupBy(F.col("ref").alias("_r7")).agg(
-        F.max("created_at").alias("_at7"))
-    joined = _joined_by(roster, _instants(to_all.withColumnRenamed("_at7", "created_at")))
-    s7 = (s7.join(to_all, s7["ref"] == to_all["_r7"], "left")
-          .join(joined, F.col("_at7") == F.col("at"), "left"))
-    alone = stored7.join(roster.select("staff_id", "joined"), stored7["user_id"] == F.col("staff_id"))
-    alone = (alone.join(to_all, alone["ref"] == to_all["_r7"], "left")
-             .where(F.col("_at7").isNull() | (F.col("joined") > F.col("_at7")))
-             .select(F.col("ref").alias("_ra"), "staff_id").distinct()
-             .groupBy("_ra").agg(F.count(F.lit(1)).alias("_n7")))
-    told = F.coalesce(F.col("joined_n"), F.lit(0)) + F.coalesce(F.col("_n7"), F.lit(0))
-    s7 = (s7.join(alone, s7["ref"] == alone["_ra"], "left")
-          .withColumn("recipients", (F.lit(n_staff) - told).cast("bigint"))
-          .where(F.col("recipients") > 0))
+    s7 = untold_staff(l, s7)
 
     cols = ["kind", "ref", "type", "recipient_id", "recipients", "title", "message"]
     out = (member.select(*cols).unionByName(s26.select(*cols)).unionByName(s7.select(*cols)))

@@ -36,4 +36,5 @@ def load_all() -> None:
         importlib.import_module(f"kitlend.plans.{mod}")
 
 
-_MODULES = ["q_balances", "q_history", "q_members", "q_notify", "q_jobs", "q_changes", "q_audit", "q_streaming"]
+_MODULES = ["q_balances", "q_history", "q_members", "q_notify", "q_jobs", "q_changes", "q_audit", "q_snapshots",
+            "q_streaming"]

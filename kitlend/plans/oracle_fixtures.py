@@ -202,6 +202,18 @@ _CTES = {
     "delete_user_requests": """
   SELECT c_custkey AS user_id FROM customer
   UNION ALL SELECT c_custkey + 1000000000 FROM customer WHERE c_custkey % 26 = 0""",
+    "item_toggles": """
+  SELECT p_partkey AS id FROM part WHERE p_partkey % 3 > 0
+  UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 3 = 2
+  UNION ALL SELECT p_partkey + 1000000000 FROM part WHERE p_partkey % 12 = 0""",
+    "staff_requests": """
+  SELECT c_custkey AS req_id,
+         CASE WHEN c_custkey % 17 <> 0 THEN
+           CASE WHEN c_custkey % 11 = 0 THEN 'M' || CAST(c_custkey AS VARCHAR) || '@mail.example.edu'
+                ELSE ' s' || CAST(c_custkey // 2 AS VARCHAR) || '@mail.example.edu ' END END AS email,
+         c_name || ' ' AS full_name,
+         ['staff', 'Admin', 'owner', 'staff', 'ADMIN', 'external', ''][c_custkey % 7 + 1] AS role
+  FROM customer""",
     "item_delete_requests": """
   SELECT p_partkey AS id FROM part
   UNION ALL SELECT p_partkey + 1000000000 FROM part WHERE p_partkey % 12 = 0""",

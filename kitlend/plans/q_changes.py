@@ -101,7 +101,7 @@ def q_apply_inventory_changes(spark, sf_dir):
     return C.apply_inventory_changes(l, C.check_inventory_changes(l, fx.inventory_changes(spark, sf_dir)))
 
 
-@register("apply_role_changes", oracle("""
+ROLE_SQL = """
 SELECT req_id, user_id, role, outcome,
        CASE WHEN outcome = 'role_updated' THEN new_role ELSE old_role END AS role_id,
        CASE WHEN outcome = 'role_updated' THEN rn ELSE old_type END AS member_type
@@ -112,12 +112,15 @@ FROM (SELECT c.req_id, c.user_id, c.role, lower(trim(c.role)) AS rn, r.id AS new
       FROM role_changes c LEFT JOIN roles r ON r.name = lower(trim(c.role))
       LEFT JOIN users u ON u.id = c.user_id
       LEFT JOIN (SELECT user_id, MIN(req_id) AS f FROM role_changes WHERE lower(trim(role)) IN (SELECT name FROM roles)
-                 GROUP BY user_id) f ON f.user_id = c.user_id) x"""))
+                 GROUP BY user_id) f ON f.user_id = c.user_id) x"""
+
+
+@register("apply_role_changes", oracle(ROLE_SQL))
 def q_apply_role_changes(spark, sf_dir):
     return C.apply_role_changes(lending(spark, sf_dir), fx.role_changes(spark, sf_dir))
 
 
-@register("delete_users", oracle("""
+DELETE_SQL = """
 SELECT user_id, outcome,
        CASE WHEN outcome = 'deleted' THEN nn ELSE 0 END AS notifications_removed,
        CASE WHEN outcome = 'deleted' THEN hn ELSE 0 END AS holds_removed
@@ -128,12 +131,15 @@ FROM (SELECT d.user_id,
                   ELSE 'deleted' END AS outcome,
              (SELECT COUNT(*) FROM notifications n WHERE n.user_id = d.user_id) AS nn,
              (SELECT COUNT(*) FROM user_holds h WHERE h.user_id = d.user_id) AS hn
-      FROM (SELECT DISTINCT user_id FROM delete_user_requests) d LEFT JOIN users u ON u.id = d.user_id) x"""))
+      FROM (SELECT DISTINCT user_id FROM delete_user_requests) d LEFT JOIN users u ON u.id = d.user_id) x"""
+
+
+@register("delete_users", oracle(DELETE_SQL))
 def q_delete_users(spark, sf_dir):
     return C.delete_users(lending(spark, sf_dir), fx.delete_user_requests(spark, sf_dir))
 
 
-@register("delete_or_archive_items", oracle(f"""
+ITEM_DELETE_SQL = f"""
 SELECT id, outcome,
        CASE WHEN outcome = 'archived' THEN FALSE ELSE active END AS active,
        CASE WHEN outcome = 'archived' THEN COALESCE(deleted_at, {RUN_TS_SQL}) ELSE deleted_at END AS deleted_at
@@ -141,7 +147,10 @@ FROM (SELECT r.id, i.active, i.deleted_at,
              CASE WHEN i.id IS NULL THEN 'not_found'
                   WHEN r.id IN (SELECT inventory_id FROM transactions) THEN 'archived'
                   ELSE 'deleted' END AS outcome
-      FROM (SELECT DISTINCT id FROM item_delete_requests) r LEFT JOIN inventory i ON i.id = r.id) x"""))
+      FROM (SELECT DISTINCT id FROM item_delete_requests) r LEFT JOIN inventory i ON i.id = r.id) x"""
+
+
+@register("delete_or_archive_items", oracle(ITEM_DELETE_SQL))
 def q_delete_or_archive_items(spark, sf_dir):
     return C.delete_or_archive_items(lending(spark, sf_dir), fx.item_delete_requests(spark, sf_dir),
                                      run_timestamp(AS_OF))

@@ -211,7 +211,7 @@ def q_faculty_letters(spark, sf_dir):
     return N.faculty_letters(lending(spark, sf_dir), AS_OF)
 
 
-@register("set_promise", oracle(r"""
+PROMISE_SQL = r"""
 SELECT req_id, tx_id, date, outcome,
        CASE outcome WHEN 'set' THEN d WHEN 'cleared' THEN NULL ELSE promised_return_date END AS promised_return_date
 FROM (SELECT *, CASE WHEN why IS NOT NULL THEN why
@@ -222,7 +222,10 @@ FROM (SELECT *, CASE WHEN why IS NOT NULL THEN why
             FROM (SELECT c.*, t.id, t.return_date, t.promised_return_date, trim(COALESCE(c.date, '')) AS txt,
                          CASE WHEN regexp_matches(trim(COALESCE(c.date, '')), '^\d{4}-\d{2}-\d{2}$')
                               THEN TRY_CAST(trim(c.date) AS DATE) END AS d
-                  FROM promise_changes c LEFT JOIN transactions t ON t.id = c.tx_id) a) b) e"""))
+                  FROM promise_changes c LEFT JOIN transactions t ON t.id = c.tx_id) a) b) e"""
+
+
+@register("set_promise", oracle(PROMISE_SQL))
 def q_set_promise(spark, sf_dir):
     return U.set_promise(lending(spark, sf_dir), fx.promise_changes(spark, sf_dir))
 
@@ -239,7 +242,7 @@ def q_mark_escalated(spark, sf_dir):
                             N.run_timestamp(AS_OF))
 
 
-@register("manual_notice", oracle(f"""
+MANUAL_SQL = f"""
 SELECT r.req_id, r.tx_id,
        CASE WHEN t.id IS NULL THEN 'not_found'
             WHEN t.return_date IS NOT NULL THEN 'already_returned'
@@ -251,7 +254,10 @@ FROM manual_notice_requests r
 JOIN (SELECT tx_id, MIN(req_id) AS first_req FROM manual_notice_requests GROUP BY tx_id) f
   ON f.tx_id = r.tx_id
 LEFT JOIN (SELECT t.* FROM transactions t WHERE t.inventory_id IN (SELECT id FROM inventory)) t
-  ON t.id = r.tx_id"""))
+  ON t.id = r.tx_id"""
+
+
+@register("manual_notice", oracle(MANUAL_SQL))
 def q_manual_notice(spark, sf_dir):
     return U.manual_notice(lending(spark, sf_dir), AS_OF, fx.manual_notice_requests(spark, sf_dir))
 

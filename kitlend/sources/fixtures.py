@@ -435,6 +435,27 @@ def item_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(p.where(key % 12 == 0).select((key + 1_000_000_000).alias("id"))))
 
 
+def item_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key % 3 requests to flip each part, and some for unknown ids."""
+    p = _read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    known = p.where(key % 3 > 0).select(key.alias("id"), F.explode(F.sequence(F.lit(1), key % 3)).alias("n")).select("id")
+    return known.unionByName(p.where(key % 12 == 0).select((key + 1_000_000_000).alias("id")))
+
+
+def staff_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account asked for in every customer's name: some e-mails are taken, pairs
+    share one, and some roles don't exist."""
+    c = _read(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    names = F.array(*[F.lit(x) for x in ("staff", "Admin", "owner", "staff", "ADMIN", "external", "")])
+    email = (F.when(key % 11 == 0, F.concat(F.lit("M"), key.cast("string"), F.lit("@mail.example.edu")))
+             .otherwise(F.concat(F.lit(" s"), F.floor(key / 2).cast("string"), F.lit("@mail.example.edu "))))
+    return c.select(key.alias("req_id"), F.when(key % 17 != 0, email).alias("email"),
+                    F.concat(F.col("c_name"), F.lit(" ")).alias("full_name"),
+                    F.element_at(names, (key % 7 + 1).cast("int")).alias("role"))
+
+
 class Lending:
     """The lending tables. Each entry is a DataFrame or a zero-argument
     callable that builds it on first use, so a job analyses only the tables

@@ -353,3 +353,24 @@ def test_registration_rounds_equal_first_come_first_served(spark):
             es.add(r[3])
             ids.add(r[5])
     assert {r["req_id"]: r["accepted"] for r in C.register_members(make_lending(spark), regs).collect()} == want
+
+
+def test_deleted_members_go_with_their_notices_and_holds(spark):
+    from kitlend.operators import snapshots as SN
+    l = make_lending(spark, users=[user(1), user(2)], inventory=[item(1)], transactions=[loan("t", 1, 1, 1, days_ago(1))],
+                     notifications=[note("a", 1, "x"), note("b", 2, "x"), note("c", None, "overdue_staff", "t", audience="staff")],
+                     user_holds=[(1, 1, "r", TS(2001, 1, 1), None), (2, 2, "r", TS(2001, 1, 1), None)])
+    after = SN.after_user_deletes(l, spark.createDataFrame([(1,), (2,), (3,)], "user_id long"))
+    assert {n: rows(df, "id") for n, df in after.items()} == {"users": [(1,)], "notifications": [("a",), ("c",)],
+                                                              "user_holds": [(1,)]}
+
+
+def test_escalation_and_seven_day_notice_share_the_once_rule(spark):
+    from kitlend.operators import snapshots as SN
+    l = make_lending(spark, users=[user(1), user(5, "staff", 3, created=TS(2001, 1, 1))], inventory=[item(1)],
+                     transactions=[loan("new", 1, 1, 1, days_ago(9)), loan("told", 1, 1, 1, days_ago(9)),
+                                   loan("back", 1, 1, 1, days_ago(9), returned=TS(2001, 8, 1))],
+                     notifications=[note("a", None, "overdue_staff", "told", audience="staff")])
+    req = spark.createDataFrame([("new",), ("told",), ("back",), ("new",)], "tx_id string")
+    got = rows(SN.escalation_notices(l, req, AS_OF), "ref", "type", "recipients")
+    assert got == [("new", "overdue_faculty", 1), ("new", "overdue_staff", 1), ("told", "overdue_faculty", 1)]
