@@ -506,3 +506,33 @@ def lending(spark: SparkSession, sf_dir: str) -> Lending:
         notifications=lambda: notifications(spark, sf_dir), user_holds=lambda: user_holds(spark, sf_dir),
         notification_reads=lambda: notification_reads(spark, sf_dir),
     )
+
+
+def raw_lending(spark: SparkSession, sf_dir: str) -> Lending:
+    """Tables as an import without constraints would bring them: every table also
+    holds copies of some rows (by a key % 50 = 1) with broken values."""
+    far = 1_000_000_000
+    none = F.lit(None)
+
+    def broken(df: DataFrame, number: Column, **values: Column) -> DataFrame:
+        some = df.where(number % 50 == 1)
+        return df.unionByName(some.withColumns({n: v.cast(df.schema[n].dataType) for n, v in values.items()}))
+
+    def tail(c: str) -> Column:  # supplier key inside a line id
+        return F.split_part(F.col(c), F.lit("-"), F.lit(4)).cast("long")
+    k = F.col("id")
+    l = lending(spark, sf_dir)
+    return Lending(
+        roles=lambda: spark.createDataFrame([(1, "student"), (2, "external"), (3, "staff"), (4, "admin"), (5, "staff"),
+                                             (4, "a role with a long name"), (6, None)], "id int, name string"),
+        users=lambda: broken(l.users, k, role_id=F.lit(9), member_type=F.lit("guest"), student_id=F.lit("12AB"),
+                             full_name=F.repeat(F.lit("x"), 201), email=F.when(k % 100 != 1, F.col("email"))),
+        inventory=lambda: broken(l.inventory, k, stock=F.lit(-5), active=none),
+        transactions=lambda: broken(l.transactions, tail("id"), user_id=F.col("user_id") + far,
+                                    inventory_id=F.col("inventory_id") + far, qty=F.lit(0)),
+        transaction_returns=lambda: broken(l.transaction_returns, tail("id"), return_qty=F.lit(0), returned_at=none,
+                                           transaction_id=F.concat(F.col("id"), F.lit("-x"))),
+        fitness_visits=lambda: broken(l.fitness_visits, k, user_id=F.col("user_id") + far, pay_method=F.lit("card"), amount=none),
+        notifications=lambda: broken(l.notifications, F.coalesce(F.expr("try_cast(substr(id, 2) as bigint)"), F.lit(0)),
+                                     user_id=F.when(F.col("type") != "fitness_visit", F.col("user_id") + far), type=none),
+        user_holds=lambda: broken(l.user_holds, k, user_id=F.col("user_id") + far, reason=none, cleared_at=none))
