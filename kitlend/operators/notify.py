@@ -295,13 +295,13 @@ def notification_feed(l: Lending, n: int = 20, staff_only: bool = False,
     if staff_only:
         own = own.join(viewers, own["user_id"] == F.col("staff_id"), "left_semi")
     cols = ["user_id", "id", "type", "title", "message", "meta", "created_at", "read_at"]
-    newest = (notes.where(F.col("audience") == STAFF).orderBy(F.col("created_at").desc_nulls_first(), "id").limit(n)
-              .withColumn("_all", F.lit(1)))
-    shared = viewers.withColumn("_all", F.lit(1)).join(F.broadcast(newest), "_all").where(
+    newest = (notes.where(F.col("audience") == STAFF).orderBy(F.col("created_at").desc_nulls_first(), "id").limit(n))
+    member_of = viewers.withColumn("_of", F.when(F.col("staff_id").isNotNull(), F.lit(STAFF)))
+    shared = member_of.join(F.broadcast(newest), F.col("_of") == F.col("audience")).where(
         F.col("joined").isNull() | F.col("created_at").isNull() | (F.col("joined") <= F.col("created_at")))
     reads = l.notification_reads.select(F.col("notification_id").alias("_nid"), F.col("user_id").alias("_nu"),
                                         F.col("read_at").alias("_read")).distinct()
-    shared = (shared.drop("user_id", "read_at").join(
+    shared = (shared.drop("user_id", "read_at", "_of", "audience").join(
         reads, (F.col("id") == F.col("_nid")) & (F.col("staff_id") == F.col("_nu")), "left")
         .withColumnsRenamed({"staff_id": "user_id", "_read": "read_at"}))
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_first(), F.col("id"))
