@@ -144,8 +144,8 @@ STAFF = [user(10, "staff", 3), user(11, "staff", 3), user(12, "admin", 4)]
 
 def _stored_from(out, day):
     return [(f"{r['kind']}-{r['recipient_id']}-{day}", r["recipient_id"], r["type"], None, None,
-             r["meta"], TS(day.year, day.month, day.day, 1), None, day)
-            for r in out.collect() if r["recipient_id"] is not None]
+             r["meta"], TS(day.year, day.month, day.day, 1), None, day, r["audience"])
+            for r in out.collect()]
 
 
 def test_staff_rotation_and_member_once(spark):
