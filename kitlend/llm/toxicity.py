@@ -3,15 +3,16 @@ ratios (operator 6).
 
 Features are the 4 to 7 byte n-grams of a text, ASCII letters made small, runs
 of white space made one space and one put at either end, hashed to ``2**BITS``
-features and marked present or absent. Three jobs train the model:
-
-1. Over all labelled training rows, the documents of each class that hold a
-   feature are counted in the scan's tasks and summed by feature (at most
-   2**BITS rows a task), which gives the log-count ratio r of each feature.
-   Ratios within ``SIGNIFICANT`` standard errors of 0 count as 0.
-2. A bounded sample of training rows (about ``SAMPLE`` of each class, drawn by
-   a hash of doc_id) has its features scaled by r and fits a logistic regression
-   in one task.
+features and marked present or absent. The model is fitted on a bounded sample:
+at most ``SAMPLE`` labelled training rows of each class, drawn by a hash of
+doc_id.
+
+1. The sample's documents of each class that hold a feature are counted in the
+   scan's tasks and summed by feature (at most 2**BITS rows a task), which gives
+   the log-count ratio r of each feature. Ratios within ``SIGNIFICANT``
+   standard errors of 0 count as 0.
+2. About ``FIT`` of the rows of each class have their features scaled by r and fit
+   a logistic regression in one task.
 3. The product of r and the fitted weights is one weight a feature; the array
    of 2**BITS weights (a fixed bound) goes along with the scoring function.
 
@@ -36,8 +37,9 @@ from kitlend.llm.common import LOWER, PIECE, SPACE, own_columns, prepare, stored
 
 BITS = 18
 ORDERS = (4, 5, 6, 7)
-#: Rows of each class, about, that fit the weights.
-SAMPLE = 3000
+#: Most labelled rows of each class whose features are counted, and of these about
+#: how many fit the regression.
+SAMPLE, FIT = 8000, 2000
 #: Standard errors that a log-count ratio must differ from 0 by.
 SIGNIFICANT = 4.0
 THRESHOLD = 0.7
@@ -86,13 +88,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the training rows."""
-    l = (own_columns(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1))
-         .where(~held_out(F.col("doc_id")))
-         .groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").cast("int").alias("toxic")))
-    d = own_columns(docs, "doc_id", "text").where(~held_out(F.col("doc_id")))
-    return d.join(l, F.col("doc_id") == F.col("of")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "doc_id")
+def drawn_labels(labels: DataFrame, sample: int) -> DataFrame:
+    """of, toxic, fits: at most ``sample`` labelled training rows of each class, those
+    first in the order of a hash of doc_id."""
+    own = stored(own_columns(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+                 .where(~held_out(F.col("doc_id")))
+                 .groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").cast("int").alias("toxic"))
+                 .withColumn("place", F.xxhash64("of", F.lit("sample"))), "toxic-labels")
+    n = {row["toxic"]: row["count"] for row in own.groupBy("toxic").count().collect()}
+    parts = []
+    for c in (0, 1):  # thin out first, so that the ordered limit meets few rows more than it keeps
+        near = own.where((F.col("toxic") == c) & (F.pmod("place", F.lit(max(n.get(c, 0), 1))) < 2 * sample))
+        parts.append(near.withColumn("place", F.pmod("place", F.lit(max(n.get(c, 0), 1))))
+                     .orderBy("place", "of").limit(sample))
+    return parts[0].unionByName(parts[1]).select("of", "toxic", (F.col("place") < FIT).alias("fits"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """text, toxic, fits of the drawn training rows. The drawn labels are at most twice
+    ``sample`` rows of two numbers and so are broadcast; texts stay where they
+    are scanned."""
+    drawn = F.broadcast(drawn_labels(labels, sample))
+    return own_columns(docs, "doc_id", "text").join(drawn, F.col("doc_id") == F.col("of")).select(
+        F.coalesce("text", F.lit("")).alias("text"), "toxic", "fits")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +133,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_count_ratios(train: DataFrame) -> np.ndarray | None:
-    """r by feature from all training rows; None without rows of both classes."""
+    """r by feature from the sample; None without rows of both classes."""
     rows = (train.select("text", "toxic").mapInArrow(_counts, "feature int, n0 long, n1 long")
             .groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))).toArrow()
     f = rows.column("feature").to_numpy()
@@ -154,8 +172,8 @@ def _fit(batches: Iterator[pa.RecordBatch], r: np.ndarray) -> Iterator[pa.Record
     order = sorted(range(len(seen)), key=lambda i: (toxic[i], seen[i].tobytes()))
     seen, y = [seen[i] for i in order], np.array([toxic[i] for i in order], np.float64)
     at = np.concatenate([*seen, np.zeros(0, np.int32)])
-    row_of = np.repeat(np.arange(len(seen)), [len(s) for s in seen])
-    scaled = r[at].astype(np.float64)
+    row_of = np.repeat(np.arange(len(seen), dtype=np.int32), [len(s) for s in seen])
+    scaled = r[at]
     row_weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, m, v, b = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(3)
     for step in range(1, STEPS + 1):
@@ -182,16 +200,12 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model from the labelled training rows; None without both classes."""
     prepare(docs.sparkSession)
-    rows = labelled(docs, labels)
-    kept = stored(rows, "toxic-train")
+    kept = stored(labelled(docs, labels, sample), "toxic-train")
     r = log_count_ratios(kept)
     if r is None:
         return None
-    n = {row["toxic"]: row["count"] for row in kept.groupBy("toxic").count().collect()}
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.when(F.col("toxic") == 1, n[1]).otherwise(n[0]))
-    packed = (kept.where(drawn < sample).select("text", "toxic")
-              .mapInArrow(lambda b: _sparse(b, r), "seen binary, toxic int"))
-    fitted = packed.coalesce(1).mapInArrow(lambda b: _fit(b, r), "weights binary, bias double").first()
+    packed = kept.where("fits").select("text", "toxic").mapInArrow(lambda b: _sparse(b, r), "seen binary, toxic int")
+    fitted = packed.repartition(1).mapInArrow(lambda b: _fit(b, r), "weights binary, bias double").first()
     return Model(np.frombuffer(fitted["weights"], np.float32), fitted["bias"])
 
 
