@@ -129,6 +129,7 @@ def _owned(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                 ids.append(enc.packed(text[c["start"]:c["start"] + c["length"]]))
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())],
                                          ["hash", "ids"])
+    enc.memo.clear()  # the worker lives on, for other stages
 
 
 _SPACES = frozenset(b" \t\n\r\v\f")
@@ -194,6 +195,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
                                          ["key", "n_tokens", "ids_sha256", "decoded_sha256", "n_pieces"])
+    enc.memo.clear()
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:

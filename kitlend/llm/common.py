@@ -16,7 +16,7 @@ from kitlend.session import ensure_checkpoint_dir, ship_package
 #: Bytes of text hashed at once; bounds the arrays that stand for single bytes.
 PIECE = 1 << 20
 #: Bytes of text of the documents handled together by an Arrow batch function.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ from array import array
 import numpy as np
 
 #: Distinct words kept by a worker; the memo starts afresh beyond that.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 
 
 def _drops_space(spec: dict) -> bool:

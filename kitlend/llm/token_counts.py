@@ -45,6 +45,7 @@ def _short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                   for v in b.column(1).cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+    enc.memo.clear()  # the worker lives on, for other stages
 
 
 def cut(text: bytes, chunk: int, overlap: int) -> list[tuple[int, bytes]]:
