@@ -113,21 +113,33 @@ _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
 def _records(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record; ``lines`` are the pieces between
-    separators, in file order."""
+    separators, in file order. A block that ends in an odd number of CRLF is cut
+    two bytes early, and the piece after it begins with the separator's rest: the
+    block is then cut at its length and the remainder is the next record's head."""
     sep = SEPARATOR.encode()
-    for head in lines:
+    carry = b""
+    while True:
+        head, carry = carry or next(lines, None), b""
+        if head is None:
+            return
         if not head:
             continue
         fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(head)}
         want = int(fields["content-length"])
         parts, got = [], -len(sep)
         while got < want:  # a block that holds the separator comes in several pieces
-            piece = next(lines)
+            piece = next(lines, None)
+            if piece is None:
+                break
             parts.append(piece)
             got += len(sep) + len(piece)
+        block = sep.join(parts)
+        if got > want and block.startswith(sep, want):
+            block, carry = block[:want], block[want + len(sep):]
+            got = want
         if got != want:
             raise ValueError(f"record {fields.get('warc-record-id')} is not {want} bytes long")
-        yield fields, sep.join(parts)
+        yield fields, block
 
 
 READ_SCHEMA = ("record_key string, url string, record_type string, digest string, refers_key string, "
