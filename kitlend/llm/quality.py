@@ -19,8 +19,11 @@ The references are sums over all documents of the language (null is a language
 of its own) that pass the base rules, counted in the scan's tasks and summed by
 (language, class or word) before the shuffle. A document is kept if it passes
 the base rules and neither distance is beyond its limit. Distances of short
-texts are noise, so a text below ``GUARD_CHARS`` bytes or ``GUARD_WORDS`` words
-is held only against the limits widened by ``sqrt(guard / length)``.
+texts are noise, so a text below ``GUARD_CHARS`` bytes is held only against the
+character limit widened by ``sqrt(guard / length)``. The word distance of good
+prose falls with its length all along: its limit is ``MAX_WORD_DISTANCE`` at
+``GUARD_WORDS`` words and follows the largest distances that were measured on
+documents labelled good (see ``word_limits``).
 
 Null text: no words, so base_failed. A language with fewer than ``MIN_REFERENCE``
 words in all has no reference and its documents face the base rules alone.
@@ -48,7 +51,10 @@ GUARD_WORDS = 150
 MIN_REFERENCE = 2000
 #: Limits of the two Jensen-Shannon distances.
 MAX_CHAR_DISTANCE = 0.21
-MAX_WORD_DISTANCE = 0.55
+MAX_WORD_DISTANCE = 0.42
+#: Powers of GUARD_WORDS / words by which the word limit rises below GUARD_WORDS
+#: and falls beyond, and the share of it that is left to long texts.
+SHORT_POWER, LONG_POWER, LEAST_SHARE = 1 / 5, 1 / 3, 0.36
 
 #: Symbols of the base counts.
 SYMBOLS = b"#*$%&|<>"
@@ -210,6 +216,17 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((kl(p) + kl(q)) / 2, 0))
 
 
+def word_limits(words: np.ndarray, limit: float) -> np.ndarray:
+    """The word distance that a text of so many words may have.
+
+    The largest distances of documents labelled good that pass the base rules in
+    sf0.1: 0.54 at 20 to 30 words, 0.47 to 45, 0.42 to 150, 0.33 to 300, 0.25 to
+    600, 0.18 to 1,200, 0.13 to 2,500 and 0.09 beyond.
+    """
+    ratio = GUARD_WORDS / np.maximum(words, 1)
+    return limit * np.where(ratio > 1, ratio ** SHORT_POWER, np.maximum(ratio ** LONG_POWER, LEAST_SHARE))
+
+
 def _judged(batches: Iterator[pa.RecordBatch], limits: tuple[float, float]) -> Iterator[pa.RecordBatch]:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for batch in batches:
@@ -242,8 +259,8 @@ def _judged(batches: Iterator[pa.RecordBatch], limits: tuple[float, float]) -> I
                 far_w[i] = distance(mine[None, :], counts)[0]
             n_bytes = np.diff(off)
             wide_c = np.sqrt(np.maximum(GUARD_CHARS / np.maximum(n_bytes, 1), 1))
-            wide_w = np.sqrt(np.maximum(GUARD_WORDS / np.maximum(base["n_words"], 1), 1))
-            kept = ~base["base_failed"] & (far_c <= limits[0] * wide_c) & (far_w <= limits[1] * wide_w)
+            kept = (~base["base_failed"] & (far_c <= limits[0] * wide_c)
+                    & (far_w <= word_limits(base["n_words"], limits[1])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[a:b], *(pa.array(base[n], pa.int64()) for n in names),
                  pa.array(base["base_failed"]), pa.array(kept), pa.array(np.round(far_c, 6)), pa.array(np.round(far_w, 6))],
