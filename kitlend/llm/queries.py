@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kitlend.llm import (bpe, chat, html_text, mixing, neardup, quality, sql, token_counts, topk, toxicity, warc)
+from kitlend.llm import (bitplanes, bpe, chat, codes, html_text, linebits, mixing, neardup, quality, sql, token_counts,
+                         topk, toxicity, warc)
 
 
 def vocabulary() -> str:
@@ -64,9 +65,24 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.clustered_vectors(_table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linebits.cleaned_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe_round_trip, op4_mix_sources,
                             op5_near_duplicates, op6_toxicity, op7_html_text, op8_exact_top_k, op9_quality_rules,
-                            op10_warc_revisits)}
+                            op10_warc_revisits, op11_vector_codes, op12_centroid_clusters, op13_line_dedup)}
 
-ORACLE: dict[str, str] = {"op4_mix_sources": sql.MIX, "op8_exact_top_k": sql.TOP_K, "op10_warc_revisits": sql.WARC}
+ORACLE: dict[str, str] = {"op4_mix_sources": sql.MIX, "op8_exact_top_k": sql.TOP_K, "op10_warc_revisits": sql.WARC,
+                          "op11_vector_codes": sql.CODES, "op12_centroid_clusters": sql.CLUSTERS,
+                          "op13_line_dedup": sql.LINES}

@@ -77,3 +77,70 @@ FROM d JOIN pl ON pl.source IS NOT DISTINCT FROM d.source JOIN {last} f ON f.sou
 
 
 MIX = _mix(classes=24)
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _moved(books: str, assigned: str, key: str) -> str:
+    """The entries after a round: the floor of their members' mean, or as before."""
+    on = f"{key}, entry, pos"
+    return f"""
+SELECT {', '.join(f'b.{c}' for c in on.split(', '))}, coalesce((s - ((s % n) + n) % n) // n, v)::BIGINT AS v
+FROM {books} b LEFT JOIN (SELECT {on}, sum(x.v)::HUGEINT AS s, count(*)::HUGEINT AS n
+                          FROM {assigned} JOIN x USING (rid, {key}) GROUP BY ALL) USING ({on})"""
+
+
+def _nearest(books: str, key: str) -> str:
+    return f"""
+SELECT rid, {key}, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+FROM (SELECT rid, {key}, entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS d
+      FROM x JOIN {books} b USING ({key}, pos) GROUP BY rid, {key}, entry) GROUP BY rid, {key}"""
+
+
+def _lloyd(key: str, rounds: int) -> str:
+    steps = [f"a0 AS MATERIALIZED ({_nearest('b0', key)})"]
+    for r in range(1, rounds + 1):
+        steps.append(f"b{r} AS MATERIALIZED ({_moved(f'b{r - 1}', f'a{r - 1}', key)})")
+        steps.append(f"a{r} AS MATERIALIZED ({_nearest(f'b{r}', key)})")
+    return ",\n".join(steps)
+
+
+#: Rounds of plain assignments in long form: one row a vector and component.
+CODES = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+       list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE {_FINITE}),
+x AS MATERIALIZED (SELECT rid, (i - 1) // (len(q) // 8) AS part, (i - 1) % (len(q) // 8) AS pos, v
+     FROM (SELECT rid, q, unnest(q) AS v, generate_subscripts(q, 1) AS i FROM kept)),
+b0 AS (SELECT part, rid - 1 AS entry, pos, v FROM x WHERE rid <= 16),
+{_lloyd('part', 6)},
+found AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b6) AS codebooks_sha256
+FROM found JOIN kept USING (rid)
+"""
+
+CLUSTERS = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), embedding) AS rid, vec_id,
+       list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+     FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+x AS MATERIALIZED (SELECT rid, 0 AS one, unnest(q) AS v, generate_subscripts(q, 1) AS pos FROM kept),
+b0 AS (SELECT one, rid - 1 AS entry, pos, v FROM x WHERE rid <= 40),
+{_lloyd('one', 5)},
+names AS (SELECT entry, sha256(string_agg(v::VARCHAR, ',' ORDER BY pos)) AS sha FROM b5 GROUP BY entry)
+SELECT vec_id, entry::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY entry))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256
+FROM a5 JOIN kept USING (rid) JOIN names USING (entry)
+"""
+
+LINES = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT rid, string_split(text, chr(10)) AS lines FROM d),
+l AS (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s),
+k AS (SELECT rid, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key AS of FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(of) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (of IS NULL), '')) AS kept_sha256
+FROM k JOIN d USING (rid) LEFT JOIN common ON key = of GROUP BY rid
+"""
