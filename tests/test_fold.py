@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from kitlend.operators.fold import ADMISSION, CLOSED, RANGE_ROWS, SETTLEMENT, ordered_fold, range_partitions
+from kitlend.operators.fold import ADMISSION, CLOSED, RANGE_ROWS, SETTLEMENT, _pieces, ordered_fold, range_partitions
 
 
 def admit_one(s, row):
@@ -141,6 +141,46 @@ def test_key_with_a_third_of_the_rows(spark, parts):
     assert got == want
 
 
+def test_large_stock_and_a_million_rows_of_one_key(spark):
+    """Start 10^9, 10^6 requests of one item: small, middling and nearly as large
+    as what is left, so that levels fall at many places."""
+    n, cap = 1_000_000, 10**9
+    h = F.pmod(F.xxhash64("rid"), F.lit(1000))
+    qty = (F.when(h < 900, h).when(h < 990, h * 1000).when(h < 998, h * 100_000)
+           .otherwise(F.lit(cap) - F.col("rid") * 1000).cast("int"))
+    df = (spark.range(n).withColumnRenamed("id", "rid").withColumn("item", F.lit(1)).withColumn("qty", F.greatest(qty, F.lit(1)))
+          .withColumn("user_known", h != 7).withColumn("cap", F.lit(cap).cast("long"))).checkpoint()
+    out = ordered_fold(df, "item", ["rid"], "cap", ADMISSION, partitions=16)
+    got = out.select("rid", "qty", "user_known", "state_before", "state_after", "code").toArrow().sort_by("rid")
+    state = cap
+    columns = [got.column(c).to_pylist() for c in ("qty", "user_known", "state_before", "state_after", "code")]
+    for q, known, before, after, code in zip(*columns, strict=True):
+        want = admit_one(state, (q, known))
+        assert (before, (after, code)) == (state, want)
+        state = after
+    assert got.num_rows == n and state < cap // 1000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_of_a_run_cover_what_they_say(spark, seed):
+    """Between its breakpoints a run subtracts the piece's sum; the pieces are
+    one a level, whatever the stock."""
+    rnd = random.Random(seed)
+    needs = [rnd.choice([1, 2, 3, 5, 17, 40, 1000, None, 0 if seed % 2 else 4]) for _ in range(12)]
+    df = spark.createDataFrame([([x for x in needs if x is not None], 5000)], "needs array<long>, start long")
+    pieces = df.select(_pieces(F.col("needs"), F.col("start")).alias("p")).first()["p"]
+    assert len(pieces) == 13
+    for s in range(1, 5001, 3):
+        p, after = pieces[s.bit_length() - 1], s
+        for x in needs:
+            if x is not None and after > 0 and x <= after:
+                after = after - x if x else 0
+        if p["lo"] <= s < p["hi"]:
+            assert after == s - p["t"]
+        else:
+            assert after.bit_length() < s.bit_length()
+
+
 def test_range_partitions_grow_with_counted_rows():
     assert [range_partitions(n) for n in (0, RANGE_ROWS, RANGE_ROWS + 1, 1000 * RANGE_ROWS, 10**7 * RANGE_ROWS)] == [
         1, 1, 2, 1000, 10**7]
