@@ -42,6 +42,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Stored tables of a loop: a table kept under the name of an earlier one
+    replaces it, whose folder is deleted once the new one is written. Nothing that
+    is still to be computed may read the earlier one."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        self.drop(spark, name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, spark: SparkSession, name: str) -> None:
+        if old := self.paths.pop(name, None):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns under their own names alone, so that extra columns of
     the input can clash with nothing an operator adds."""

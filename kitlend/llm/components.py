@@ -1,13 +1,14 @@
 """Connected components of a table of links by alternating large and small
 stars: every round is two sums of minima and joins, its edges are written to
-the shared folder, and no list of neighbours is ever gathered."""
+the shared folder, where they replace those of the round before, and no list of
+neighbours is ever gathered."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kitlend.llm.common import stored
+from kitlend.llm.common import Shelf
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     Ends when a round of both stars changes no edge: each component is then a
     star around its smallest node.
     """
-    edges = stored(links.where(F.col("a") != F.col("b")).select(
+    shelf = Shelf()
+    edges = shelf.keep(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
     while True:
@@ -45,6 +47,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark or not now["n"]:
             break
         mark = now
-        edges = stored(_star(_star(edges, True), False), "links")
+        edges = shelf.keep(_star(_star(edges, True), False), "links")
     inner = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return inner.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
