@@ -151,3 +151,8 @@ def lendable_items(l: Lending) -> DataFrame:
 def item_list(l: Lending) -> DataFrame:
     """Plain item list by name."""
     return l.inventory.select("id", "item_name", "stock", "active").orderBy("item_name", "id")
+
+
+def role_list(l: Lending) -> DataFrame:
+    """Roles by id."""
+    return l.roles.select("id", "name").orderBy("id")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kitlend.operators.balances import loan_age, open_loans, tx_outstanding, with_returned
+from kitlend.operators.members import resolve_members
 from kitlend.sources.fixtures import Lending
 
 
@@ -67,6 +68,16 @@ def history_loans(l: Lending, as_of: dt.date, user_id=None, date_from: dt.date |
                  F.col("id")))
 
 
+def histories_by_code(l: Lending, scans: DataFrame, as_of: dt.date) -> DataFrame:
+    """P5: the loans of the member that each scanned code names (J9), as the staff
+    history's member filter takes it. A code that names nobody gives no rows."""
+    who = (resolve_members(scans, l.users).where(F.col("user_id").isNotNull())
+           .select("scan_id", "code", F.col("user_id").alias("_member")))
+    return (history_loans(l, as_of).join(who, F.col("user_id") == F.col("_member"))
+            .select("scan_id", "code", "user_id", "id", "item_name", "qty", "returned_qty", "remaining_qty", "borrow_date",
+                    "days_overdue"))
+
+
 # Fixed pay-method labels of the visit table.
 PAY_LABELS = {"qr": "QR / transfer", "cash": "cash"}
 

@@ -15,7 +15,6 @@ only after its size is counted against a bound.
 from __future__ import annotations
 
 import datetime as dt
-import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from kitlend.operators.history import ref_of
 from kitlend.operators.balances import loan_age, open_loans
 from kitlend.operators.overdue import overdue_2_6_days, overdue_7_plus
-from kitlend.operators.ranking import global_rank
+from kitlend.operators.ranking import global_rank, running_sum
 from kitlend.sources.fixtures import Lending
 
 # Fixed notification types and rules of the reference.
@@ -53,8 +52,15 @@ def staff_roster(l: Lending) -> tuple[DataFrame, int]:
     """Staff and admin users with a rank by id, and their count.
 
     The count is the size check that allows broadcasting the roster; a roster
-    over the bound is joined with a shuffle instead.
+    over the bound is joined with a shuffle instead. It is counted and ranked once
+    for a ``Lending``, which stands for one state of the tables.
     """
+    if l.roster is None:
+        l.roster = _ranked_staff(l)
+    return l.roster
+
+
+def _ranked_staff(l: Lending) -> tuple[DataFrame, int]:
     roles = l.roles.where(F.col("name").isin(*STAFF_ROLES)).select(F.col("id").alias("_rid"))
     staff = (l.users.join(roles, F.col("role_id") == F.col("_rid"), "left_semi")
              .select(F.col("id").alias("staff_id"), F.col("email").alias("staff_email"),
@@ -101,35 +107,49 @@ def overdue_candidates(l: Lending, as_of: dt.date) -> DataFrame:
         F.lit(None).cast("string").alias("recipient_email"),
         F.lit("Loans over 7 days overdue").alias("title"),
         F.concat(F.lit("Member "), who, F.lit(" has "), item, F.lit(" x "), qty, F.lit(" out for "),
-                 days, F.lit(" days. Letter for the faculty: /reports/overdue/print?tx="),
-                 F.replace(F.url_encode(ref), F.lit("+"), F.lit("%20"))).alias("message"),
+                 days, F.lit(" days. Letter for the faculty: /reports/overdue/print?tx="), _encoded(ref)).alias("message"),
         "user_id", "item_name", "qty", "days_overdue")
     return member.unionByName(staff26).unionByName(staff7)
 
 
+def _encoded(c: Column) -> Column:
+    return F.replace(F.url_encode(c.cast("string")), F.lit("+"), F.lit("%20"))
+
+
+def _meta() -> Column:
+    """The JSON fields of a candidate's notice: a member's row leads to the
+    loan in their history; a staff row tells the loan and links the member's
+    history, over 7 days the letter too."""
+    ref, kind = F.col("ref"), F.col("kind")
+    loan = [ref.alias("ref"), ref.alias("tx_id")]
+    told = [*loan, F.col("user_id").alias("user_id"), F.col("item_name").alias("item"), F.col("qty").alias("qty"),
+            F.col("days_overdue").alias("days_overdue")]
+    letter = F.concat(F.lit("/reports/overdue/print?tx="), _encoded(ref)).alias("print_url")
+    history = F.concat(F.lit("/staff/history?member="), _encoded(F.col("user_id"))).alias("history_url")
+    return (F.when(kind == "member_2_6", F.to_json(F.struct(*loan, F.concat(F.lit("/history#tx="), ref).alias("goto"))))
+            .when(kind == "staff_2_6", F.to_json(F.struct(*told, history)))
+            .otherwise(F.to_json(F.struct(*told, letter, history))))
+
+
 def _stored_refs(l: Lending, ntype: str) -> DataFrame:
     n = l.notifications.where(F.col("type") == ntype)
     return n.select("user_id", ref_of(F.col("meta")).alias("ref"), "created_date", "created_at", "audience") \
         .where(F.col("ref").isNotNull())
 
 
-def _instants(rows: DataFrame) -> Column:
-    """The distinct created_at of audience rows, ascending, as one array. The
-    daily run writes them, so there is one a run day, however many rows."""
-    at = [str(r[0]) for r in rows.select(F.col("created_at").cast("string")).distinct().orderBy("created_at").collect()]
-    return F.from_json(F.lit(json.dumps(at)), "array<timestamp_ntz>")
+#: Stands for a missing time: before all others.
+NEVER = "0001-01-01 00:00:00"
+
+
+def _since(c: Column) -> Column:
+    return F.coalesce(c, F.lit(NEVER).cast("timestamp_ntz"))
 
 
-def _joined_by(roster: DataFrame, instants: Column) -> DataFrame:
-    """at, joined_n: how many of the staff had joined by each instant."""
-    slot = F.size(F.filter(instants, lambda t: t < F.col("joined")))
-    per = roster.select(F.when(F.col("joined").isNull(), 0).otherwise(slot).alias("slot")).groupBy("slot").agg(
-        F.count(F.lit(1)).alias("n"))
-    every = roster.sparkSession.range(1).select(F.posexplode(instants).alias("slot", "at"))
-    both = every.select("slot", "at", F.lit(0).cast("long").alias("n")).unionByName(
-        per.select("slot", F.lit(None).cast("timestamp_ntz").alias("at"), "n"))
-    upto = Window.orderBy("slot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("joined_n", F.sum("n").over(upto)).where(F.col("at").isNotNull()).select("at", "joined_n")
+def _joined_by(roster: DataFrame, instants: DataFrame) -> DataFrame:
+    """at, joined_n: how many of the staff had joined by each of the instants (at)."""
+    marks = instants.select("at", F.lit(0).alias("n"), F.lit(True).alias("mark"))
+    staff = roster.select(_since(F.col("joined")).alias("at"), F.lit(1).alias("n"), F.lit(False).alias("mark"))
+    return running_sum(marks.unionByName(staff), "at", "n", "joined_n").where("mark").select("at", "joined_n")
 
 
 def untold_staff(l: Lending, s7: DataFrame) -> DataFrame:
@@ -139,7 +159,7 @@ def untold_staff(l: Lending, s7: DataFrame) -> DataFrame:
     stored7 = _stored_refs(l, STAFF_7_PLUS)
     to_all = stored7.where(F.col("audience") == STAFF).groupBy(F.col("ref").alias("_r7")).agg(
         F.max("created_at").alias("_at7"))
-    joined = _joined_by(roster, _instants(to_all.withColumnRenamed("_at7", "created_at")))
+    joined = _joined_by(roster, to_all.select(F.col("_at7").alias("at")).where(F.col("at").isNotNull()).distinct())
     s7 = (s7.join(to_all, s7["ref"] == to_all["_r7"], "left")
           .join(joined, F.col("_at7") == F.col("at"), "left"))
     alone = stored7.join(roster.select("staff_id", "joined"), stored7["user_id"] == F.col("staff_id"))
@@ -195,10 +215,10 @@ def notification_dedupe(l: Lending, as_of: dt.date,
     s7 = c.where(F.col("kind") == "staff_7_plus")
     s7 = untold_staff(l, s7)
 
-    cols = ["kind", "ref", "type", "recipient_id", "recipients", "title", "message"]
-    out = (member.select(*cols).unionByName(s26.select(*cols)).unionByName(s7.select(*cols)))
+    def shown(rows: DataFrame) -> DataFrame:
+        return rows.select("kind", "ref", "type", "recipient_id", "recipients", "title", "message", _meta().alias("meta"))
+    out = shown(member).unionByName(shown(s26)).unionByName(shown(s7))
     return (out.withColumn("audience", F.when(F.col("kind") == "staff_7_plus", STAFF))
-            .withColumn("meta", F.to_json(F.struct(F.col("ref").alias("ref"))))
             .withColumn("created_at", ts_lit(run_ts))
             .withColumn("created_date", F.lit(as_of)))
 
@@ -318,17 +338,17 @@ def unread_badges(l: Lending) -> DataFrame:
            .agg(F.count(F.when(F.col("read_at").isNull(), 1)).alias("unread")))
     roster, _ = staff_roster(l)
     to_all = notes.where(F.col("audience") == STAFF).select("id", "created_at")
-    per = to_all.groupBy("created_at").agg(F.count(F.lit(1)).alias("n"))
-    seen = {str(r[0]): r[1] for r in per.select(F.col("created_at").cast("string"), "n").collect()}  # a row a run
-    runs = F.from_json(F.lit(json.dumps([{"at": a, "n": n} for a, n in seen.items()])),
-                       "array<struct<at:timestamp_ntz,n:bigint>>")
-    visible = F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + F.when(
-        F.col("joined").isNull() | (r["at"] >= F.col("joined")), r["n"]).otherwise(0))
+    # how many notices were sent since each joined: one running sum over both, newest first
+    marks = to_all.groupBy(_since(F.col("created_at")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    marks = marks.withColumn("staff_id", F.lit(None).cast(roster.schema["staff_id"].dataType))
+    staff = roster.select(_since(F.col("joined")).alias("at"), F.lit(0).cast("long").alias("n"), "staff_id")
+    seen = running_sum(marks.unionByName(staff), "at", "n", "unread", descending=True)
     read = (l.notification_reads.select(F.col("notification_id").alias("_nid"), F.col("user_id").alias("_nu")).distinct()
             .join(to_all, F.col("_nid") == F.col("id")).join(roster, F.col("_nu") == F.col("staff_id"))
             .where(F.col("joined").isNull() | (F.col("created_at") >= F.col("joined")))
             .groupBy(F.col("_nu").alias("user_id")).agg((-F.count(F.lit(1))).alias("unread")))
-    shared = roster.select(F.col("staff_id").alias("user_id"), visible.alias("unread")).where(F.col("unread") > 0)
+    shared = seen.where(F.col("staff_id").isNotNull() & (F.col("unread") > 0)).select(
+        F.col("staff_id").alias("user_id"), "unread")
     total = own.unionByName(shared).unionByName(read).groupBy("user_id").agg(F.sum("unread").alias("unread"))
     u = F.col("unread")
     return total.select("user_id", "unread",

@@ -125,3 +125,8 @@ def q_loan_age(spark, sf_dir):
     l = lending(spark, sf_dir)
     return l.transactions.select(F.col("id").alias("tx_id"), "user_id", "borrow_date",
                                  B.loan_age(AS_OF).alias("days"))
+
+
+@register("role_list", oracle("SELECT id, name FROM roles"))
+def q_role_list(spark, sf_dir):
+    return B.role_list(lending(spark, sf_dir))

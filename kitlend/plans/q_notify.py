@@ -45,7 +45,13 @@ _CAND = """
 _NEW = """
   SELECT c.kind, c.ref, c.type, r.recipient_id, r.recipients, c.title, c.message,
          CASE WHEN c.kind = 'staff_7_plus' THEN 'staff' END AS audience,
-         '{{"ref":"' || c.ref || '"}}' AS meta, {ts} AS created_at, {day} AS created_date
+         '{{"ref":"' || c.ref || '","tx_id":"' || c.ref || '",' ||
+         CASE WHEN c.kind = 'member_2_6' THEN '"goto":"/history#tx=' || c.ref
+              ELSE '"user_id":' || CAST(c.user_id AS VARCHAR) || ',"item":"' || c.item_name || '","qty":' || CAST(c.qty AS VARCHAR)
+                || ',"days_overdue":' || CAST(c.days_overdue AS VARCHAR)
+                || CASE WHEN c.kind = 'staff_7_plus'
+                        THEN ',"print_url":"/reports/overdue/print?tx=' || replace(url_encode(c.ref), '+', '%20') || '"' ELSE '' END
+                || ',"history_url":"/staff/history?member=' || CAST(c.user_id AS VARCHAR) END || '"}}' AS meta, {ts} AS created_at, {day} AS created_date
   FROM _cand{n} c, LATERAL (
     SELECT c.recipient_id AS recipient_id, CAST(1 AS BIGINT) AS recipients
     WHERE c.kind = 'member_2_6' AND c.ref NOT IN (SELECT ref FROM _stored{n} WHERE type = 'overdue_student')

@@ -472,6 +472,8 @@ class Lending:
         if missing:
             raise ValueError(f"missing tables: {sorted(missing)}")
         self._tables = dict(tables)
+        #: The ranked staff roster and its count, once a job has built it.
+        self.roster: tuple[DataFrame, int] | None = None
         self._tables.setdefault("open_transactions", lambda: self.transactions.where(
             F.col("return_date").isNull()))
 

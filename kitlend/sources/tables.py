@@ -74,12 +74,7 @@ def read_lending(spark: SparkSession, path: str) -> Lending:
     return Lending(**tables)
 
 
-def append_with_ids(rows: DataFrame, path: str, id_col: str = "id",
-                    partition_by: list[str] | None = None) -> None:
-    """S3: append rows, generating a UUID id where it is missing (at the sink
-    only; ids never appear in a compared query)."""
-    out = rows.withColumn(id_col, F.coalesce(F.col(id_col).cast("string"), F.expr("uuid()")))
-    w = out.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def append_with_ids(rows: DataFrame, path: str, name: str) -> None:
+    """S3: append rows to a stored table, generating a UUID id where it is missing
+    (at the sink only; ids never appear in a compared query)."""
+    write_table(rows.withColumn("id", F.coalesce(F.col("id").cast("string"), F.expr("uuid()"))), path, name, mode="append")

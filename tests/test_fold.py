@@ -184,3 +184,14 @@ def test_pieces_of_a_run_cover_what_they_say(spark, seed):
 def test_range_partitions_grow_with_counted_rows():
     assert [range_partitions(n) for n in (0, RANGE_ROWS, RANGE_ROWS + 1, 1000 * RANGE_ROWS, 10**7 * RANGE_ROWS)] == [
         1, 1, 2, 1000, 10**7]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sum_matches_sorted_order(spark, descending):
+    from kitlend.operators.ranking import running_sum
+    rnd = random.Random(13)
+    data = [(rnd.randint(0, 60), rnd.randint(0, 9)) for _ in range(400)]
+    got = running_sum(spark.createDataFrame(data, "k long, v long"), "k", "v", "s", descending=descending).collect()
+    upto = (lambda a, b: a >= b) if descending else (lambda a, b: a <= b)
+    assert {(r["k"], r["s"]) for r in got} == {(k, sum(v for j, v in data if upto(j, k))) for k, _ in data}
+    assert len(got) == len(data)

@@ -35,6 +35,8 @@ def test_daily_run_twice_adds_nothing_but_mails_again(spark):
     first = run_daily(spark, out, fx.AS_OF)
     assert first["notices"] > 0
     second = run_daily(spark, out, fx.AS_OF)
+    runs = spark.read.parquet(f"{out}/runs").collect()
+    assert sorted(r["notices"] for r in runs) == sorted([first["notices"], second["notices"]])
     assert second == {"notices": 0, "mails": first["mails"]}
     box = spark.read.parquet(f"{out}/outbox")
     assert box.count() == first["mails"] and {r[0] for r in box.select("run_date").distinct().collect()} == {fx.AS_OF}
@@ -91,3 +93,23 @@ def test_uuid_ranges_cover_every_key_once():
     for n in (1, 7, 64, 256):
         parts = uuid_ranges("id", n)
         assert len(parts) == n and parts[-1].startswith("id >=") and sum("<" in p for p in parts) == n - 1
+
+
+def test_append_gives_ids_where_missing(spark, tmp_path):
+    from helpers import note
+    from kitlend import schema as S
+    from kitlend.sources.tables import append_with_ids, read_table
+    rows = [note("kept", 1, "a", "r"), (None, *note("x", 2, "b", "q")[1:]), (None, *note("x", 2, "b", "q")[1:])]
+    df = spark.createDataFrame(rows, S.STORED["notifications"].simpleString().replace("struct<", "").rstrip(">").replace(":", " "))
+    out = f"file:{tmp_path}"
+    append_with_ids(df.limit(1), out, "notifications")
+    append_with_ids(df, out, "notifications")
+    got = read_table(spark, out, "notifications").collect()
+    ids = [r["id"] for r in got]
+    assert len(got) == 4 and ids.count("kept") == 2 and None not in ids and len(set(ids)) == 3
+
+
+def test_notices_use_no_driver_lists():
+    import inspect
+    from kitlend.operators import notify
+    assert ".collect(" not in inspect.getsource(notify)
