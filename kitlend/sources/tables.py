@@ -36,12 +36,23 @@ def as_stored(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.STORED[name].fields])
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """Adds the layout's own columns."""
+    if name != "transactions":
+        return df
+    return (df.withColumn("loan_state", F.when(F.col("return_date").isNull(), "open").otherwise("closed"))
+            .withColumn("borrow_month", F.date_format("borrow_date", "yyyy-MM")))
+
+
+def stored_schema(name: str) -> T.StructType:
+    """The declared columns and the layout's, all nullable."""
+    fields = [*S.STORED[name].fields, *(_LAYOUT[name].fields if name in _LAYOUT else [])]
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+
 def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
-    df = as_stored(df, name)
+    df = placed(as_stored(df, name), name)
     parts = PARTITIONS.get(name, [])
-    if name == "transactions":
-        df = (df.withColumn("loan_state", F.when(F.col("return_date").isNull(), "open").otherwise("closed"))
-              .withColumn("borrow_month", F.date_format("borrow_date", "yyyy-MM")))
     if not parts:
         df.write.mode(mode).parquet(f"{path}/{name}")
         return
@@ -54,9 +65,7 @@ def write_lending(l: Lending, path: str, mode: str = "overwrite") -> None:
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    fields = [*S.STORED[name].fields, *(_LAYOUT[name].fields if name in _LAYOUT else [])]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    return spark.read.schema(schema).parquet(f"{path}/{name}")
+    return spark.read.schema(stored_schema(name)).parquet(f"{path}/{name}")
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
