@@ -16,11 +16,12 @@ vectors and ``QUERY_ROWS`` queries. Cells give each query's best k of their
 shard; the last top k keeps the partial order on both sides of its shuffle.
 
 Sums are exact: float64 products of whole numbers while the sums stay below
-2**53, else 64-bit integers. Vectors that are null, or hold null or non-finite
+2**53, else 64-bit integers, or Python's where those could overflow; a score of the
+result beyond 64 bits is an error. Vectors that are null, or hold null or non-finite
 components, take no part; missing trailing components count as zero. Equal
-scores rank the smaller vec_id first; rows with a repeated vec_id are separate
-candidates, none of which meets a query of the same id. An empty table gives
-no rows.
+scores rank the smaller vec_id first. A row is told by its place in the order, not
+by its id: rows with a repeated vec_id are queries and candidates of their own, and
+a query meets every row but itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ def quantised(vectors: DataFrame) -> DataFrame:
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return (own_columns(vectors, "vec_id", "embedding")
             .where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
-            .select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * SCALE)).alias("q")))
+            .select("vec_id", F.transform(x, lambda v: F.when(
+                F.abs(v.cast("double")) * SCALE < 2 ** 62, F.floor(v.cast("double") * SCALE)).otherwise(
+                F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))).alias("q")))
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -59,37 +62,42 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return m
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> bool:
-    top = max((int(np.abs(x).max()) for x in (a, b) if x.size), default=0)
-    return top * top * max(a.shape[1], 1) < 2 ** 53
+def _kind(a: np.ndarray, b: np.ndarray) -> type:
+    """The number type in which inner products of rows of a and b are exact."""
+    top = [max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0 for x in (a, b)]
+    most = top[0] * top[1] * max(a.shape[1], 1)
+    return np.float64 if most < 2 ** 53 else np.int64 if most < 2 ** 63 else object
 
 
 def search_cell(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray,
-                k: int = K, block_rows: int = BLOCK_ROWS) -> tuple[list[np.ndarray], int]:
+                k: int = K, block_rows: int = BLOCK_ROWS, places: np.ndarray | None = None,
+                qplaces: np.ndarray | None = None) -> tuple[list[np.ndarray], int]:
     """Best k of ``rows`` for each query as arrays (query_id, vec_id, score), and
-    the number of (query, block) pairs scored."""
+    the number of (query, block) pairs scored. A query leaves out the row of its
+    own place (by default, of its id)."""
+    places, qplaces = (ids if places is None else places), (qids if qplaces is None else qplaces)
     width = max(rows.shape[1], queries.shape[1])
     rows = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-    kind = np.float64 if _exact(rows, queries) else np.int64
+    kind = _kind(rows, queries)
     order = np.argsort(ids, kind="stable")
-    ids, rows, queries = ids[order], rows[order].astype(kind), queries.astype(kind)
+    ids, places, rows, queries = ids[order], places[order], rows[order].astype(kind), queries.astype(kind)
     cut = range(0, len(ids), block_rows)
-    blocks = [(ids[a:a + block_rows], np.ascontiguousarray(rows[a:a + block_rows].T)) for a in cut]
-    high = np.array([b.max(1) for _, b in blocks]).T
-    low = np.array([b.min(1) for _, b in blocks]).T
+    blocks = [(ids[a:a + block_rows], places[a:a + block_rows], np.ascontiguousarray(rows[a:a + block_rows].T)) for a in cut]
+    high = np.array([b.max(1) for _, _, b in blocks]).T
+    low = np.array([b.min(1) for _, _, b in blocks]).T
     bounds = np.maximum(queries, 0) @ high + np.minimum(queries, 0) @ low
     out, scored = [], 0
-    for i, qid in enumerate(qids):
+    for i, (qid, own) in enumerate(zip(qids, qplaces, strict=True)):
         best = np.empty((0, 2), np.int64)
         kth = None
         for b in np.argsort(-bounds[i], kind="stable"):
             if kth is not None and bounds[i, b] < kth:
                 break
             scored += 1
-            bid, forward = blocks[b]
+            bid, place, forward = blocks[b]
             s = queries[i] @ forward
-            near = bid != qid if kth is None else (s >= kth) & (bid != qid)
+            near = place != own if kth is None else (s >= kth) & (place != own)
             if not near.any():
                 continue
             best = np.concatenate([best, np.stack([bid[near], s[near].astype(np.int64)], 1)])
@@ -101,17 +109,19 @@ def search_cell(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np
 
 
 def _cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    names = ["query_id", "vec_id", "score"]
+    names = ["query_row", "query_id", "vec_id", "score"]
     if left.empty or right.empty:
         return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
-    out, _ = search_cell(left["vec_id"].to_numpy(np.int64), _matrix(left["q"]),
-                         right["vec_id"].to_numpy(np.int64), _matrix(right["q"]), k)
-    return pd.DataFrame(np.concatenate(out), columns=names)
+    at = right["row"].to_numpy(np.int64)
+    out, _ = search_cell(left["vec_id"].to_numpy(np.int64), _matrix(left["q"]), right["vec_id"].to_numpy(np.int64),
+                         _matrix(right["q"]), k, places=left["row"].to_numpy(np.int64), qplaces=at)
+    row = np.repeat(at, [len(x) for x in out])
+    return pd.DataFrame(np.column_stack([row, np.concatenate(out)]), columns=names)
 
 
 def _sharded(q: DataFrame, shard_rows: int) -> DataFrame:
-    """Adds ``shard``: the row's rank by vec_id // shard_rows. Ranks are counted
-    in the partitions of a range shuffle, each at its running offset."""
+    """Adds ``row``, the row's place by vec_id, and ``shard``: place // shard_rows.
+    Places are counted in the partitions of a range shuffle, each at its running offset."""
     parted = stored(q.repartitionByRange("vec_id", F.xxhash64("q"))
                     .withColumn("part", F.spark_partition_id()), "topk-ranges")
     counts = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +129,8 @@ def _sharded(q: DataFrame, shard_rows: int) -> DataFrame:
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("part").orderBy("vec_id"))
     return (parted.join(counts.select("part", before.alias("off")), "part")
-            .select("vec_id", "q", F.floor((F.col("off") + inside - 1) / shard_rows).cast("int").alias("shard")))
+            .withColumn("row", F.col("off") + inside - 1)
+            .select("vec_id", "q", "row", F.floor(F.col("row") / shard_rows).cast("int").alias("shard")))
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, shard_rows: int = SHARD_ROWS,
@@ -130,11 +141,12 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, shard_rows:
     is_query = F.col("vec_id") % every == 0
     sums = q.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("nq")).first()
     shards, groups = -(-int(sums["n"]) // shard_rows) or 1, -(-int(sums["nq"]) // query_rows) or 1
-    left = _sharded(q, shard_rows).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = (q.where(is_query).withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    placed = stored(_sharded(q, shard_rows), "topk-places")
+    left = placed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = (placed.where(is_query).drop("shard").withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
     cells = left.groupBy("shard", "grp").cogroup(right.groupBy("shard", "grp")).applyInPandas(
-        lambda a, b: _cell(a, b, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        lambda a, b: _cell(a, b, k), "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return (cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

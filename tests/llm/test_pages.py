@@ -133,6 +133,21 @@ def test_html_details(spark):
     assert html_text.extracted(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_turns_that_tie_come_in_text_order(spark, parts):
+    rows = [(1, 5, "user", f"{i:02}") for i in range(40)][::-1] + [(1, 5, "user", "17")] * 30
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    texts = [r.fragment.strip().split("\n")[1 if r.action != "merge" else 0].strip() for r in sorted(got, key=lambda r: r.position)]
+    assert texts == sorted(r[3] for r in rows)
+
+
 # --- top-k ---------------------------------------------------------------------
 
 def brute_top(vectors, k, every):
@@ -148,6 +163,20 @@ def brute_top(vectors, k, every):
     return out
 
 
+def test_repeated_ids_and_large_components(spark):
+    rows = [(20, [1.0]), (20, [-1.0]), (1, [2.0]), (2, [-2.0]), (3, [3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 2).collect()
+    one, two = 64 * 64, 2 * 64 * 64
+    assert Counter((r["rank"], r.vec_id, r.score) for r in got) == Counter(
+        [(1, 3, 3 * one), (2, 1, two), (1, 2, two), (2, 20, -one)])
+    large = [(20, [1e9, 1.0]), (1, [0.5, 0.0]), (2, [-1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(large, "vec_id long, embedding array<float>"), 2).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (1, 64 * 10**9 * 32), (2, -64 * 64 * 10**9 + 64 * 64)]
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big"):
+        topk.top_k(spark.createDataFrame([(20, [1e9]), (1, [1e9])], "vec_id long, embedding array<float>"), 2).collect()
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)]
