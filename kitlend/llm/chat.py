@@ -21,7 +21,8 @@ any length is worked in pieces of at most ``PIECE_TURNS`` turns:
 One row a given turn comes back, so no conversation is ever one value: its
 ``fragment`` fields in ``position`` order, joined, are the rendered text.
 
-Order: turn (null first), then role, then text. Roles are trimmed and made
+Order: turn (null first), then role, then the text's first 64 characters, then a hash
+of the text; on any number of partitions. Roles are trimmed and made
 small, with common other names; any other role, or null, is unknown and is cheap
 to label. Null text is empty. Rows with a null conv_id are one conversation.
 Repeated rows are turns of their own. An empty table gives no rows.
@@ -158,9 +159,10 @@ def format_chats(turns: DataFrame, piece_turns: int = PIECE_TURNS) -> DataFrame:
     fragment: one row a given turn."""
     prepare(turns.sparkSession)
     own = own_columns(turns, "conv_id", "turn", "role", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    order = ["conv_id", "turn", "role", F.xxhash64("text")]
-    rows = stored(own.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "chat-turns")
-    inside = Window.partitionBy("part", "conv_id").orderBy("turn", "role", "text")
+    own = own.withColumn("copy", F.monotonically_increasing_id())  # equal rows needn't meet in one partition
+    order = ["turn", "role", F.substring("text", 1, 64), F.xxhash64("text"), "copy"]
+    rows = stored(own.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id()), "chat-turns")
+    inside = Window.partitionBy("part", "conv_id").orderBy(*order)
     rows = stored(rows.withColumn("rn", F.row_number().over(inside) - 1).withColumn("code", role_code(F.col("role")))
                   .withColumn("blk", F.floor(F.col("rn") / piece_turns).cast("int")), "chat-rows")
     by_rank = F.array_sort(F.collect_list(F.struct("rn", "code")))
