@@ -119,6 +119,88 @@ def test_deduced_template_without_article_elements(spark):
     assert got == want
 
 
+def three_hosts():
+    """Pages of a host with article elements, one with containers alone, one whose
+    frame some pages lack; and the texts wanted."""
+    rnd = random.Random(4)
+    words = lambda n: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(9):
+        one, two, other = words(40), words(30), words(25)
+        rows.append((i, "https://a.example/x", f"<body><div class=top>A</div><article><h1>T{i}</h1><div class=intro><p>{one}</div>"
+                     f"<div class=rest><p>{two}</div><nav>n</nav></article><div class=low>{other}</div></body>"))
+        want[i] = f"T{i} {one} {two}"
+        rows.append((100 + i, "https://b.example/x", f"<body><div class=top>Our site</div><div class=text><h1>T{i}</h1>"
+                     f"<p>{one}<p>{two}</div><div class=low>{words(8)}</div></body>"))
+        want[100 + i] = f"T{i} {one} {two}"
+        frame = "text" if i % 4 else "odd"
+        rows.append((200 + i, "https://c.example/x", f"<body><div class=top>Our site</div><div class={frame}><p>{one}</div></body>"))
+        want[200 + i] = one
+    return rows, want
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_three_hosts(spark):
+    rows, want = three_hosts()
+    assert {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, PAGES)).collect()} == want
+
+
+def test_an_article_of_equal_pages_is_kept(spark):
+    rows = [(i, "https://a.example/", f"<body><{tag}><p>Same words</{tag}></body>") for i in range(5) for tag in ("article", "div")]
+    got = Counter(r.text for r in html_text.extracted(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == {"Same words": 10}
+
+
+def test_templates_equal_brute_force(spark):
+    """Slot and fixed wording against occurrence vectors that are held in full."""
+    rows, _ = three_hosts()
+    hosts = defaultdict(list)
+    for i, url, text in rows:
+        hosts[url.split("/")[2]].append((str(i), html_text.Page(text)))
+    df = spark.createDataFrame([(h, i, rows[k][2]) for k, (i, h) in enumerate(
+        (str(r[0]), r[1].split("/")[2]) for r in rows)], "host string, page_id string, html string").repartition(5)
+    got = {r.host: r for r in html_text.templates(df).collect()}
+    for host, pages in hosts.items():
+        vectors, about, mass, whole = defaultdict(dict), {}, Counter(), 0
+        for i, p in pages:
+            weight = p.mass()
+            whole += weight[0]
+            for t in range(1, len(p.key)):
+                vectors[p.key[t]][i] = p.times[t]
+                about[p.key[t]] = (p.kind[t], p.depth[t])
+                mass[p.key[t]] += weight[t]
+            for (t, said), n in Counter((t, said) for t, said, _ in p.blocks).items():
+                vectors[p.text_key(t, said)][i] = n
+                about[p.text_key(t, said)] = (html_text.TEXT, p.depth[t] + 1)
+        classes = Counter(tuple(sorted(v.items())) for v in vectors.values())
+        valid = [k for k, v in vectors.items() if classes[tuple(sorted(v.items()))] > 1
+                 and len(v) >= max(html_text.MIN_PAGES, html_text.MIN_SHARE * len(pages))]
+        frames = [(about[k][1], mass[k], k) for k in valid if mass[k] >= html_text.MAIN_SHARE * whole
+                  and (about[k][0] == html_text.ARTICLE
+                       or about[k][0] == html_text.CONTAINER and set(vectors[k].values()) == {1})]
+        assert got[host].slot == max(frames)[2]
+        assert sorted(got[host].fixed) == sorted(k for k in valid if about[k][0] == html_text.TEXT)
+
+
+@pytest.mark.parametrize("text", [
+    "<div>" * 100_000 + "x", "<p>a" + "<svg>" * 100_000 + "x", "<div>" * 50_000 + "</b></foo>" * 50_000 + "x", "<a \"'<a '\"" * 50_000,
+    "<div " + "a-" * 100_000 + " =>x", "<!--" * 100_000, "</" * 100_000, "<" * 200_000,
+    "".join(f"<div class=c{i}>t{i}" for i in range(50_000))], ids=lambda t: t[:9])
+def test_deep_and_broken_markup_takes_linear_time(text):
+    import time
+    import tracemalloc
+    start = time.process_time()
+    html_text.main_text(html_text.Page(text), None, None, set())
+    assert time.process_time() - start < 5
+    short = text[:len(text) // 50]
+    tracemalloc.start()
+    html_text.Page(short).mass()
+    assert tracemalloc.get_traced_memory()[1] < 1000 * len(short) + 1_000_000
+    tracemalloc.stop()
+
+
 def test_html_details(spark):
     rows = [page(1, "<article><header><h1>A &amp; B</h1></header><p>x<b>y</b>z &#233;&nbsp;q<br>r</p><span class='ad'>buy</span>"
                     "<aside>no</aside><!-- c > --><div hidden>no</div>tail<div class='comments'><p>no</p></div></article><footer>f</footer>"),
