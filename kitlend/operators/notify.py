@@ -309,25 +309,40 @@ def notification_feed(l: Lending, n: int = 20, staff_only: bool = False,
         notes = notes.where(F.col("created_at") >= ts_lit(since - dt.timedelta(seconds=POLL_OVERLAP_SECONDS)))
     if staff_only:
         notes = notes.where(F.col("type").isin(*STAFF_ALLOWED_TYPES))
-    roster, _ = staff_roster(l)
-    viewers = roster.select("staff_id", "joined")
+    viewers = staff_roster(l)[0].select("staff_id", "joined")
     own = notes.where(F.col("audience").isNull() & F.col("user_id").isNotNull())
     if staff_only:
         own = own.join(viewers, own["user_id"] == F.col("staff_id"), "left_semi")
-    cols = ["user_id", "id", "type", "title", "message", "meta", "created_at", "read_at"]
-    newest = (notes.where(F.col("audience") == STAFF).orderBy(F.col("created_at").desc_nulls_first(), "id").limit(n))
+    return feed_of(viewers, own, newest_shared(notes, n), l.notification_reads, n)
+
+
+FEED_COLUMNS = ["user_id", "id", "type", "title", "message", "meta", "created_at", "read_at"]
+
+
+def newest_shared(notes: DataFrame, n: int) -> DataFrame:
+    """The newest n notices to the staff audience."""
+    return notes.where(F.col("audience") == STAFF).orderBy(F.col("created_at").desc_nulls_first(), "id").limit(n)
+
+
+def newest_first():
+    """A viewer's notifications in feed order."""
+    return Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_first(), F.col("id"))
+
+
+def feed_of(viewers: DataFrame, own: DataFrame, newest: DataFrame, reads: DataFrame, n: int) -> DataFrame:
+    """The newest n of each viewer's own rows and, for staff (``staff_id``, ``joined``),
+    of the newest audience notices (at most FEED_MAX)."""
     member_of = viewers.withColumn("_of", F.when(F.col("staff_id").isNotNull(), F.lit(STAFF)))
     shared = member_of.join(F.broadcast(newest), F.col("_of") == F.col("audience")).where(
         F.col("joined").isNull() | F.col("created_at").isNull() | (F.col("joined") <= F.col("created_at")))
-    reads = l.notification_reads.select(F.col("notification_id").alias("_nid"), F.col("user_id").alias("_nu"),
-                                        F.col("read_at").alias("_read")).distinct()
+    reads = reads.select(F.col("notification_id").alias("_nid"), F.col("user_id").alias("_nu"),
+                         F.col("read_at").alias("_read")).distinct()
     shared = (shared.drop("user_id", "read_at", "_of", "audience").join(
         reads, (F.col("id") == F.col("_nid")) & (F.col("staff_id") == F.col("_nu")), "left")
         .withColumnsRenamed({"staff_id": "user_id", "_read": "read_at"}))
-    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_first(), F.col("id"))
-    return (own.select(*cols).unionByName(shared.select(*cols))
-            .withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
-            .select("user_id", "pos", "id", "type", "title", "message", "meta", "created_at", "read_at"))
+    return (own.select(*FEED_COLUMNS).unionByName(shared.select(*FEED_COLUMNS))
+            .withColumn("pos", F.row_number().over(newest_first())).where(F.col("pos") <= n)
+            .select("user_id", "pos", *FEED_COLUMNS[1:]))
 
 
 def unread_badges(l: Lending) -> DataFrame:
@@ -336,20 +351,39 @@ def unread_badges(l: Lending) -> DataFrame:
     notes = l.notifications
     own = (notes.where(F.col("audience").isNull() & F.col("user_id").isNotNull()).groupBy("user_id")
            .agg(F.count(F.when(F.col("read_at").isNull(), 1)).alias("unread")))
-    roster, _ = staff_roster(l)
-    to_all = notes.where(F.col("audience") == STAFF).select("id", "created_at")
+    read = seen_audience(l, l.notification_reads).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return badges_of(staff_roster(l)[0], own, audience_marks(notes), read)
+
+
+def audience_marks(notes: DataFrame) -> DataFrame:
+    """at, n: how many notices went to the staff audience at each instant."""
+    return (notes.where(F.col("audience") == STAFF).groupBy(_since(F.col("created_at")).alias("at"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def seen_audience(l: Lending, reads: DataFrame) -> DataFrame:
+    """notification_id, user_id of the reads of audience notices that the staff
+    member can see, once each."""
+    to_all = l.notifications.where(F.col("audience") == STAFF).select("id", "created_at")
+    return (reads.select("notification_id", "user_id").distinct()
+            .join(to_all, F.col("notification_id") == F.col("id"))
+            .join(staff_roster(l)[0], F.col("user_id") == F.col("staff_id"))
+            .where(F.col("joined").isNull() | (F.col("created_at") >= F.col("joined"))).select("notification_id", "user_id"))
+
+
+def badges_of(roster: DataFrame, own: DataFrame, marks: DataFrame, read: DataFrame) -> DataFrame:
+    """The badges of own unread rows (user_id, unread), the audience notices by instant
+    (at, n) and those that each staff member has read (user_id, n)."""
     # how many notices were sent since each joined: one running sum over both, newest first
-    marks = to_all.groupBy(_since(F.col("created_at")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    marks = marks.withColumn("staff_id", F.lit(None).cast(roster.schema["staff_id"].dataType))
+    marks = marks.select("at", "n").withColumn("staff_id", F.lit(None).cast(roster.schema["staff_id"].dataType))
     staff = roster.select(_since(F.col("joined")).alias("at"), F.lit(0).cast("long").alias("n"), "staff_id")
     seen = running_sum(marks.unionByName(staff), "at", "n", "unread", descending=True)
-    read = (l.notification_reads.select(F.col("notification_id").alias("_nid"), F.col("user_id").alias("_nu")).distinct()
-            .join(to_all, F.col("_nid") == F.col("id")).join(roster, F.col("_nu") == F.col("staff_id"))
-            .where(F.col("joined").isNull() | (F.col("created_at") >= F.col("joined")))
-            .groupBy(F.col("_nu").alias("user_id")).agg((-F.count(F.lit(1))).alias("unread")))
     shared = seen.where(F.col("staff_id").isNotNull() & (F.col("unread") > 0)).select(
         F.col("staff_id").alias("user_id"), "unread")
-    total = own.unionByName(shared).unionByName(read).groupBy("user_id").agg(F.sum("unread").alias("unread"))
+    members = roster.select(F.col("staff_id").alias("_s"))
+    less = read.join(members, F.col("user_id") == F.col("_s"), "left_semi").select("user_id", (-F.col("n")).alias("unread"))
+    total = (own.select("user_id", "unread").unionByName(shared).unionByName(less)
+             .groupBy("user_id").agg(F.sum("unread").alias("unread")))
     u = F.col("unread")
     return total.select("user_id", "unread",
                         F.when(u > 99, "99+").when(u > 0, u.cast("string")).alias("badge"))

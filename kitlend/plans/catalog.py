@@ -37,4 +37,4 @@ def load_all() -> None:
 
 
 _MODULES = ["q_balances", "q_history", "q_members", "q_notify", "q_jobs", "q_changes", "q_audit", "q_snapshots",
-            "q_streaming"]
+            "q_streaming", "q_kept"]
