@@ -11,13 +11,14 @@ _BASE32 = " || ".join(
     for g in range(8) for s in (15, 10, 5, 0))
 
 WARC = f"""
-WITH d AS (SELECT page_id, p, {_BASE32} AS digest
-           FROM (SELECT page_id, coalesce(html, '') AS p FROM pages)),
-best AS (SELECT digest AS of, max(page_id) AS top FROM d GROUP BY digest)
+WITH d AS (SELECT page_id, url, p, {_BASE32} AS digest
+           FROM (SELECT page_id, url, coalesce(html, '') AS p FROM pages)),
+placed AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top,
+                  row_number() OVER (PARTITION BY digest ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS place FROM d)
 SELECT page_id, strlen(p)::BIGINT AS payload_bytes, digest AS payload_digest,
-       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
-FROM d JOIN best ON digest = of
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN top END AS refers_to
+FROM placed
 """
 
 TOP_K = """

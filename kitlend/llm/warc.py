@@ -1,11 +1,17 @@
 """WARC archives with revisit records (operator 10).
 
 Pages whose payloads are equal are stored once. The headers (page, URL, payload
-digest, length) are shuffled by digest, without payloads; of the records that
-share a digest, and whose payload has at least ``min_bytes``, the one with the
-largest page_id keeps the payload as a ``response``, the others become
-``revisit`` records that refer to it, with headers of their own and no block.
-Smaller payloads are all responses.
+digest, length) are shuffled by digest, without payloads, equal ones counted first;
+of the records that share a digest, and whose payload has at least ``min_bytes``, the
+one with the largest page_id (of these the largest URL, of equal rows the first)
+keeps the payload as a ``response``, the others become ``revisit`` records that refer
+to it, with headers of their own and no block. Smaller payloads are all responses.
+
+Payloads travel apart from the headers: one a digest, chosen before their shuffle, so
+a payload of a third of all pages is sent once a task that reads it. Headers and
+responses are tables of their own before they meet, so that Spark's join can split a
+digest with very many headers. Record ids name the page, a hash of URL and digest, and
+the number among equal rows, so no two records share one.
 
 Archives are written by Spark's text sink: one row a record, the record
 separator (two CRLF) as line separator, gzip a file. The sink commits whole
@@ -14,9 +20,8 @@ files into the shared folder, so a lost executor's half file is never seen.
 that the headers state, checks the digest of every response, and
 ``resolve_revisits`` joins the revisits to their responses by digest.
 
-Null html is an empty payload. Null page_ids sort before all others. A row that
-repeats its response's page_id and payload is written as a response again.
-Null URLs give records without
+Null html is an empty payload. Null page_ids and URLs sort before all others. A row
+that repeats its response is a revisit of it. Null URLs give records without
 WARC-Target-URI. Line breaks in a URL are percent-encoded. An empty table
 gives no archive records.
 """
@@ -54,17 +59,39 @@ def base32(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def payload_headers(pages: DataFrame) -> DataFrame:
-    """Adds payload, digest (SHA-1 in hex) and payload_bytes to (page_id, url, html)."""
+def payloads(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """page_id, url, payload, digest (SHA-1 in hex), payload_bytes, and ``small``, the
+    payload itself below ``min_bytes``."""
     payload = F.coalesce(F.col("html"), F.lit(""))
+    size = F.octet_length(payload).cast("long")
     return own_columns(pages, "page_id", "url", "html").select(
-        "page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"))
+        "page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"), size.alias("payload_bytes"),
+        F.when(size < min_bytes, payload).alias("small"))
 
 
-def choose_responses(headers: DataFrame) -> DataFrame:
-    """digest, response_id: the largest page_id of each payload."""
-    return headers.groupBy("digest").agg(F.max("page_id").alias("response_id"))
+HEADER = ["digest", "payload_bytes", "page_id", "url", "small"]
+
+
+def typed_headers(rows: DataFrame) -> DataFrame:
+    """A row a record: the header columns, copy (its number among equal rows, from 1),
+    record_type, record_id, and refers_id of revisits."""
+    counted = stored(rows.select(*HEADER).groupBy(*HEADER).agg(F.count(F.lit(1)).alias("n")), "warc-headers-counted")
+    best = stored(counted.groupBy(F.col("digest").alias("of"))
+                  .agg(F.max(F.struct("page_id", "url")).alias("best")), "warc-responses")
+    own, chosen = F.struct("page_id", "url"), F.col("best")
+    records = (counted.join(best, F.col("digest") == F.col("of"))
+               .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))))
+    kept = F.col("small").isNotNull() | own.eqNullSafe(chosen) & (F.col("copy") == 1)
+    return records.select(
+        *HEADER, "copy", F.when(kept, "response").otherwise("revisit").alias("record_type"),
+        record_id(F.col("page_id"), F.col("url"), F.col("copy")).alias("record_id"),
+        F.when(~kept, record_id(F.col("best.page_id"), F.col("best.url"), F.lit(1))).alias("refers_id"))
+
+
+def record_id(page_id: Column, url: Column, copy: Column) -> Column:
+    """``<page>:<hash of URL and digest>.<copy>``."""
+    tag = F.substring(F.sha1(F.concat(F.col("digest"), F.coalesce(F.concat(F.lit(" "), url), F.lit("")))), 1, 16)
+    return F.concat(F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), tag, F.lit("."), copy.cast("string"))
 
 
 def record_text(row: dict[str, Column]) -> Column:
@@ -77,34 +104,30 @@ def record_text(row: dict[str, Column]) -> Column:
     return F.concat(
         F.lit(VERSION + "\r\n"),
         line("WARC-Type", row["record_type"]),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), row["key"], F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), row["record_id"], F.lit(">"))),
         line("WARC-Date", F.lit(CRAWLED)),
         line("WARC-Target-URI", F.regexp_replace(F.regexp_replace(row["url"], "\r", "%0D"), "\n", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(row["digest"]))),
         F.when(revisit, F.concat(
-            line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), row["refers_to"], F.lit(">"))),
+            line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), row["refers_id"], F.lit(">"))),
             line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Write deduplicated ``.txt.gz`` WARC files under ``path``.
-
-    The payload travels once, in the join that tells its record type; the
-    choice of responses moves only digests and ids.
-    """
+    """Write deduplicated ``.txt.gz`` WARC files under ``path``."""
     prepare(pages.sparkSession)
-    rows = payload_headers(pages)
-    best = choose_responses(rows.select("digest", "page_id")).withColumnRenamed("digest", "of")
-    typed = rows.join(best, F.col("digest") == F.col("of"))
-    null_safe = F.col("page_id").eqNullSafe(F.col("response_id"))
-    kept = null_safe | (F.col("payload_bytes") < min_bytes)
-    typed = typed.withColumn("record_type", F.when(kept, "response").otherwise("revisit"))
-    cols = {c: F.col(c) for c in ("record_type", "url", "digest", "payload")}
-    cols["key"] = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    cols["refers_to"] = F.coalesce(F.col("response_id").cast("string"), F.lit("null"))
-    (typed.select(record_text(cols).alias("value")).write.option("lineSep", SEPARATOR)
+    rows = payloads(pages, min_bytes)
+    records = stored(typed_headers(rows), "warc-typed")
+    texts = (rows.where(F.col("small").isNull()).groupBy(F.col("digest").alias("of"))
+             .agg(F.first("payload").alias("payload")))
+    first = records.where((F.col("record_type") == "response") & F.col("small").isNull())
+    others = records.where((F.col("record_type") == "revisit") | F.col("small").isNotNull())
+    whole = (first.join(texts, F.col("digest") == F.col("of")).drop("of")
+             .unionByName(others.withColumn("payload", F.col("small"))))
+    cols = {c: F.col(c) for c in ("record_type", "url", "digest", "payload", "record_id", "refers_id")}
+    (whole.select(record_text(cols).alias("value")).write.option("lineSep", SEPARATOR)
      .option("compression", "gzip").text(path))
 
 
@@ -142,7 +165,7 @@ def _records(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-READ_SCHEMA = ("record_key string, url string, record_type string, digest string, refers_key string, "
+READ_SCHEMA = ("record_id string, record_key string, url string, record_type string, digest string, refers_key string, "
                "payload binary, payload_bytes long")
 
 
@@ -152,10 +175,11 @@ def _parse(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa
             for v in batch.column(0):
                 yield v.as_py()
     strip = lambda v: None if v is None else v.removeprefix("<urn:page:").removesuffix(">")
+    page = lambda v: None if v is None else strip(v).rpartition(":")[0]
     rows: list[tuple] = []
     held = 0
-    types = [pa.string()] * 5 + [pa.binary(), pa.int64()]
-    names = ["record_key", "url", "record_type", "digest", "refers_key", "payload", "payload_bytes"]
+    types = [pa.string()] * 6 + [pa.binary(), pa.int64()]
+    names = ["record_id", "record_key", "url", "record_type", "digest", "refers_key", "payload", "payload_bytes"]
 
     def out() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
@@ -165,8 +189,8 @@ def _parse(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa
         digest, kind = f["warc-payload-digest"].removeprefix("sha1:"), f["warc-type"]
         if kind == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
             raise ValueError(f"record {f['warc-record-id']} does not match its digest")
-        rows.append((strip(f["warc-record-id"]), f.get("warc-target-uri"), kind, digest,
-                     strip(f.get("warc-refers-to")), block if with_payload else None,
+        rows.append((strip(f["warc-record-id"]), page(f["warc-record-id"]), f.get("warc-target-uri"), kind, digest,
+                     page(f.get("warc-refers-to")), block if with_payload else None,
                      len(block) if kind == "response" else None))
         held += len(block) if with_payload else 0
         if len(rows) >= 5000 or held >= 8 << 20:

@@ -312,10 +312,27 @@ def test_archives_round_trip(spark):
 
 
 def test_warc_repeated_and_empty(spark):
-    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (0, "u", "x")], "page_id long, url string, html string")
-    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archived_pages(pages).collect())
-    assert got == {(1, "response", None): 2, (0, "revisit", 1): 1}
+    """One response a payload, also where rows repeat its page and URL; ids of their own."""
+    from kitlend.llm.common import new_folder
+    rows = [(1, "u", "x")] * 3 + [(0, "u", "x"), (1, "a", "x"), (1, None, "x"), (1, "u", "y"), (None, None, "z"), (None, None, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_folder(spark, "warc-test")
+    got = Counter((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived_pages(pages, path=path).collect())
+    assert got == {(1, "u", 1, "response", None): 2, (1, "u", 1, "revisit", 1): 2, (0, "u", 1, "revisit", 1): 1,
+                   (1, "a", 1, "revisit", 1): 1, (1, None, 1, "revisit", 1): 1, (None, None, 1, "response", None): 1,
+                   (None, None, 1, "revisit", None): 1}
+    back = warc.read_archives(spark, path).collect()
+    assert len({r.record_id for r in back}) == len(back) == len(rows)
     assert warc.archived_pages(pages.limit(0)).collect() == []
+    small = warc.archived_pages(pages, min_bytes=2).collect()
+    assert Counter(r.record_type for r in small) == {"response": len(rows)}
+
+
+def test_a_payload_of_a_third_of_all_pages(spark):
+    rows = [(i, f"u{i}", "same" if i % 3 == 0 else f"p{i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived_pages(pages).collect()}
+    assert got == {i: ("response", None) if i % 3 or i == 2997 else ("revisit", 2997) for i in range(3000)}
 
 
 def test_blocks_that_end_in_line_breaks(spark):
