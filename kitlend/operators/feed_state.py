@@ -5,12 +5,8 @@ the newest rows per viewer, unread counts, the newest audience notices, counts o
 audience notices by instant (whose sum from a staff member's joining on is what that
 member has been sent), and counts of those read. Partial states merge by union and one
 more aggregate, in any grouping, so neither a feed nor a badge reads the history of
-notifications again: they merge the base with the batches after it. ``compact`` makes
-a new base of them, as large as the viewers' newest rows.
-
-Layout: ``batches/<piece>/batch=<n>`` and ``base/<n>/<piece>``, the base with all
-batches up to n. A batch that runs again replaces itself; one that the base already
-holds changes nothing.
+notifications again: they merge the base with the batches after it (``sources.deltas``).
+A base is as large as the viewers' newest rows.
 
 A batch takes the day's new rows (own ones read already count as read), the own
 rows newly read (id, user_id, read_at: what ``mark_read`` changed), and the audience
@@ -25,10 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitlend.operators import notify as N
+from kitlend.sources.deltas import Kept, State
 from kitlend.sources.fixtures import Lending
 
-State = dict[str, DataFrame]
-#: Pieces of a state and their order of writing; the last one marks a whole batch.
 PIECES = ("newest", "unread", "shared", "marks", "reads", "seen", "shared_reads", "gone")
 
 
@@ -68,84 +63,30 @@ def merged(s: State) -> State:
     newest = (_newest(stay(s["newest"])).join(first, (F.col("id") == F.col("_rid")) & (F.col("user_id") == F.col("_ru")), "left")
               .withColumn("read_at", F.coalesce("read_at", "_at")).select(*N.FEED_COLUMNS))
     shared = N.newest_shared(s["shared"], N.FEED_MAX)
-    kept = shared.select(F.col("id").alias("_id"))
+    ids = shared.select(F.col("id").alias("_id"))
     return {
         "newest": newest, "unread": _sums(stay(s["unread"]), "user_id", "unread"), "shared": shared,
         "marks": _sums(s["marks"], "at", "n"), "reads": s["reads"].where(F.lit(False)),
         "seen": _sums(stay(s["seen"]), "user_id", "n"),
-        "shared_reads": stay(s["shared_reads"]).join(kept, F.col("notification_id") == F.col("_id"), "left_semi"),
+        "shared_reads": stay(s["shared_reads"]).join(ids, F.col("notification_id") == F.col("_id"), "left_semi"),
         "gone": s["gone"].distinct(),
     }
 
 
-# --- stored states ----------------------------------------------------------------
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _numbers(spark: SparkSession, path: str, prefix: str, done: str) -> list[int]:
-    """The numbers of a folder's entries ``<prefix><n>`` that hold ``done``."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(p)]
-    return sorted(int(n.removeprefix(prefix)) for n, full in names
-                  if n.startswith(prefix) and fs.exists(_fs(spark, f"{full}/{done}")[1]))
-
-
-def base_of(spark: SparkSession, path: str) -> int:
-    """The last batch that the base holds; 0 without a base."""
-    return max(_numbers(spark, f"{path}/base", "", f"{PIECES[-1]}/_SUCCESS"), default=0)
+def kept(spark: SparkSession, path: str) -> Kept:
+    return Kept(spark, path, PIECES, merged)
 
 
 def fold_batch(spark: SparkSession, path: str, batch: int, notes: DataFrame, reads: DataFrame | None = None,
                audience_reads: DataFrame | None = None, gone: DataFrame | None = None) -> bool:
     """Store the partial state of a batch (from 1); False if the base holds it already."""
-    if batch <= base_of(spark, path):
-        return False
-    nobody = notes.where(F.lit(False))
-    reads = reads if reads is not None else nobody.select("id", "user_id", "read_at")
-    audience_reads = audience_reads if audience_reads is not None else nobody.select(
-        F.col("id").alias("notification_id"), "user_id", "read_at")
-    state = partial(notes, reads, audience_reads, gone if gone is not None else nobody.select("user_id"))
-    for piece in PIECES:
-        state[piece].write.mode("overwrite").parquet(f"{path}/batches/{piece}/batch={batch}")
-    return True
-
-
-def _united(spark: SparkSession, path: str) -> tuple[State, int]:
-    """The united pieces of the base and the whole batches after it, and the last batch."""
-    base = base_of(spark, path)
-    later = [n for n in _numbers(spark, f"{path}/batches/{PIECES[-1]}", "batch=", "_SUCCESS") if n > base]
-    if not base and not later:
-        raise ValueError(f"no batch has been folded under {path}")
-
-    def folders(piece: str) -> list[str]:
-        return [f"{path}/base/{base}/{piece}"] * bool(base) + [f"{path}/batches/{piece}/batch={n}" for n in later]
-    return {piece: spark.read.parquet(*folders(piece)) for piece in PIECES}, max([base, *later])
-
-
-def state_now(spark: SparkSession, path: str) -> State:
-    return merged(_united(spark, path)[0])
-
-
-def compact(spark: SparkSession, path: str) -> int:
-    """Make a new base of all whole batches and delete the batches that the base before
-    held (readers of that base have had a compaction's time). The new base's number."""
-    united, last = _united(spark, path)
-    before = base_of(spark, path)
-    if last > before:
-        state = merged(united)
-        for piece in PIECES:
-            state[piece].write.mode("overwrite").parquet(f"{path}/base/{last}/{piece}")
-        for piece in reversed(PIECES):
-            for n in _numbers(spark, f"{path}/batches/{piece}", "batch=", "_SUCCESS"):
-                if n <= before:
-                    fs, p = _fs(spark, f"{path}/batches/{piece}/batch={n}")
-                    fs.delete(p, True)
-    return last
+    def state() -> State:
+        nobody = notes.where(F.lit(False))
+        own = reads if reads is not None else nobody.select("id", "user_id", "read_at")
+        heard = audience_reads if audience_reads is not None else nobody.select(
+            F.col("id").alias("notification_id"), "user_id", "read_at")
+        return partial(notes, own, heard, gone if gone is not None else nobody.select("user_id"))
+    return kept(spark, path).fold(batch, state)
 
 
 def badges(state: State, l: Lending) -> DataFrame:

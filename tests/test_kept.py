@@ -7,10 +7,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from helpers import TS, make_lending, note, user
+from helpers import D, TS, item, loan, make_lending, note, ret, user
 from kitlend import schema as S
+from kitlend.operators import audit as AU
 from kitlend.operators import balances as B
 from kitlend.operators import feed_state as K
+from kitlend.operators import key_index as I
 from kitlend.operators import name_index as X
 from kitlend.operators import notify as N
 from kitlend.sources import fixtures as fx
@@ -67,12 +69,13 @@ def test_ten_batches_equal_full_recomputation(spark, tmp_path):
                 spark.createDataFrame([(g,) for g in gone], "user_id long"))
         assert K.fold_batch(spark, path, k, *args) and K.fold_batch(spark, path, k, *args)
         if k in (4, 7):
-            assert K.compact(spark, path) == k == K.base_of(spark, path) == K.compact(spark, path)
+            kept = K.kept(spark, path)
+            assert kept.compact() == k == kept.base() == kept.compact()
             assert not K.fold_batch(spark, path, k, *args)
         if k % 3 == 1:
             l = after(make_lending(spark, users=people, notifications=list(rows.values())),
                       notification_reads=spark.createDataFrame(list(reads.values()), "notification_id string, user_id long, read_at timestamp_ntz"))
-            state = K.state_now(spark, path)
+            state = K.kept(spark, path).now()
             assert same(N.unread_badges(l), K.badges(state, l))
             for n in (5, 100):
                 assert same(N.notification_feed(l, n), K.feed(state, l, n))
@@ -87,7 +90,7 @@ def test_a_state_reads_no_notifications(spark, tmp_path):
     K.fold_batch(spark, path, 1, l.notifications)
     only = fx.Lending(**{n: getattr(l, n) if n in ("roles", "users") else (lambda: 1 / 0) for n in fx.Lending.NAMES if n != "notification_reads"},
                       notification_reads=lambda: 1 / 0)
-    state = K.state_now(spark, path)
+    state = K.kept(spark, path).now()
     assert K.badges(state, only).count() > 0 and K.feed(state, only).count() > 0
 
 
@@ -134,3 +137,58 @@ def test_bucketed_balances_plan_no_exchange(spark, tmp_path):
     assert same(l.transactions, b.transactions)
     for name in ("transactions", "transaction_returns"):
         spark.sql(f"DROP TABLE kept_test_{name}")
+
+
+def test_key_index_equals_full_audits_after_every_batch(spark, tmp_path):
+    """Rows that come, go and change, parents too; the violations kept up by the keys of
+    each batch are those of the whole tables."""
+    path = f"file:{tmp_path}"
+    people = {i: user(i, email=f"m{i % 4}@x", role_id=i % 5) for i in range(1, 7)}
+    items = {i: item(i, name=f"thing {i % 2}") for i in range(1, 4)}
+    loans = {f"t{i}": loan(f"t{i}", i % 8 + 1, i % 5 + 1, 1, D(2001, 8, 1)) for i in range(12)}
+    returns = [ret(f"r{i}", f"t{i % 15}", 1) for i in range(9)]
+    notes = [note(f"n{i}", 1 + i % 3, "overdue_student", f"t{i % 2}") for i in range(5)]
+    make = lambda: make_lending(spark, users=list(people.values()), inventory=list(items.values()), transactions=list(loans.values()),
+                                transaction_returns=returns, notifications=notes)
+    row = lambda name, rows: spark.createDataFrame(rows, S.TABLES[name])
+    assert I.fold_changes(spark, path, 1, I.full_tables(make()))
+    text = lambda df: sorted(map(str, df.collect()))
+    unique, orphans = (set(text(v)) for v in I.violations(spark, path))
+    for k in range(2, 6):
+        added, removed = {}, {}
+        if k == 2:  # a member goes, one who was missing comes
+            removed["users"], added["users"] = row("users", [people.pop(2)]), row("users", [user(8)])
+            people[8] = user(8)
+        if k == 3:  # a loan names another item; an email changes
+            removed["transactions"] = row("transactions", [loans["t1"]])
+            loans["t1"] = loan("t1", 99, 1, 1, D(2001, 8, 1))
+            added["transactions"] = row("transactions", [loans["t1"]])
+            removed["users"] = row("users", [people[5]])
+            people[5] = user(5, email="own@x")
+            added["users"] = row("users", [people[5]])
+        if k == 4:  # the same row again and again
+            returns += [ret("r0", "gone", 1)] * 3
+            added["transaction_returns"] = row("transaction_returns", [ret("r0", "gone", 1)] * 3)
+        if k == 5:
+            returns = [r for r in returns if r[1] != "gone"]
+            removed["transaction_returns"] = row("transaction_returns", [ret("r0", "gone", 1)] * 3)
+        assert I.fold_changes(spark, path, k, added, removed)
+        named = {(r["space"], r["key"]) for r in spark.read.parquet(I.index(spark, path).batch_path("entries", k)).collect()}
+        l = make()
+        whole = AU.audit_unique(l).collect(), AU.audit_foreign_keys(l).collect()
+        u, o = I.changed_violations(spark, path, k)
+        parent = {f"{t}.{fk}": p for t, keys in AU.foreign_keys().items() for fk, p in keys}
+        assert text(u) == sorted(str(r) for r in whole[0] if (r["rule"], r["key"]) in named)
+        assert text(o) == sorted(str(r) for r in whole[1] if (parent[r["rule"]], r["missing_key"]) in named)
+        for v, w in zip(I.violations(spark, path), whole, strict=True):
+            assert text(v) == sorted(map(str, w))
+        if k == 3:
+            I.index(spark, path).compact()
+            assert not I.fold_changes(spark, path, k, added, removed)
+    assert unique and orphans
+
+
+def test_foreign_keys_meet_their_parents_in_one_join(spark):
+    p = plan(AU.audit_foreign_keys(fx.lending(spark, SF)))
+    assert p.count("LeftOuter") == 1
+    assert "LeftAnti" not in p and "NestedLoop" not in p and "CartesianProduct" not in p
