@@ -71,9 +71,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iter
                      pa.array([t for _, t in part], pa.binary())], ["key", "i", "n", "start", "piece"])
 
 
-def boundaries(enc: Encoder, piece: bytes, lo: int, hi: int) -> list[tuple[int, int, str]]:
-    """(offset in the piece, tokens before, hash of the following word's ids)
-    of the stable boundaries between byte lo and byte hi."""
+def stable_places(piece: bytes, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The first REPORTED stable boundaries between byte lo and byte hi of a piece,
+    and the ends of the words that follow them."""
     out, p = [], max(lo, 1)
     while p < hi and len(out) < REPORTED:
         if piece[p] not in _SPACES and piece[p - 1] in _SPACES:
@@ -82,23 +82,37 @@ def boundaries(enc: Encoder, piece: bytes, lo: int, hi: int) -> list[tuple[int,
                 end += 1
             if end == len(piece):  # the word may go on in the next chunk
                 break
-            ids = enc.packed(piece[p:end])
-            out.append((p, enc.count(piece[:p]), ids.hex()[:64]))
+            out.append((p, end))
             p = end
         p += 1
     return out
 
 
+def counted(enc: Encoder, piece: bytes, places: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]], int]:
+    """(offset in the piece, tokens before, hash of the following word's ids) of
+    ascending boundaries, and the tokens of the piece: the tokens between the
+    boundaries are counted once and summed up."""
+    if not enc.drops_space:  # a token may begin with the space before its word
+        return [(p, enc.count(piece[:p]), enc.packed(piece[p:end]).hex()[:64]) for p, end in places], enc.count(piece)
+    out, before, last = [], 0, 0
+    for p, end in places:
+        before += enc.count(piece[last:p])
+        out.append((p, before, enc.packed(piece[p:end]).hex()[:64]))
+        last = p
+    return out, before + enc.count(piece[last:])
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, overlap: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     marks = pa.list_(pa.struct([("at", pa.string()), ("before", pa.int64())]))
     for b in batches:
         rows = []
         for key, i, n, start, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            left = boundaries(enc, piece, 0, min(overlap, len(piece))) if i else []
-            right = boundaries(enc, piece, max(len(piece) - overlap, 0), len(piece)) if i < n - 1 else []
-            name = lambda m, s=start: [{"at": f"{s + p}:{sig}", "before": c} for p, c, sig in m]
-            rows.append((key, i, n, enc.count(piece), name(left), name(right)))
+            left = stable_places(piece, 0, min(overlap, len(piece))) if i else []
+            right = stable_places(piece, max(len(piece) - overlap, 0), len(piece)) if i < n - 1 else []
+            found, total = counted(enc, piece, sorted({*left, *right}))
+            named = {p: {"at": f"{start + p}:{sig}", "before": before} for p, before, sig in found}
+            rows.append((key, i, n, total, [named[p] for p, _ in left], [named[p] for p, _ in right]))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         kinds = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), marks, marks]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
