@@ -188,6 +188,20 @@ def test_key_index_equals_full_audits_after_every_batch(spark, tmp_path):
     assert unique and orphans
 
 
+def test_key_index_deals_its_entries_once_a_step(spark, tmp_path):
+    """One exchange sums and orders a batch or a base, and one finds the violations of each kind."""
+    path = f"file:{tmp_path}"
+    people = [user(1), user(1), user(2, role_id=9)]
+    I.fold_changes(spark, path, 1, I.full_tables(make_lending(spark, users=people, transactions=[loan("t1", 3, 1, 1, D(2001, 8, 1))])))
+    kept = plan(I.index(spark, path).now()["entries"])
+    assert kept.count("Exchange") == 1 and "rangepartitioning" not in kept
+    unique, orphans = I.violations(spark, path)
+    assert plan(unique).count("Exchange") == 1 and plan(orphans).count("Exchange") == 1
+    assert {r["key"] for r in unique.collect() if r["rule"] == "users.id"} == {"1"}
+    assert sorted((r["rule"], r["row_id"]) for r in orphans.collect()) == [
+        ("transactions.inventory_id", "t1"), ("transactions.user_id", "t1"), ("users.role_id", "2")]
+
+
 def test_foreign_keys_meet_their_parents_in_one_join(spark):
     p = plan(AU.audit_foreign_keys(fx.lending(spark, SF)))
     assert p.count("LeftOuter") == 1
