@@ -1,12 +1,13 @@
 """An index of item names for substring search.
 
-Every name, in small letters, is cut into its runs of one, two and three
+Every name, in small letters, is cut into its runs of one, two, three and six
 characters; a posting says that an item's name holds a run. Postings are stored by
 the bucket of their run and sorted by it, so that a search reads only the buckets,
-and in these the row groups, of the term's runs. A term of three characters or more
-is looked up by its runs of three, a shorter one by itself; candidates are verified
-by ``contains``, so the results are those of a scan. A change of items replaces
-their postings by a new index over the changed table.
+and in these the row groups, of the term's runs. A term is looked up by its runs of the
+largest size that it has; candidates are verified by ``contains``, so the results are
+those of a scan. Runs of six keep the candidates of many long terms, as of numbers,
+near their hits: a run of three is in a fixed share of all names. A change of items
+replaces their postings by a new index over the changed table.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN = 3
+SIZES = (1, 2, 3, 6)
 BUCKETS = 64
 
 
@@ -30,19 +31,27 @@ def _bucket(run: Column) -> Column:
     return F.crc32(run.cast("binary")).cast("long") % BUCKETS
 
 
+def _postings(items: DataFrame) -> DataFrame:
+    """id, run of the names, each run once a name: where it is first. The names are dealt
+    out before, since few files hold many of them."""
+    name = F.lower("item_name")
+    places = (items.select("id", name.alias("_name")).where(F.length("_name") > 0).repartition("id", "_name")
+              .select("id", "_name", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_at")))
+    runs = F.array(*[F.when(F.col("_at") <= F.length("_name") - k + 1, F.substr("_name", "_at", F.lit(k))) for k in SIZES])
+    return places.select("id", "_name", "_at", F.explode(runs).alias("run")).where(
+        F.position("run", "_name") == F.col("_at")).select("id", "run")
+
+
 def build_name_index(items: DataFrame, path: str) -> None:
     """Write the postings of ``items`` (id, item_name); names that are NULL have none."""
-    name = F.lower("item_name")
-    none = F.array().cast("array<string>")
-    runs = F.concat(*[F.coalesce(_runs(name, k), none) for k in range(1, RUN + 1)])
-    postings = items.select("id", F.explode(runs).alias("run")).withColumn("bucket", _bucket(F.col("run")).cast("int"))
-    (postings.repartitionByRange(F.col("bucket"), F.col("run"), F.col("id")).sortWithinPartitions("bucket", "run", "id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    postings = _postings(items).withColumn("bucket", _bucket(F.col("run")).cast("int"))
+    (postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "run", "id")
+     .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path))
 
 
 def runs_of(term: str) -> list[str]:
     """The runs by which a term (small, without blanks at its ends) is looked up."""
-    size = min(RUN, len(term))
+    size = max(k for k in SIZES if k <= max(len(term), 1))
     return sorted({term[i:i + size] for i in range(len(term) - size + 1)})
 
 
@@ -70,12 +79,13 @@ def search_terms(items: DataFrame, path: str, terms: DataFrame) -> DataFrame:
     find nothing."""
     asked = F.lower(F.trim("term"))
     distinct = terms.select("term", asked.alias("_asked")).where(F.length("_asked") > 0).distinct()
-    runs = distinct.select("term", "_asked", F.explode(
-        F.when(F.length("_asked") < RUN, F.array("_asked")).otherwise(_runs(F.col("_asked"), RUN))).alias("_run"))
-    postings = items.sparkSession.read.parquet(path)
-    asked_runs = runs.select("_run").distinct()
-    sizes = (postings.join(asked_runs, F.col("run") == F.col("_run"), "left_semi")
-             .groupBy(F.col("run").alias("_of")).agg(F.count(F.lit(1)).alias("_n")))
+    size = F.array_max(F.filter(F.array(*[F.lit(k) for k in SIZES]), lambda k: k <= F.length(asked)))
+    used = [r[0] for r in terms.where(F.length(asked) > 0).select(size).distinct().collect()]  # at most one of each of SIZES
+    runs_by_size = F.coalesce(*[F.when(F.length("_asked") >= k, _runs(F.col("_asked"), k)) for k in reversed(SIZES)])
+    runs = distinct.select("term", "_asked", F.explode(runs_by_size).alias("_run"))
+    postings = items.sparkSession.read.parquet(path).where(F.length("run").isin(used))
+    # files are in the order of runs, so that a task's counts are few and no posting moves
+    sizes = postings.groupBy(F.col("run").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     rarest = (runs.join(sizes, F.col("_run") == F.col("_of"), "left").groupBy("term", "_asked")
               .agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), F.col("_run"))).alias("_run")))
     near = rarest.join(postings.select(F.col("run").alias("_of"), F.col("id").alias("_id")), F.col("_run") == F.col("_of"))

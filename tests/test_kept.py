@@ -109,6 +109,19 @@ def test_name_search_equals_contains(spark, tmp_path):
     assert got == sorted((t, i) for t in terms for i, n in enumerate(names) if n is not None and t.strip() and t.strip().lower() in n.lower())
 
 
+def test_long_terms_have_few_candidates(spark, tmp_path):
+    """Terms of six characters or more go by runs of six, of which few names have each,
+    and the names of one file are dealt out before they are cut."""
+    items = spark.range(2000).select("id", F.concat(F.lit("ring "), (F.col("id") + 100_000).cast("string")).alias("item_name"))
+    path = f"file:{tmp_path}"
+    X.build_name_index(items, path)
+    assert X.runs_of("100123") == ["100123"] and X.hit_postings(spark, path, "100123").count() == 1
+    terms = items.select(F.expr("right(item_name, 7)").alias("term"))
+    assert sorted(r["id"] for r in X.search_terms(items, path, terms).collect()) == list(range(2000))
+    one = X._postings(items.coalesce(1))
+    assert "Exchange hashpartitioning(id" in plan(one)
+
+
 def test_a_search_reads_only_hit_postings(spark, tmp_path):
     path = f"file:{tmp_path}"
     X.build_name_index(fx.lending(spark, SF).inventory, path)
