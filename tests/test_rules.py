@@ -374,3 +374,19 @@ def test_escalation_and_seven_day_notice_share_the_once_rule(spark):
     req = spark.createDataFrame([("new",), ("told",), ("back",), ("new",)], "tx_id string")
     got = rows(SN.escalation_notices(l, req, AS_OF), "ref", "type", "recipients")
     assert got == [("new", "overdue_faculty", 1), ("new", "overdue_staff", 1), ("told", "overdue_faculty", 1)]
+
+
+def test_loans_are_not_dealt_by_the_instant_of_their_notice(spark):
+    """Most loans have no 7+ day row and one run gives all its rows one instant: neither
+    may gather in one task."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        l = make_lending(spark, users=[user(1, "staff", 3), user(2, "staff", 3, created=TS(2001, 8, 2))],
+                         notifications=[note("n", None, N.STAFF_7_PLUS, "a", audience="staff")])
+        s7 = spark.createDataFrame([("a",), ("b",)], "ref string")
+        out = N.untold_staff(l, s7)
+        assert "hashpartitioning(_at7" not in out._jdf.queryExecution().executedPlan().toString()
+        assert rows(out, "ref", "recipients") == [("a", 1), ("b", 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
