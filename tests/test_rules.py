@@ -390,3 +390,14 @@ def test_loans_are_not_dealt_by_the_instant_of_their_notice(spark):
         assert rows(out, "ref", "recipients") == [("a", 1), ("b", 2)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_history_moves_loans_once_a_key(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        l = make_lending(spark, transactions=[loan("a", 1, 1, 1, D(2001, 7, 1))])
+        p = H.history_loans(l, AS_OF)._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hashpartitioning(user_id" in line for line in p.splitlines()) <= 2  # the loans, the holds
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
