@@ -219,3 +219,19 @@ def test_foreign_keys_meet_their_parents_in_one_join(spark):
     p = plan(AU.audit_foreign_keys(fx.lending(spark, SF)))
     assert p.count("LeftOuter") == 1
     assert "LeftAnti" not in p and "NestedLoop" not in p and "CartesianProduct" not in p
+
+
+def test_batches_read_their_own_notices(spark, tmp_path, monkeypatch):
+    """The notices are shaped once and not again for each batch and piece."""
+    from kitlend.plans import catalog
+    catalog.load_all()
+    from kitlend.plans import q_kept as Q
+    made = []
+    l = fx.lending(spark, SF)
+    notes = l.notifications
+    monkeypatch.setattr(K, "fold_batch", lambda s, p, k, new, *rest: made.append(new))
+    monkeypatch.setattr(K, "kept", lambda s, p: type("Nothing", (), {"compact": lambda self: 0, "now": lambda self: {}})())
+    Q.folded(spark, l, f"file:{tmp_path}")
+    assert len(made) == Q.BATCHES + 1 and sum(n.count() for n in made) == notes.count()
+    for n in made:
+        assert "lineitem" not in plan(n) and "PartitionFilters: [isnotnull(_batch" in plan(n)
