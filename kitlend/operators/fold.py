@@ -182,11 +182,12 @@ def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
     sizes = sizes.checkpoint(eager=True)
     long_rows = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     if not long_rows:
-        runs = events.groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
+        # dealt by key before they are gathered: arrays of few rows gathered on both sides only cost sorts
+        runs = events.repartition(key).groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
         return _replayed(runs, "_start", spec, columns)
 
     short = events.join(sizes, F.col(key) == F.col("_k"), "left_anti")
-    short = short.groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
+    short = short.repartition(key).groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
     n = partitions or range_partitions(long_rows)
     ranged = (events.join(sizes, F.col(key) == F.col("_k"), "left_semi")
               .repartitionByRange(n, F.col(key), *[F.col(c) for c in order])

@@ -5,18 +5,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kitlend.operators.balances import inventory_available, open_loans, with_returned
 from kitlend.operators.fold import ADMISSION, CLOSED, SETTLEMENT, ordered_fold
 from kitlend.operators.history import active_holds
 from kitlend.operators.notify import ts_lit
+from kitlend.session import stored
 from kitlend.sources.fixtures import Lending
 
 # Fixed hold-release notes of the reference.
 NOTE_BORROW = "auto-clear on borrow: no open loans"
 NOTE_MANUAL = "manual"
+#: The outcomes of accepted returns, which are the types of their notices.
+RETURN_TYPES = ("return_completed", "return_partial")
 
 
 def _flag(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
@@ -84,7 +87,7 @@ def settle_returns(l: Lending, events: DataFrame) -> DataFrame:
     start = (F.when(F.col("return_date").isNotNull(), F.lit(CLOSED))
              .otherwise(F.greatest(F.col("remaining"), F.lit(0))))
     lk = loans.select(F.col("id").alias("_tid"), F.col("user_id"), start.alias("_start_state"))
-    e = events.join(lk, events["tx_id"] == lk["_tid"], "left").checkpoint(eager=True)
+    e = stored(events.join(lk, events["tx_id"] == lk["_tid"], "left"), "returns")
     cols = ["event_id", "ts", "tx_id", "return_qty", "note"]
     folded = ordered_fold(e.where(F.col("_tid").isNotNull()).select(*cols, "user_id", "_start_state"),
                           "tx_id", ["ts", "event_id"], "_start_state", SETTLEMENT)
@@ -114,14 +117,14 @@ def return_notices(l: Lending, settled: DataFrame) -> DataFrame:
     acc = settled.where(F.col("accepted")).select(
         "event_id", "ts", "tx_id", "user_id", F.col("outcome").alias("type"),
         F.concat(F.lit("ret-"), F.col("tx_id")).alias("ref"), "returned_qty", "remaining_after")
-    stored = (l.notifications.select(F.col("user_id").alias("_su"), F.col("type").alias("_st"),
-                                     ref_of(F.col("meta")).alias("_sr"))
-              .where(F.col("_sr").isNotNull()).distinct())
-    j = acc.join(stored, (acc["user_id"] == stored["_su"]) & (acc["type"] == stored["_st"])
-                 & (acc["ref"] == stored["_sr"]), "left")
-    first = (acc.groupBy(F.col("user_id").alias("_fu"), F.col("type").alias("_ft"), F.col("ref").alias("_fr"))
-             .agg(F.min(F.struct("ts", "event_id")).alias("_first")))
-    j = j.join(first, (j["user_id"] == first["_fu"]) & (j["type"] == first["_ft"]) & (j["ref"] == first["_fr"]))
+    told = (l.notifications.where(F.col("type").isin(*RETURN_TYPES))
+            .select(F.col("user_id").alias("_su"), F.col("type").alias("_st"), ref_of(F.col("meta")).alias("_sr"))
+            .where(F.col("_sr").isNotNull()).distinct())
+    # One deal by (member, type, ref) serves the first notice and the stored ones; a notice needs all three.
+    acc = acc.where(F.col("user_id").isNotNull() & F.col("type").isNotNull() & F.col("ref").isNotNull())
+    acc = acc.withColumn("_first", F.min(F.struct("ts", "event_id")).over(Window.partitionBy("user_id", "type", "ref")))
+    j = acc.join(told, (acc["user_id"] == told["_su"]) & (acc["type"] == told["_st"])
+                 & (acc["ref"] == told["_sr"]), "left")
     users = l.users.select(F.col("id").alias("_uid"), "email")
     j = j.join(users, j["user_id"] == users["_uid"], "left")
     message = F.when(F.col("type") == "return_completed",
@@ -138,8 +141,7 @@ def return_hold_releases(l: Lending, settled: DataFrame) -> DataFrame:
     """Members with an accepted return and nothing outstanding after the batch;
     the note names the last accepted loan, the one that emptied the account."""
     # Decided once: both the per-member and the per-loan summaries read it.
-    acc = settled.where(F.col("accepted")).select("user_id", "ts", "event_id", "tx_id",
-                                                   "remaining_after").checkpoint(eager=True)
+    acc = stored(settled.where(F.col("accepted")).select("user_id", "ts", "event_id", "tx_id", "remaining_after"), "accepted")
     last = (acc.groupBy("user_id")
             .agg(F.max(F.struct("ts", "event_id", "tx_id")).alias("_last"))
             .select("user_id", F.col("_last.tx_id").alias("_tx")))

@@ -401,3 +401,11 @@ def test_history_moves_loans_once_a_key(spark):
         assert sum("Exchange hashpartitioning(user_id" in line for line in p.splitlines()) <= 2  # the loans, the holds
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_settlement_is_stored_as_columns(spark):
+    l = make_lending(spark, transactions=[loan("A", 1, 1, 5, D(2001, 7, 1))])
+    settled = J.settle_returns(l, _events(spark, [("a", "A", 2), ("x", "Z", 1)]))
+    p = settled._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in p and "ExistingRDD" not in p
+    assert rows(settled, "event_id", "reason", "returned_qty") == [("a", None, 2), ("x", "not_found", None)]
