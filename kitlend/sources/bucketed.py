@@ -17,11 +17,22 @@ from kitlend.sources.fixtures import Lending
 
 #: Each bucketed table's column of the loan id.
 KEYS = {"transactions": "id", "transaction_returns": "transaction_id"}
+#: Rows that a bucket of the larger table should hold, and the least buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 8
+
+
+def buckets_for(l: Lending) -> int:
+    """So many buckets that those of neither table hold many more than BUCKET_ROWS rows,
+    however large the tables are; no more than the session allows."""
+    spark = l.transactions.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    rows = max(getattr(l, name).count() for name in KEYS)
+    return min(most, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
 def write_bucketed(l: Lending, prefix: str, path: str, buckets: int) -> None:
     """Save both tables as ``<prefix>_<name>`` under ``path``. A bucket should hold about
-    as much as a task handles; the number can't differ between the two."""
+    as much as a task handles (``buckets_for``); the number can't differ between the two."""
     for name, key in KEYS.items():
         df: DataFrame = getattr(l, name)
         state = []

@@ -15,6 +15,8 @@ from kitlend.operators import feed_state as K
 from kitlend.operators import key_index as I
 from kitlend.operators import name_index as X
 from kitlend.operators import notify as N
+from kitlend.plans import catalog
+from kitlend.sources import bucketed
 from kitlend.sources import fixtures as fx
 from kitlend.sources.bucketed import read_bucketed, write_bucketed
 
@@ -152,6 +154,27 @@ def test_bucketed_balances_plan_no_exchange(spark, tmp_path):
         spark.sql(f"DROP TABLE kept_test_{name}")
 
 
+def test_buckets_grow_with_the_tables(spark, monkeypatch):
+    """A bucket holds about as many rows as asked for, not an eighth of the table."""
+    catalog.load_all()
+    from kitlend.plans import q_kept
+    l, made = fx.lending(spark, SF), []
+
+    def write(l, prefix, path, buckets):
+        write_bucketed(l, prefix, path, buckets)
+        made.append((prefix, buckets))
+    monkeypatch.setattr(q_kept, "write_bucketed", write)
+    monkeypatch.setattr(bucketed, "BUCKET_ROWS", 200, raising=False)
+    assert same(B.tx_outstanding(l), q_kept.q_tx_outstanding_bucketed(spark, SF))
+    (prefix, buckets), = made
+    rows = max(l.transactions.count(), l.transaction_returns.count())
+    assert buckets == -(-rows // 200) > 8
+    held = spark.table(f"{prefix}_transactions").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert held <= 300
+    for name in ("transactions", "transaction_returns"):
+        spark.sql(f"DROP TABLE {prefix}_{name}")
+
+
 def test_key_index_equals_full_audits_after_every_batch(spark, tmp_path):
     """Rows that come, go and change, parents too; the violations kept up by the keys of
     each batch are those of the whole tables."""
