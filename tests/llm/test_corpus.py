@@ -5,7 +5,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kitlend.llm import common, mixing, neardup, quality, toxicity
 from kitlend.llm.components import components
@@ -242,6 +244,30 @@ def test_common_elements_weigh_less(make_docs):
     assert len(w.ids) == 6 and np.allclose(w.weights, neardup.IDF_FLOOR)
 
 
+def test_common_elements_of_blocks_of_one_text(spark, monkeypatch):
+    """No text shares a block with another one: the weights are still those of all texts."""
+    line = "one two three four five six seven eight nine ten"
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.concat(F.lit("d"), F.col("id"), F.lit("w"), k)), " ")
+    docs = spark.range(0, 60, 1, 60).select(F.concat_ws(" ", F.lit(line), own).alias("text"))
+    w = neardup.common_weights(docs)
+    assert len(w.ids) == 6 and np.allclose(w.weights, neardup.IDF_FLOOR)
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 12)) + " a b c d e" * (i % 9 == 0) for i in range(500)]
+    batches = [pa.record_batch([pa.array(t, pa.string())], ["text"]) for t in np.split(np.array(texts, object), [1, 2, 3, 40, 400])]
+    ids = neardup.elements(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))[0]
+    often, df = np.unique(ids, return_counts=True)
+    for elements in (neardup.RUN_ELEMENTS, 1, 1000):
+        monkeypatch.setattr(neardup, "RUN_ELEMENTS", elements)
+        runs = [dict(zip(*(c.to_pylist() for c in r.columns), strict=True)) for r in neardup._proposed(iter(batches))]
+        assert sum(r.pop(-1) for r in runs) == len(texts)
+        total = Counter()
+        for r in runs:
+            total.update(r)
+        wanted = set(often[df > neardup.COMMON_SHARE * len(texts)].tolist())
+        assert wanted and wanted <= {i for i, n in total.items() if n >= neardup.COMMON_SHARE / 2 * len(texts)}
+
+
 def test_similarities_of_blocks_equal_pairs_one_by_one():
     """Pairs of a block, among them equal texts, texts without a common element and
     empty ones, against the sums of minima and maxima."""
