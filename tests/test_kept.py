@@ -238,6 +238,26 @@ def test_key_index_deals_its_entries_once_a_step(spark, tmp_path):
         ("transactions.inventory_id", "t1"), ("transactions.user_id", "t1"), ("users.role_id", "2")]
 
 
+def test_key_index_deals_what_meets_alone(spark, tmp_path):
+    """A compaction deals out the kinds of entries of several batches; orphans are sought among the keys with children."""
+    path = f"file:{tmp_path}"
+    l = make_lending(spark, users=[user(1), user(2, role_id=9)], transactions=[loan("t1", 3, 1, 1, D(2001, 8, 1))] * 2)
+    I.fold_changes(spark, path, 1, I.full_tables(l))
+    I.fold_changes(spark, path, 2, {"users": l.users}, {"users": l.users})  # nothing is left of it
+    I.fold_changes(spark, path, 3, {"users": spark.createDataFrame([user(3)], S.TABLES["users"])},
+                   {"users": l.users.where("id = 2")})
+    kept = I.index(spark, path)
+    made = kept.compacted()["entries"]
+    dealt = plan(made).split("Exchange", 1)[1]
+    assert "users.id" in dealt.split("FileScan", 1)[0] and plan(made).count("Exchange") == 1
+    assert same(made, kept.now()["entries"])
+    assert kept.compact() == 3
+    assert "In(space, [inventory.id,roles.id,transactions.id,users.id])" in plan(I.violations(spark, path)[1])
+    for v, w in zip(I.violations(spark, path), (AU.audit_unique, AU.audit_foreign_keys), strict=True):
+        now = make_lending(spark, users=[user(1), user(3)], transactions=[loan("t1", 3, 1, 1, D(2001, 8, 1))] * 2)
+        assert same(v, w(now))
+
+
 def test_foreign_keys_meet_their_parents_in_one_join(spark):
     p = plan(AU.audit_foreign_keys(fx.lending(spark, SF)))
     assert p.count("LeftOuter") == 1
