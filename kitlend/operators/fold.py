@@ -35,6 +35,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kitlend.session import stored
+
 #: Rows replayed as one array.
 RUN_ROWS = 512
 #: Rows of long keys that one range partition is meant to hold.
@@ -167,25 +169,43 @@ def run_starts(runs: DataFrame, spec: FoldSpec) -> DataFrame:
             .select("_key", "_part", "_blk", (F.col("_s") - F.col("_in") - F.col("_gone")).cast("long").alias("_state")))
 
 
+def _long_keys(events: DataFrame, key: str, run_rows: int) -> DataFrame | None:
+    """_k, _n of the keys of more than ``run_rows`` rows; None without any. Counted by the
+    hash of the key first, of which no fewer rows than of the key are found."""
+    of = F.xxhash64(key)
+    many = (events.groupBy(of.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > run_rows)
+            .select("_h").checkpoint(eager=True))
+    if many.isEmpty():
+        return None
+    return (events.withColumn("_of", of).join(many, F.col("_of") == F.col("_h"), "left_semi")
+            .groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > run_rows)
+            .checkpoint(eager=True))
+
+
 def ordered_fold(events: DataFrame, key: str, order: list[str], start_col: str,
-                 spec: FoldSpec, partitions: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
+                 spec: FoldSpec, partitions: int | None = None, run_rows: int = RUN_ROWS,
+                 counted: DataFrame | None = None) -> DataFrame:
     """Decide every row of ``events`` in (key, order) order.
 
     ``events`` must carry ``start_col``, the key's start state, and unique
     ``order`` values within a key; pass it checkpointed or cheap to read, since it
-    is counted first. Adds ``state_before``, ``state_after`` (long) and ``code``
-    (string) and drops ``start_col``.
+    is counted first. Where ``events`` is a join on the key, pass the stored rows that
+    it was joined from as ``counted``: short keys are then gathered where the join dealt
+    them, and only with long keys is the join stored. Adds ``state_before``,
+    ``state_after`` (long; null from a null start) and ``code`` (string) and drops ``start_col``.
     """
     columns = [c for c in events.columns if c != start_col]
     rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
-    sizes = events.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > run_rows)
-    sizes = sizes.checkpoint(eager=True)
-    long_rows = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    sizes = _long_keys(events if counted is None else counted, key, run_rows)
+    long_rows = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] if sizes is not None else 0
     if not long_rows:
         # dealt by key before they are gathered: arrays of few rows gathered on both sides only cost sorts
-        runs = events.repartition(key).groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
+        dealt = events.repartition(key) if counted is None else events
+        runs = dealt.groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
         return _replayed(runs, "_start", spec, columns)
 
+    if counted is not None:
+        events = stored(events, "fold")
     short = events.join(sizes, F.col(key) == F.col("_k"), "left_anti")
     short = short.repartition(key).groupBy(key).agg(F.min(start_col).alias("_start"), rows.alias("_rows"))
     n = partitions or range_partitions(long_rows)

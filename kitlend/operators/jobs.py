@@ -83,28 +83,30 @@ def settle_returns(l: Lending, events: DataFrame) -> DataFrame:
     open with nothing left -> fully_returned; a missing, zero or negative
     quantity means all that is left; more than is left -> over. A return that
     leaves nothing closes the loan (return_completed), else return_partial."""
-    loans = with_returned(l.transactions, l.transaction_returns)
-    start = (F.when(F.col("return_date").isNotNull(), F.lit(CLOSED))
-             .otherwise(F.greatest(F.col("remaining"), F.lit(0))))
+    loans = with_returned(l.transactions.select("id", "user_id", "qty", F.col("return_date").isNotNull().alias("_closed")),
+                          l.transaction_returns)
+    start = F.when(F.col("_closed"), F.lit(CLOSED)).otherwise(F.greatest(F.col("remaining"), F.lit(0)))
     lk = loans.select(F.col("id").alias("_tid"), F.col("user_id"), start.alias("_start_state"))
-    e = stored(events.join(lk, events["tx_id"] == lk["_tid"], "left"), "returns")
     cols = ["event_id", "ts", "tx_id", "return_qty", "note"]
-    folded = ordered_fold(e.where(F.col("_tid").isNotNull()).select(*cols, "user_id", "_start_state"),
-                          "tx_id", ["ts", "event_id"], "_start_state", SETTLEMENT)
-    ok = F.col("code").isNull()
+    # Events meet their loans and are gathered by loan in one deal; unknown loans start from null.
+    e = stored(events.select(*cols), "returns")
+    named = e.where(F.col("tx_id").isNotNull())
+    folded = ordered_fold(named.join(lk, named["tx_id"] == lk["_tid"], "left").drop("_tid"),
+                          "tx_id", ["ts", "event_id"], "_start_state", SETTLEMENT, counted=named)
+    known = F.col("state_before").isNotNull()
+    ok = known & F.col("code").isNull()
     decided = folded.select(
-        *cols, "user_id", F.col("code").alias("reason"),
+        *cols, "user_id", F.when(known, F.col("code")).otherwise("not_found").alias("reason"),
         F.when(ok, F.col("state_before") - F.greatest(F.col("state_after"), F.lit(0)))
         .alias("returned_qty"),
-        F.greatest(F.col("state_after"), F.lit(0)).alias("remaining_after"),
+        F.when(known, F.greatest(F.col("state_after"), F.lit(0))).alias("remaining_after"),
         F.when(ok & (F.col("state_after") == CLOSED), "return_completed")
         .when(ok, "return_partial").alias("outcome"))
-    unknown = e.where(F.col("_tid").isNull()).select(
-        *cols, "user_id", F.lit("not_found").alias("reason"),
+    unknown = e.where(F.col("tx_id").isNull()).select(
+        *cols, F.lit(None).cast(lk.schema["user_id"].dataType).alias("user_id"), F.lit("not_found").alias("reason"),
         F.lit(None).cast("long").alias("returned_qty"), F.lit(None).cast("long").alias("remaining_after"),
         F.lit(None).cast("string").alias("outcome"))
-    out = decided.unionByName(unknown)
-    return out.withColumn("accepted", F.col("reason").isNull())
+    return stored(decided.unionByName(unknown).withColumn("accepted", F.col("reason").isNull()), "settled")
 
 
 def return_notices(l: Lending, settled: DataFrame) -> DataFrame:
@@ -115,25 +117,26 @@ def return_notices(l: Lending, settled: DataFrame) -> DataFrame:
     ones are dropped silently. Mail goes out for every accepted return."""
     from kitlend.operators.history import ref_of
     acc = settled.where(F.col("accepted")).select(
-        "event_id", "ts", "tx_id", "user_id", F.col("outcome").alias("type"),
-        F.concat(F.lit("ret-"), F.col("tx_id")).alias("ref"), "returned_qty", "remaining_after")
-    told = (l.notifications.where(F.col("type").isin(*RETURN_TYPES))
-            .select(F.col("user_id").alias("_su"), F.col("type").alias("_st"), ref_of(F.col("meta")).alias("_sr"))
-            .where(F.col("_sr").isNotNull()).distinct())
-    # One deal by (member, type, ref) serves the first notice and the stored ones; a notice needs all three.
-    acc = acc.where(F.col("user_id").isNotNull() & F.col("type").isNotNull() & F.col("ref").isNotNull())
-    acc = acc.withColumn("_first", F.min(F.struct("ts", "event_id")).over(Window.partitionBy("user_id", "type", "ref")))
+        "event_id", "ts", "tx_id", "user_id", F.col("outcome").alias("type"), "returned_qty", "remaining_after")
+    ref = ref_of(F.col("meta"))
+    told = (l.notifications.where(F.col("type").isin(*RETURN_TYPES) & ref.startswith("ret-"))
+            .select(F.col("user_id").alias("_su"), F.col("type").alias("_st"), F.substring(ref, 5, 2**31 - 1).alias("_sr"))
+            .distinct())
+    # One deal by (member, type, loan) serves the first notice and the stored ones; a notice needs all three.
+    acc = acc.where(F.col("user_id").isNotNull() & F.col("type").isNotNull() & F.col("tx_id").isNotNull())
+    acc = acc.withColumn("_first", F.min(F.struct("ts", "event_id")).over(Window.partitionBy("user_id", "type", "tx_id")))
     j = acc.join(told, (acc["user_id"] == told["_su"]) & (acc["type"] == told["_st"])
-                 & (acc["ref"] == told["_sr"]), "left")
+                 & (acc["tx_id"] == told["_sr"]), "left")
+    inserted = F.col("_su").isNull() & (F.struct("ts", "event_id") == F.col("_first"))
+    j = j.select("event_id", "tx_id", "user_id", "type", "returned_qty", "remaining_after", inserted.alias("inserted"))
     users = l.users.select(F.col("id").alias("_uid"), "email")
     j = j.join(users, j["user_id"] == users["_uid"], "left")
     message = F.when(F.col("type") == "return_completed",
                      F.concat(F.lit("All items returned (loan "), F.col("tx_id"), F.lit(")"))) \
         .otherwise(F.concat(F.lit("Returned "), F.col("returned_qty").cast("string"), F.lit(" item(s), "),
                             F.col("remaining_after").cast("string"), F.lit(" still out")))
-    inserted = F.col("_su").isNull() & (F.struct("ts", "event_id") == F.col("_first"))
-    return j.select("event_id", "tx_id", "user_id", "type", "ref", message.alias("message"),
-                    inserted.alias("inserted"),
+    return j.select("event_id", "tx_id", "user_id", "type", F.concat(F.lit("ret-"), F.col("tx_id")).alias("ref"),
+                    message.alias("message"), "inserted",
                     (F.col("_uid").isNotNull() & F.coalesce(F.col("email") != "", F.lit(False))).alias("mailed"))
 
 

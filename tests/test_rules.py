@@ -409,3 +409,35 @@ def test_settlement_is_stored_as_columns(spark):
     p = settled._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in p and "ExistingRDD" not in p
     assert rows(settled, "event_id", "reason", "returned_qty") == [("a", None, 2), ("x", "not_found", None)]
+
+
+def test_settlement_moves_events_once_and_takes_any_number_of_unknown_loans(spark):
+    """The plan of the result reads what was decided; one unknown loan and no loan at all may hold many events."""
+    l = make_lending(spark, transactions=[loan("A", 1, 1, 700, D(2001, 7, 1)), loan("B", 1, 1, 3, D(2001, 7, 1))])
+    evs = [("b1", "B", 2), ("b2", "B", 2), ("b3", "B", None), ("b4", "B", 1)]
+    few = J.settle_returns(l, _events(spark, evs))
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    want = [("b1", None, 2, 1), ("b2", "over", None, 1), ("b3", None, 1, 0), ("b4", "closed", None, 0)]
+    assert rows(few, "event_id", "reason", "returned_qty", "remaining_after") == want
+    many = [(f"{t}{i}", t, 1) for t in ("A", "X", None) for i in range(600)]
+    timed = [(e, TS(2001, 8, 2) + dt.timedelta(minutes=i), t, q, None) for i, (e, t, q) in enumerate(evs + many)]
+    out = {r[0]: r[1:] for r in rows(J.settle_returns(l, spark.createDataFrame(timed, S.RETURN_EVENTS)), "event_id", "reason", "returned_qty",
+                                      "remaining_after", "user_id", "accepted", "outcome")}
+    assert len(out) == 1804 and [(e, *out[e][:3]) for e, *_ in evs] == want
+    assert all(out[f"A{i}"] == (None, 1, 699 - i, 1, True, "return_partial") for i in range(600))
+    assert {out[f"{t}{i}"] for t in ("X", None) for i in range(600)} == {("not_found", None, None, None, False, None)}
+
+
+def test_return_notices_meet_told_loans_without_their_refs(spark):
+    l = make_lending(spark, users=[user(1)], transactions=[loan(t, 1, 1, 5, D(2001, 7, 1)) for t in "AB"],
+                     notifications=[note("n", 1, "return_partial", "ret-A"), note("m", 1, "return_partial", "B"),
+                                    note("o", 1, "return_partial", "ret-")])
+    out = J.return_notices(l, J.settle_returns(l, _events(spark, [("a", "A", 1), ("b", "B", 1), ("c", "B", 1)])))
+    assert rows(out, "event_id", "ref", "inserted") == [("a", "ret-A", False), ("b", "ret-B", True), ("c", "ret-B", False)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # the refs, which follow from the loan, are never moved
+        p = out.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert p.count("concat(ret-") == 1 and "concat(ret-" not in p.split("Exchange", 1)[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
