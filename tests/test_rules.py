@@ -441,3 +441,13 @@ def test_return_notices_meet_told_loans_without_their_refs(spark):
         assert p.count("concat(ret-") == 1 and "concat(ret-" not in p.split("Exchange", 1)[1]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_history_adds_what_follows_from_other_columns_after_the_sort(spark):
+    l = make_lending(spark, users=[user(1)], transactions=[loan("a", 1, 1, 4, D(2001, 7, 1)), loan("b", 9, 1, 1, D(2001, 7, 2))],
+                     transaction_returns=[ret("r", "a", 1)])
+    h = H.history_loans(l, AS_OF)
+    p = h._jdf.queryExecution().executedPlan().toString()
+    assert "display_code" not in p.split("rangepartitioning", 1)[1] and "days_overdue" not in p.split("rangepartitioning", 1)[1]
+    assert [tuple(r) for r in h.select("id", "returned_qty", "remaining_qty", "days_overdue", "display_code").collect()][:1] == [
+        ("b", 0, 1, 34, None)]
